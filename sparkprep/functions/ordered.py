@@ -20,37 +20,32 @@ def with_predecessor(
 ) -> DataFrame:
     """Add the preceding ``order`` value and the 1-based position in the group.
 
-    ``order`` is an integer that is unique in its group. A group is cut into
-    ranges of ``chunk`` order values; each range is a window partition of its
-    own, and one summary row per range carries the last value and the count
-    across to the next range. A single group with most of the rows is thus
-    spread over many tasks, and only its summary rows meet in one.
+    ``order`` is an integer that is unique in its group and numbers the rows
+    about consecutively. A group is cut into ranges of ``chunk`` order values,
+    each a window partition of its own, so a single group with most of the rows
+    is spread over many tasks. Every range is headed by one extra row, made
+    from a summary with one row per range, that carries the last order value
+    and the count of rows across from the ranges before it.
     """
     g, o = qcol(group), qcol(order)
     part = F.floor(o / F.lit(chunk)).cast("bigint").alias("_range")
-    cut = df.select("*", part)
-    within = Window.partitionBy(g, F.col("_range")).orderBy(o)
-    ranged = cut.select(
-        "*",
-        F.lag(o).over(within).alias("_prev"),
-        F.row_number().over(within).cast("bigint").alias("_row"),
-    )
-    across = Window.partitionBy("_group").orderBy("_range")
-    summary = (
-        cut.groupBy(g.alias("_group"), F.col("_range"))
+    across = Window.partitionBy(g).orderBy("_range")
+    headers = (
+        df.groupBy(g, part)
         .agg(F.max(o).alias("_last"), F.count(F.lit(1)).alias("_n"))
         .select(
-            "_group",
-            F.col("_range").alias("_of"),
-            F.lag("_last").over(across).alias("_before"),
+            g,
+            "_range",
+            F.lit(0).alias("_kind"),
+            F.lag("_last").over(across).alias("_link"),
             (F.sum("_n").over(across) - F.col("_n")).alias("_offset"),
         )
     )
-    joined = ranged.join(
-        summary, (g.eqNullSafe(F.col("_group"))) & (F.col("_range") == F.col("_of")), "left"
-    )
-    return joined.select(
-        *[qcol(n) for n in df.columns],
-        F.coalesce("_prev", "_before").alias(previous),
-        (F.col("_offset") + F.col("_row")).alias(position),
+    rows = df.select("*", part, F.lit(1).alias("_kind"), o.alias("_link"))
+    within = Window.partitionBy(g, F.col("_range")).orderBy("_kind", o)
+    linked = rows.unionByName(headers, allowMissingColumns=True).select(
+        "*",
+        F.lag("_link").over(within).alias(previous),
+        (F.first("_offset").over(within) + F.row_number().over(within) - 1).alias(position),
     )
+    return linked.where("_kind = 1").drop("_range", "_kind", "_link", "_offset")
