@@ -32,13 +32,15 @@ def contains_missing(df: DataFrame, column: str) -> bool:
     return not df.where(is_missing(df, column)).select(is_missing(df, column)).isEmpty()
 
 
-def drop_column_if_null(df: DataFrame, column: str) -> DataFrame:
-    """Drop a column only if it has a missing value.
+def drop_column_if_null(
+    df: DataFrame, column: str, stats: DataFrame | None = None
+) -> DataFrame:
+    """Drop a column only if it has a missing value (in ``stats``, if given).
 
     The result's schema depends on the data, so this is the one step that
     looks at the data while the plan is being built.
     """
-    if has_column(df, column) and contains_missing(df, column):
+    if has_column(df, column) and contains_missing(df if stats is None else stats, column):
         return drop_columns(df, [column])
     return df
 

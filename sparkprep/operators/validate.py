@@ -45,7 +45,7 @@ OF_TYPE = "expect_column_values_to_be_of_type"
 
 
 class Rule(ABC):
-    """Subclass and decorate with ``register_rule`` to add a rule."""
+    """Subclass to add a rule; ``register_rule`` lets suite files use it."""
 
     column: str
 

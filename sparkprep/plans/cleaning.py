@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +142,8 @@ def run_steps(
 ) -> StepReport:
     """Apply the steps, pass the result to ``sink`` and report on each step.
 
+    ``sink`` must compute the whole frame, as any write does.
+
     The report's counts are taken while the sink's job runs, wherever that is
     exact: an observation ahead of a shuffle may count a task twice if an
     executor is lost and the task is repeated. Counts ahead of a shuffle are
@@ -152,25 +155,27 @@ def run_steps(
     wanted = [_boundary_metrics(i, laid, last) for i in range(len(frames))]
     ahead_of_shuffle = [any(s.shuffles for s in settled[i:]) for i in range(len(frames))]
 
-    found: list[Mapping[str, object]] = [{} for _ in frames]
     counted = [i for i, w in enumerate(wanted) if w and ahead_of_shuffle[i]]
-    if counted:
-        row = _count_now(df.sparkSession, {i: (frames[i], wanted[i]) for i in counted})
-        for i in counted:
-            found[i] = row[f"at_{i}"].asDict()
+    found = _count_now(df.sparkSession, {i: (frames[i], wanted[i]) for i in counted})
 
     observations: dict[int, Observation] = {}
     observed = frames[0]
     for i in range(len(frames)):
-        if wanted[i] and not ahead_of_shuffle[i]:
+        if wanted[i] and i not in found:
             observations[i] = Observation(f"after step {i}")
             cells = [c.alias(n) for n, c in wanted[i].items()]
             observed = observed.observe(observations[i], *cells)
         if i < len(settled):
             observed = settled[i].apply(observed, laid[i].stats)
     sink(observed)
+    lost = []
     for i, observation in observations.items():
-        found[i] = observation.get
+        try:
+            found[i] = observation.get
+        except Py4JJavaError:
+            # The optimizer saw that nothing gets this far and left it out.
+            lost.append(i)
+    found.update(_count_now(df.sparkSession, {i: (frames[i], wanted[i]) for i in lost}))
     return StepReport(tuple(_records(frames, settled, found)))
 
 
@@ -184,19 +189,28 @@ def _boundary_metrics(i: int, laid: Sequence[Stage], last: DataFrame) -> dict[st
     return metrics
 
 
-def _count_now(spark: SparkSession, wanted: Mapping[int, tuple[DataFrame, dict]]):
+def _count_now(
+    spark: SparkSession, wanted: Mapping[int, tuple[DataFrame, dict[str, Column]]]
+) -> dict[int, Mapping[str, object]]:
+    """Take the metrics of several frames in one job."""
+    if not wanted:
+        return {}
     cells = []
     for i, (frame, metrics) in wanted.items():
         packed = F.struct(*[c.alias(n) for n, c in metrics.items()])
         cells.append(frame.agg(packed).scalar().alias(f"at_{i}"))
-    return spark.range(1).select(*cells).first()
+    row = spark.range(1).select(*cells).first()
+    return {i: row[f"at_{i}"].asDict() for i in wanted}
 
 
-def _records(frames, steps, found):
+def _records(
+    frames: Sequence[DataFrame], steps: Sequence[Step], found: Mapping[int, Mapping[str, object]]
+) -> Iterator[StepRecord]:
     rows = found[0]["rows"]
     for i, step in enumerate(steps):
-        after = found[i + 1].get("rows", rows)
-        reason = step.skip_reason(frames[i]) or step.data_skip_reason(found[i])
+        metrics = found.get(i, {})
+        after = found.get(i + 1, {}).get("rows", rows)
+        reason = step.skip_reason(frames[i]) or step.data_skip_reason(metrics)
         yield StepRecord(
             seq=i + 1,
             step=step.title,
@@ -206,7 +220,7 @@ def _records(frames, steps, found):
             initial_columns=len(frames[i].columns),
             final_rows=after,
             final_columns=len(frames[i + 1].columns),
-            details={} if reason else step.details(frames[i], found[i]),
+            details={} if reason else step.details(frames[i], metrics),
         )
         rows = after
 

@@ -229,7 +229,7 @@ class RemoveNulls(Step):
 
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         if self.strategy == self.COLUMN:
-            return drop_column_if_null(df, self.column_to_drop)
+            return drop_column_if_null(df, self.column_to_drop, stats)
         checked = self.columns_to_check if self.strategy == self.SUBSET else None
         return drop_missing(df, checked, self.how)
 

@@ -26,7 +26,7 @@ from sparkprep.functions.statistics import selected_median, values_of
 from sparkprep.operators import fill, filters, profile, projections, validate
 from sparkprep.operators.duplicates import remove_duplicates
 from sparkprep.operators.validate import ColumnExists, NotNull, OfType
-from sparkprep.plans import cleaning, lineage, steps
+from sparkprep.plans import cleaning, job, lineage, steps
 from sparkprep.session import new_path
 from sparkprep.sources import catalog, ledger, readers, sinks
 from sparkprep.streaming import ingest
@@ -281,6 +281,34 @@ def ingest_stream_dedup(spark, folder):
     return _ingested(spark, unique).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(
+    "ingest_stream_split",
+    WITH + "SELECT *, (value IS NULL OR event_type IS NULL) AS is_error FROM dirty_events",
+)
+def ingest_stream_split(spark, folder):
+    path = new_path(spark, "ingested")
+    dirty = _event_stream(spark, folder).selectExpr(*fx.DIRTY_EVENTS)
+    ingest.ingest_split(dirty, RULES, path, new_path(spark, "progress"))
+    return _both_sides(*sinks.read_split(spark, path))
+
+
+@query(
+    "ingest_stream_report",
+    WITH + "SELECT 'not_null(value)' AS rule, count(*) AS element_count,"
+    " count(*) - count(value) AS unexpected_count FROM dirty_events UNION ALL"
+    " SELECT 'not_null(event_type)', count(*), count(*) - count(event_type) FROM dirty_events",
+)
+def ingest_stream_report(spark, folder):
+    path = new_path(spark, "reports")
+    dirty = _event_stream(spark, folder).selectExpr(*fx.DIRTY_EVENTS)
+    ingest.report_batches(dirty, RULES, path, new_path(spark, "progress"))
+    reports = spark.read.parquet(path).groupBy("rule")
+    return reports.agg(
+        F.sum("element_count").alias("element_count"),
+        F.sum("unexpected_count").alias("unexpected_count"),
+    )
+
+
 # --- sinks ----------------------------------------------------------------
 
 
@@ -329,7 +357,10 @@ SPLIT_SQL = (
 def sink_split(spark, folder):
     path = new_path(spark, "split")
     sinks.write_split(fx.dirty_events(spark, folder), RULES, path)
-    clean, error = sinks.read_split(spark, path)
+    return _both_sides(*sinks.read_split(spark, path))
+
+
+def _both_sides(clean: DataFrame, error: DataFrame) -> DataFrame:
     return clean.withColumn("is_error", F.lit(False)).unionByName(
         error.withColumn("is_error", F.lit(True))
     )
@@ -855,14 +886,22 @@ PLAN = (
     steps.RenameColumns("to_uppercase", columns_to_transform="*"),
     steps.RemoveDuplicates(),
 )
-PLAN_SQL = (
-    WITH + "SELECT DISTINCT event_id AS \"EVENT_ID\", user_id AS \"USER_ID\","
-    " coalesce(event_type, t) AS \"EVENT_TYPE\", round(coalesce(value, m), 6) AS \"VALUE\""
-    " FROM dup_events CROSS JOIN (SELECT median(value) AS m FROM dup_events)"
-    " CROSS JOIN (SELECT event_type AS t FROM dup_events WHERE event_type IS NOT NULL"
-    " GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)"
-    " WHERE user_id IS NOT NULL"
-)
+
+
+def _plan_sql(rows: str) -> str:
+    """The result of ``PLAN`` on the events that ``rows`` selects."""
+    return (
+        WITH + f", taken AS ({rows}) "
+        "SELECT DISTINCT event_id AS \"EVENT_ID\", user_id AS \"USER_ID\","
+        " coalesce(event_type, t) AS \"EVENT_TYPE\", round(coalesce(value, m), 6) AS \"VALUE\""
+        " FROM taken CROSS JOIN (SELECT median(value) AS m FROM taken)"
+        " CROSS JOIN (SELECT event_type AS t FROM taken WHERE event_type IS NOT NULL"
+        " GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)"
+        " WHERE user_id IS NOT NULL"
+    )
+
+
+PLAN_SQL = _plan_sql("SELECT * FROM dup_events")
 
 
 def _rounded_value(df: DataFrame) -> DataFrame:
@@ -910,6 +949,22 @@ def clean_steps_lineitem(spark, folder):
     return cleaned.withColumn("l_quantity", F.round("l_quantity", 6))
 
 
+@query("job_from_spec", _plan_sql("SELECT * FROM dup_events WHERE value IS NOT NULL"))
+def job_from_spec(spark, folder):
+    target = f"sparkprep_job_{uuid.uuid4().hex}"
+    spec = {
+        "pipeline_name": "events",
+        "source": {"table": _saved_table(spark, fx.dup_events(spark, folder), "job")},
+        "validation_config": {"suite": json.loads(validate.suite_to_json(RULES[:1]))},
+        "branch": "clean",
+        "cleaning_config": {"cleaning_steps": steps.steps_to_dicts(PLAN)},
+        "output_table": target,
+        "output_path": new_path(spark, "job"),
+    }
+    job.run_job(spark, json.dumps(spec))
+    return _rounded_value(spark.table(target))
+
+
 REPORT_SQL = (
     "(SELECT count(*) FROM dup_events) AS a,"
     " (SELECT count(*) FROM dup_events WHERE user_id IS NOT NULL) AS k,"

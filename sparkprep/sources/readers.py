@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.columns import canonicalize_nan, family, normalize_na, qcol
+from sparkprep.functions.columns import family, normalize_na, qcol
 from sparkprep.functions.naming import check_names, distinct_header
 from sparkprep.operators.validate import reads_as
 
@@ -127,23 +127,28 @@ def read_sql(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql("SELECT * FROM IDENTIFIER(:name)", args={"name": name})
 
 
+FileReader = Callable[[SparkSession, str, Mapping[str, object]], DataFrame]
+
+FILE_FORMATS: dict[str, FileReader] = {
+    "CSV": lambda spark, path, options: read_csv(
+        spark,
+        path,
+        header=bool(options.get("header", True)),
+        delimiter=str(options.get("delimiter", ",")),
+    ),
+    "JSON": lambda spark, path, options: read_json(spark, path),
+    "PARQUET": lambda spark, path, options: read_parquet(spark, path),
+}
+
+
+def register_format(name: str, reader: FileReader) -> None:
+    """Make ``reader(spark, path, options)`` usable as a file format."""
+    FILE_FORMATS[name.upper()] = reader
+
+
 def read_file(spark: SparkSession, path: str, options: Mapping[str, object]) -> DataFrame:
     """Read a file by its format options: ``format``, ``header``, ``delimiter``."""
-    fmt = str(options.get("format", "CSV")).upper()
-    if fmt == "CSV":
-        return read_csv(
-            spark,
-            path,
-            header=bool(options.get("header", True)),
-            delimiter=str(options.get("delimiter", ",")),
-        )
-    if fmt == "JSON":
-        return read_json(spark, path)
-    if fmt == "PARQUET":
-        return read_parquet(spark, path)
-    raise ValueError(f"unsupported file format {options.get('format')!r}")
-
-
-def canonical(df: DataFrame) -> DataFrame:
-    """A frame as the cleaning steps expect it: one kind of missing value."""
-    return canonicalize_nan(df)
+    name = str(options.get("format", "CSV")).upper()
+    if name not in FILE_FORMATS:
+        raise ValueError(f"unsupported file format {options.get('format')!r}")
+    return FILE_FORMATS[name](spark, path, options)

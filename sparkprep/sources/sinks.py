@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.operators.profile import PREVIEW_ROWS, preview
+from sparkprep.operators.profile import PREVIEW_ROWS, preview, schema_list
 from sparkprep.operators.validate import Rule, any_failure
 from sparkprep.session import new_path
 from sparkprep.sources.readers import DEFAULT_FORMAT, read_file
@@ -82,6 +83,13 @@ def read_split(
     return both.where(~flag).drop(IS_ERROR), both.where(flag).drop(IS_ERROR)
 
 
+def write_schema(df: DataFrame, path: str) -> None:
+    """Export the schema as a JSON list of names and types; no data is read."""
+    text = json.dumps(schema_list(df))
+    frame = df.sparkSession.createDataFrame([(text,)], "value string")
+    frame.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_sample_csv(
     df: DataFrame, path: str, rows: int = PREVIEW_ROWS, order_by: Sequence[str] = ()
 ) -> None:

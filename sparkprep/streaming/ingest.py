@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkprep.functions.columns import canonicalize_nan, data_type, qcol, replace_column
-from sparkprep.operators.validate import Rule, validation_report
+from sparkprep.operators.validate import Rule, any_failure, validation_report
 from sparkprep.sources.readers import DEFAULT_FORMAT
+from sparkprep.sources.sinks import IS_ERROR
 
 
 def file_stream(
@@ -36,22 +37,42 @@ def file_stream(
     return reader.load(folder)
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, fmt: str = DEFAULT_FORMAT) -> StreamingQuery:
+def ingest(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    fmt: str = DEFAULT_FORMAT,
+    partition_by: Sequence[str] = (),
+) -> StreamingQuery:
     """Append everything that has arrived to ``path``, then stop.
 
     The checkpoint remembers what was read: a second run adds only what is new.
     """
-    query = (
+    writer = (
         stream.writeStream.format(fmt)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start(path)
     )
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    query = writer.start(path)
     query.awaitTermination()
     return query
 
 
+def ingest_split(
+    stream: DataFrame,
+    rules: Sequence[Rule],
+    path: str,
+    checkpoint: str,
+    fmt: str = DEFAULT_FORMAT,
+) -> StreamingQuery:
+    """Append clean and error rows to ``path``, for ``sinks.read_split``."""
+    marked = stream.withColumn(IS_ERROR, any_failure(stream, rules))
+    return ingest(marked, path, checkpoint, fmt, partition_by=[IS_ERROR])
+
+
 def remove_duplicates_within(stream: DataFrame, time_column: str, delay: str) -> DataFrame:
     """Remove equal rows that arrive within ``delay`` of each other.
 

@@ -9,7 +9,7 @@ from sparkprep import fixtures as fx
 from sparkprep.functions.ordered import with_predecessor
 from sparkprep.operators.fill import fill_mean
 from sparkprep.operators.validate import NotNull
-from sparkprep.plans import cleaning, lineage
+from sparkprep.plans import cleaning, job, lineage
 from sparkprep.plans import steps as s
 from sparkprep.session import new_path
 from sparkprep.sources import sinks
@@ -150,6 +150,19 @@ def test_report_counts_and_reasons(spark, small):
     assert report.to_frame(spark).count() == len(plan)
 
 
+@pytest.mark.parametrize(
+    "plan, rows",
+    [
+        ([s.FilterEquals("id", "x"), s.FillNulls("v", "fill_mean")], (4, 0, 0)),
+        ([s.FilterEquals("id", "x"), s.FilterEquals("id", "1")], (4, 0, 0)),
+        ([s.Custom(lambda df: df.limit(0), "none", shuffles=False)], (4, 0)),
+    ],
+)
+def test_report_where_nothing_is_left(small, plan, rows):
+    records = cleaning.run_steps(small, plan).records
+    assert (records[0].initial_rows, *[r.final_rows for r in records]) == rows
+
+
 def test_report_of_no_steps(small):
     assert cleaning.run_steps(small, []).records == ()
 
@@ -286,3 +299,61 @@ def test_statistics_from_another_table(spark):
     df = spark.createDataFrame([(None,)], "v double")
     other = spark.createDataFrame([(2.0,), (4.0,)], "v double")
     assert fill_mean(df, "v", stats=other).first()["v"] == 3.0
+
+
+def test_job_from_files_to_table(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text("id;v\n1;2.5\n2;NA\n2;NA\nx;1\n")
+    spec = {
+        "pipeline_name": "files",
+        "source": {"path": str(path), "format": "CSV", "header": True, "delimiter": ";"},
+        "validation_config": {
+            "suite": {
+                "expectations": [
+                    {
+                        "expectation_type": "expect_column_values_to_be_of_type",
+                        "kwargs": {"column": "id", "type": "int"},
+                    }
+                ]
+            }
+        },
+        "split_path": new_path(spark, "split"),
+        "cleaning_config": {
+            "cleaning_steps": [
+                {"type": "fill_null_data", "column": "v", "strategy": "fill_mean"},
+                {"type": "remove_duplicates"},
+            ]
+        },
+        "transformations": [{"type": "Remove Column", "columns": ["id"]}],
+        "output_table": "prepared_files",
+        "lineage_path": new_path(spark, "log"),
+    }
+    result = job.run_job(spark, json.dumps(spec))
+    assert sorted(r["v"] for r in spark.table("prepared_files").collect()) == [2.5, 2.5]
+    assert result.report.rows_removed == 1
+    assert result.validation.first()["unexpected_count"] == 1
+    clean, error = sinks.read_split(spark, spec["split_path"])
+    assert (clean.count(), error.count()) == (3, 1)
+    names = lineage.read_log(spark, spec["lineage_path"]).orderBy("seq").select("name").collect()
+    assert [r["name"].split("(")[0] for r in names] == [
+        "Source",
+        "Validation",
+        "fill_null_data",
+        "remove_duplicates",
+        "Remove Column",
+        "Load",
+    ]
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        {"output_table": "t"},
+        {"source": {}, "output_table": "t"},
+        {"source": {"table": "t"}},
+        {"source": {"table": "t"}, "output_table": "t"},
+    ],
+)
+def test_incomplete_jobs_are_rejected(spec):
+    with pytest.raises(ValueError):
+        job.job_from_spec(spec)

@@ -1,5 +1,6 @@
 """Reading, writing and loading each file once."""
 
+import json
 from pathlib import Path
 
 import pytest
@@ -76,6 +77,8 @@ def test_read_file_by_options(spark, tmp_path):
     assert parquet.count() == 5
     with pytest.raises(ValueError):
         readers.read_file(spark, csv, {"format": "xlsx"})
+    readers.register_format("lines", lambda spark, path, options: spark.read.text(path))
+    assert readers.read_file(spark, csv, {"format": "LINES"}).first()["value"] == "1|2"
 
 
 def test_table_names_are_not_pasted_into_sql(spark):
@@ -139,6 +142,13 @@ def test_sample(spark):
     assert [r["id"] for r in readers.read_csv(spark, path).collect()] == [0, 1, 2, 3, 4]
 
 
+def test_schema_export(spark):
+    path = new_path(spark, "schema")
+    sinks.write_schema(spark.createDataFrame([(1, "x")], "a int, `b.c` string"), path)
+    found = json.loads(spark.read.text(path).first()["value"])
+    assert found == [{"name": "a", "type": "int"}, {"name": "b.c", "type": "string"}]
+
+
 def test_each_file_is_loaded_once(spark, tmp_path):
     log, loads = new_path(spark, "ledger"), []
     for name in "abc":
