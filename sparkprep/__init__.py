@@ -51,4 +51,51 @@ from sparkprep.plans.steps import (
     register_step,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "Branches",
+    "ColumnExists",
+    "Custom",
+    "DropColumns",
+    "FillNulls",
+    "FilterEquals",
+    "NotNull",
+    "OfType",
+    "RemoveColumn",
+    "RemoveDuplicates",
+    "RemoveNulls",
+    "RenameColumns",
+    "RowRule",
+    "Step",
+    "apply_convention",
+    "apply_steps",
+    "canonicalize_nan",
+    "drop_column_if_null",
+    "drop_columns",
+    "drop_missing",
+    "error_reasons",
+    "fill_mean",
+    "fill_median",
+    "fill_mode",
+    "fill_value",
+    "filter_equals",
+    "has_nulls",
+    "normalize_na",
+    "preview",
+    "profile_columns",
+    "register_function",
+    "register_step",
+    "remove_duplicates",
+    "remove_nulls_from_table",
+    "rename_column",
+    "run_steps",
+    "schema_table",
+    "shape",
+    "spec_from_steps",
+    "split",
+    "steps_from_spec",
+    "suite_from_dict",
+    "suite_from_json",
+    "suite_to_json",
+    "unexpected_sample",
+    "validation_report",
+]

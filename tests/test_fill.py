@@ -109,11 +109,12 @@ def test_coercion_and_strategies():
     assert fill.strategies_for(T.BooleanType()) == ("fill_mode", "fill_specific")
 
 
-def narrowed(spark, items, dtype="double"):
+def narrowed(spark, items, dtype="double", rounds=1):
     df = stats.values_of(frame(spark, items, dtype), "v")
-    return spark.range(1).select(stats.selected_median(df)).first()[0]
+    return spark.range(1).select(stats.selected_median(df, rounds)).first()[0]
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
 @pytest.mark.parametrize(
     "items",
     [
@@ -127,8 +128,8 @@ def narrowed(spark, items, dtype="double"):
         [1e308, 1.7e308, -1.7e308],
     ],
 )
-def test_narrowing_median_on_small_frames(spark, items):
-    assert narrowed(spark, items) == statistics.median(items)
+def test_narrowing_median_on_small_frames(spark, items, rounds):
+    assert narrowed(spark, items, rounds=rounds) == statistics.median(items)
 
 
 @pytest.mark.parametrize("n", [1000, 1001])
@@ -140,18 +141,26 @@ def test_narrowing_median_on_spread_and_skewed_values(spark, n):
         assert narrowed(spark, items) == pytest.approx(statistics.median(items), rel=1e-12)
 
 
-def test_narrowing_median_does_not_depend_on_the_bracket(spark, monkeypatch):
-    """With a bracket far from the middle the outer bins give the answer."""
-    items = [float(i * i) for i in range(501)]
-    for half_width in (0.0, -0.4, 0.4):
-        monkeypatch.setattr(stats, "HALF_WIDTH", half_width)
-        assert narrowed(spark, items) == statistics.median(items)
+def test_narrowing_median_does_not_depend_on_the_bins(spark, monkeypatch):
+    """Few bins and few rounds leave more to count, with the same result."""
+    items = [float(i * i) for i in range(501)] + [-3.0, -3.0, 1e-200]
+    for bins, rounds in ((2, 0), (2, 2), (7, 1)):
+        monkeypatch.setattr(stats, "BINS", bins)
+        assert narrowed(spark, items, rounds=rounds) == statistics.median(items)
+
+
+def test_middle_values_in_different_bins(spark):
+    for rounds in (0, 1, 2):
+        assert narrowed(spark, [-8.0, -8.0, 1.0, 1024.0], rounds=rounds) == -3.5
+        assert narrowed(spark, [1.0, 1.0, 512.0, 513.0], rounds=rounds) == 256.5
+        assert narrowed(spark, [4.0, 4.5, 7.0, 7.5], rounds=rounds) == 5.75
 
 
 def test_narrowing_median_of_other_types(spark):
     big = [(1 << 60) + i for i in range(5)]
     assert narrowed(spark, big, "bigint") == float(big[2])
     assert narrowed(spark, [Decimal("1.10"), Decimal("1.20")], "decimal(5,2)") == Decimal("1.15")
+    assert narrowed(spark, [-(1 << 63), (1 << 63) - 1, 5], "bigint") == 5.0
     assert narrowed(spark, [], "double") is None
 
 
@@ -159,11 +168,11 @@ def test_large_inputs_take_the_narrowing_median(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     assert stats.is_small(df)
     monkeypatch.setattr(stats, "SMALL_INPUT_BYTES", 0)
-    monkeypatch.setattr(stats, "is_small", lambda d: False)
+    monkeypatch.setattr(stats, "is_small", lambda *_: False)
     holes = df.withColumn("v", F.when(F.col("v") != 10, F.col("v")))
     assert fill.fill_median(holes, "v").where("v = 500").count() == 2
     plan = fill.fill_median(holes, "v")._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile_approx" in plan and "median" not in plan
+    assert "log2" in plan.lower() and "median" not in plan
 
 
 def test_approximate_median(spark):
