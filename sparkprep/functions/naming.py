@@ -21,6 +21,7 @@ def camel_case(name: str) -> str:
     return joined[:1].lower() + joined[1:]
 
 
+# The names of the conventions in specs.
 CONVENTIONS: dict[str, Callable[[str], str]] = {
     "to_lowercase": str.lower,
     "to_uppercase": str.upper,

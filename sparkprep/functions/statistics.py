@@ -15,8 +15,10 @@ from pyspark.sql import Window
 
 from sparkprep.functions.columns import data_type, is_missing, is_present, null_if_nan, qcol
 
-# Sketch accuracy of approximate medians.
-ACCURACY = 10_000
+# Size parameter of the sketch for approximate medians (a rank error well under
+# 0.1 %), and the number of groups whose sketches are merged first.
+SKETCH_SIZE = 4096
+SKETCH_GROUPS = 256
 
 # Parts a range is cut into in one round of the exact median, and the largest
 # estimated size of the one projected column for which one such round will do.
@@ -66,8 +68,22 @@ def any_missing(df: DataFrame, name: str) -> Column:
     return df.where(is_missing(df, name)).exists()
 
 
-def approximate_median_of(df: DataFrame, name: str, accuracy: int = ACCURACY) -> Column:
-    return df.agg(F.percentile_approx(null_if_nan(df, name), 0.5, accuracy)).scalar()
+def approximate_median_of(df: DataFrame, name: str) -> Column:
+    """Median by a sketch, in one pass.
+
+    Sketches of tasks are merged in groups and then once more, so the last
+    merge sees a fixed number of them, however many tasks there are.
+    """
+    grouped = values_of(df, name).select(
+        F.col("v").cast("double").alias("v"), (F.spark_partition_id() % SKETCH_GROUPS).alias("g")
+    )
+    sketches = grouped.groupBy("g").agg(F.kll_sketch_agg_double("v", SKETCH_SIZE).alias("s"))
+    merged = sketches.agg(
+        F.count(F.lit(1)).alias("n"), F.kll_merge_agg_double("s", SKETCH_SIZE).alias("s")
+    )
+    return merged.select(
+        F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", F.lit(0.5)))
+    ).scalar()
 
 
 def median_of(df: DataFrame, name: str) -> Column:

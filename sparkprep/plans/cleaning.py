@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkprep.operators.validate import Rule, clean_rows, error_rows
 from sparkprep.plans.steps import (
+    DROP_ROWS_ANY,
+    DROP_ROWS_COL,
     FillNulls,
     RemoveNulls,
     Step,
@@ -312,9 +314,9 @@ def remove_nulls_from_table(
         raise ValueError(f"{input_table} cannot be both input and output")
     columns = read_list(columns_to_check)
     step = (
-        RemoveNulls(RemoveNulls.SUBSET, tuple(columns), how=how)
+        RemoveNulls(DROP_ROWS_COL, tuple(columns), how=how)
         if columns
-        else RemoveNulls(RemoveNulls.ANY, how=how)
+        else RemoveNulls(DROP_ROWS_ANY, how=how)
     )
     return run_steps(
         spark.table(input_table),
@@ -323,12 +325,21 @@ def remove_nulls_from_table(
     )
 
 
+# Names of the settings of a null-removal job.
+INPUT_DATABASE = "input_lakehouse_name"
+INPUT_TABLE = "input_table_name"
+OUTPUT_DATABASE = "output_lakehouse_name"
+OUTPUT_TABLE = "output_table_name"
+COLUMNS_TO_CHECK = "columns_to_check"
+HOW_TO_DROP = "how_to_drop"
+
+
 def remove_nulls_from_params(spark: SparkSession, params: Mapping[str, object]) -> StepReport:
-    """``remove_nulls_from_table`` with its settings under their file names."""
+    """``remove_nulls_from_table`` with its settings given by name."""
     return remove_nulls_from_table(
         spark,
-        f"{params['input_lakehouse_name']}.{params['input_table_name']}",
-        f"{params['output_lakehouse_name']}.{params['output_table_name']}",
-        params.get("columns_to_check"),
-        str(params.get("how_to_drop", "any")),
+        f"{params[INPUT_DATABASE]}.{params[INPUT_TABLE]}",
+        f"{params[OUTPUT_DATABASE]}.{params[OUTPUT_TABLE]}",
+        params.get(COLUMNS_TO_CHECK),
+        str(params.get(HOW_TO_DROP, "any")),
     )

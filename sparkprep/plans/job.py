@@ -14,7 +14,8 @@ A spec has these parts, all but ``source`` and ``output_table`` optional::
       "output_table": "db.events_prepared",
       "output_format": "parquet",
       "output_path": "...",
-      "lineage_path": "..."
+      "lineage_path": "...",
+      "checkpoint": false                         true cuts long plans, see ``stages``
     }
 """
 
@@ -48,6 +49,7 @@ class Job:
     output_format: str = DEFAULT_FORMAT
     output_path: str | None = None
     lineage_path: str | None = None
+    checkpoint: bool = False
     name: str = ""
 
 
@@ -78,6 +80,7 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
         output_format=data.get("output_format", DEFAULT_FORMAT),
         output_path=data.get("output_path"),
         lineage_path=data.get("lineage_path"),
+        checkpoint=bool(data.get("checkpoint", False)),
         name=data.get("pipeline_name", ""),
     )
 
@@ -100,6 +103,7 @@ def run_job(spark: SparkSession, job: Job | str | Mapping[str, object]) -> JobRe
         branches.branch(job.branch),
         job.steps,
         lambda df: write_table(df, job.output_table, job.output_format, path=job.output_path),
+        checkpoint=job.checkpoint,
     )
     if job.lineage_path:
         entries = [

@@ -36,6 +36,32 @@ from sparkprep.operators.projections import (
 )
 
 
+# Step types in specs.
+FILL_NULLS = "fill_null_data"
+REMOVE_NULLS = "remove_null_data"
+RENAME_COLUMNS = "rename_columns"
+DROP_COLUMNS = "drop_columns"
+REMOVE_DUPLICATES = "remove_duplicates"
+FILTER = "Filter"
+REMOVE_COLUMN = "Remove Column"
+
+# Strategies of null removal, and the rename by name.
+DROP_ROWS_ANY = "drop_rows_any"
+DROP_ROWS_COL = "drop_rows_col"
+DROP_COLUMN = "drop_column"
+SPECIFIC_RENAME = "specific_rename"
+
+# Reasons for skipping a step.
+NOT_FOUND = "Column '{}' not found."
+NO_NULL_VALUES = "Column '{}' has no null values."
+NOT_NUMERIC = "Cannot fill {} for non-numeric column '{}'."
+NO_MODE = "Could not determine mode for column '{}'."
+NO_FILL_VALUE = "Fill value not provided for specific fill strategy."
+NO_VALID_COLUMNS = "No valid columns for drop_rows_col."
+NO_NULLS = "Column '{}' has no nulls."
+RENAME_NOT_FOUND = "Column '{}' not found for specific rename."
+
+
 class Step(ABC):
     """Subclass and decorate with ``register_step`` to add a step."""
 
@@ -122,7 +148,7 @@ class FillNulls(Step):
     approx: bool = False
     only_if_nulls: bool = True
 
-    type = "fill_null_data"
+    type = FILL_NULLS
 
     def __post_init__(self) -> None:
         if not self.column or not self.strategy:
@@ -152,15 +178,15 @@ class FillNulls(Step):
 
     def skip_reason(self, df: DataFrame) -> str | None:
         if not has_column(df, self.column):
-            return f"Column '{self.column}' not found."
+            return NOT_FOUND.format(self.column)
         if self.strategy in (fills.MEAN, fills.MEDIAN):
             if not is_numeric(data_type(df, self.column)):
                 kind = self.strategy.removeprefix("fill_")
-                return f"Cannot fill {kind} for non-numeric column '{self.column}'."
+                return NOT_NUMERIC.format(kind, self.column)
         if self.strategy == fills.MODE and not fills.has_mode(df, self.column):
-            return f"Could not determine mode for column '{self.column}'."
+            return NO_MODE.format(self.column)
         if self.strategy == fills.SPECIFIC and self.fill_value is None:
-            return "Fill value not provided for specific fill strategy."
+            return NO_FILL_VALUE
         return None
 
     def metrics(self, df: DataFrame, stats: DataFrame | None = None) -> dict[str, Column]:
@@ -182,9 +208,9 @@ class FillNulls(Step):
 
     def data_skip_reason(self, found: Mapping[str, object]) -> str | None:
         if not found.get("missing"):
-            return f"Column '{self.column}' has no null values."
+            return NO_NULL_VALUES.format(self.column)
         if self.strategy == fills.MODE and found.get("statistic") is None:
-            return f"Could not determine mode for column '{self.column}'."
+            return NO_MODE.format(self.column)
         return None
 
     def details(self, df: DataFrame, found: Mapping[str, object]) -> dict[str, str]:
@@ -203,34 +229,32 @@ class RemoveNulls(Step):
     column_to_drop: str | None = None
     how: str = "any"
 
-    type = "remove_null_data"
-    # Strategy names.
-    ANY, SUBSET, COLUMN = "drop_rows_any", "drop_rows_col", "drop_column"
+    type = REMOVE_NULLS
 
     def __post_init__(self) -> None:
-        if self.strategy not in (self.ANY, self.SUBSET, self.COLUMN):
+        if self.strategy not in (DROP_ROWS_ANY, DROP_ROWS_COL, DROP_COLUMN):
             raise ValueError(f"unknown removal strategy {self.strategy!r}")
         if self.columns_to_check is not None:
             object.__setattr__(self, "columns_to_check", tuple(self.columns_to_check))
-        if self.strategy == self.SUBSET and not self.columns_to_check:
-            raise ValueError("drop_rows_col needs columns to check")
-        if self.strategy == self.COLUMN and not self.column_to_drop:
-            raise ValueError("drop_column needs a column")
+        if self.strategy == DROP_ROWS_COL and not self.columns_to_check:
+            raise ValueError(f"{DROP_ROWS_COL} needs columns to check")
+        if self.strategy == DROP_COLUMN and not self.column_to_drop:
+            raise ValueError(f"{DROP_COLUMN} needs a column")
         if self.how not in ("any", "all"):
             raise ValueError(f"how must be 'any' or 'all', not {self.how!r}")
 
     @property
     def changes_rows(self) -> bool:
-        return self.strategy != self.COLUMN
+        return self.strategy != DROP_COLUMN
 
     @property
     def keeps_values(self) -> bool:
-        return self.strategy == self.COLUMN
+        return self.strategy == DROP_COLUMN
 
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-        if self.strategy == self.COLUMN:
+        if self.strategy == DROP_COLUMN:
             return drop_column_if_null(df, self.column_to_drop, stats)
-        checked = self.columns_to_check if self.strategy == self.SUBSET else None
+        checked = self.columns_to_check if self.strategy == DROP_ROWS_COL else None
         return drop_missing(df, checked, self.how)
 
     def params(self) -> dict:
@@ -242,14 +266,14 @@ class RemoveNulls(Step):
         )
 
     def skip_reason(self, df: DataFrame) -> str | None:
-        if self.strategy == self.SUBSET and not set(self.columns_to_check) & set(df.columns):
-            return "No valid columns for drop_rows_col."
-        if self.strategy == self.COLUMN and not has_column(df, self.column_to_drop):
-            return f"Column '{self.column_to_drop}' not found."
+        if self.strategy == DROP_ROWS_COL and not set(self.columns_to_check) & set(df.columns):
+            return NO_VALID_COLUMNS
+        if self.strategy == DROP_COLUMN and not has_column(df, self.column_to_drop):
+            return NOT_FOUND.format(self.column_to_drop)
         return None
 
     def settle(self, df: DataFrame) -> Step:
-        if self.strategy != self.COLUMN or self.skip_reason(df):
+        if self.strategy != DROP_COLUMN or self.skip_reason(df):
             return self
         return SettledColumnDrop(self.column_to_drop, contains_missing(df, self.column_to_drop))
 
@@ -261,17 +285,17 @@ class SettledColumnDrop(Step):
     column: str
     found: bool
 
-    type = RemoveNulls.type
+    type = REMOVE_NULLS
     keeps_values = True
 
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         return drop_columns(df, [self.column]) if self.found else df
 
     def params(self) -> dict:
-        return {"strategy": RemoveNulls.COLUMN, "column_to_drop": self.column}
+        return {"strategy": DROP_COLUMN, "column_to_drop": self.column}
 
     def skip_reason(self, df: DataFrame) -> str | None:
-        return None if self.found else f"Column '{self.column}' has no nulls."
+        return None if self.found else NO_NULLS.format(self.column)
 
 
 @register_step
@@ -282,12 +306,11 @@ class RenameColumns(Step):
     new_name: str | None = None
     columns_to_transform: tuple[str, ...] | str | None = None
 
-    type = "rename_columns"
+    type = RENAME_COLUMNS
     keeps_values = True
-    SPECIFIC = "specific_rename"
 
     def __post_init__(self) -> None:
-        if self.rename_type == self.SPECIFIC:
+        if self.rename_type == SPECIFIC_RENAME:
             if not self.old_name or not self.new_name:
                 raise ValueError("a rename needs the old and the new name")
         elif self.rename_type not in CONVENTIONS:
@@ -298,7 +321,7 @@ class RenameColumns(Step):
             object.__setattr__(self, "columns_to_transform", tuple(self.columns_to_transform))
 
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-        if self.rename_type == self.SPECIFIC:
+        if self.rename_type == SPECIFIC_RENAME:
             return rename_column(df, self.old_name, self.new_name)
         return apply_convention(df, self.rename_type, self.columns_to_transform)
 
@@ -311,8 +334,8 @@ class RenameColumns(Step):
         )
 
     def skip_reason(self, df: DataFrame) -> str | None:
-        if self.rename_type == self.SPECIFIC and not has_column(df, self.old_name):
-            return f"Column '{self.old_name}' not found for specific rename."
+        if self.rename_type == SPECIFIC_RENAME and not has_column(df, self.old_name):
+            return RENAME_NOT_FOUND.format(self.old_name)
         return None
 
     def details(self, df: DataFrame, found: Mapping[str, object]) -> dict[str, str]:
@@ -326,7 +349,7 @@ class RenameColumns(Step):
 class DropColumns(Step):
     columns_to_drop: tuple[str, ...]
 
-    type = "drop_columns"
+    type = DROP_COLUMNS
     keeps_values = True
 
     def __post_init__(self) -> None:
@@ -349,7 +372,7 @@ class DropColumns(Step):
 @register_step
 @dataclass(frozen=True)
 class RemoveDuplicates(Step):
-    type = "remove_duplicates"
+    type = REMOVE_DUPLICATES
     changes_rows = True
     shuffles = True
 
@@ -365,7 +388,7 @@ class FilterEquals(Step):
     column: str
     value: str
 
-    type = "Filter"
+    type = FILTER
     changes_rows = True
 
     def __post_init__(self) -> None:
@@ -383,7 +406,7 @@ class FilterEquals(Step):
         return {"column": self.column, "value": self.value}
 
     def skip_reason(self, df: DataFrame) -> str | None:
-        return None if has_column(df, self.column) else f"Column '{self.column}' not found."
+        return None if has_column(df, self.column) else NOT_FOUND.format(self.column)
 
 
 @register_step
@@ -393,7 +416,7 @@ class RemoveColumn(Step):
 
     columns: tuple[str, ...]
 
-    type = "Remove Column"
+    type = REMOVE_COLUMN
     keeps_values = True
 
     def __post_init__(self) -> None:

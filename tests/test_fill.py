@@ -176,8 +176,15 @@ def test_large_inputs_take_the_narrowing_median(spark, monkeypatch):
 
 
 def test_approximate_median(spark):
-    df = spark.range(1001).select(F.when(F.col("id") != 7, F.col("id")).alias("v"))
-    assert fill.fill_median(df, "v", approx=True).where("v between 495 and 505").count() == 12
+    df = spark.range(0, 100_001, numPartitions=300).select(
+        F.when(F.col("id") != 7, F.col("id")).alias("v")
+    )
+    filled = fill.fill_median(df, "v", approx=True)
+    assert filled.where("v between 49500 and 50500").count() == 1002
+    empty = frame(spark, [None, NAN])
+    assert values(fill.fill_median(empty, "v", approx=True)) == [None, None]
+    two = frame(spark, [Decimal("1.5"), None], "decimal(5,1)")
+    assert values(fill.fill_median(two, "v", approx=True)) == [Decimal("1.5"), Decimal("1.5")]
 
 
 def test_fills_join_nothing(spark):
