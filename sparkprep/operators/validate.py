@@ -245,8 +245,13 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 
 def error_reasons(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule, rows): how many rows fail each rule that has failures."""
-    marked = with_reasons(df, rules).select(F.explode(FAILED).alias("rule"))
-    return marked.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+    counts = [
+        F.struct(F.lit(name).alias("rule"), F.count_if(failing).alias("rows"))
+        for name, failing in _row_rules(df, rules)
+    ]
+    if not counts:
+        return df.sparkSession.createDataFrame([], "rule string, rows bigint")
+    return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts")).where("rows > 0")
 
 
 def unexpected_sample(

@@ -154,7 +154,8 @@ def run_steps(
     laid, last = stages(df, steps, checkpoint)
     settled = [stage.step for stage in laid]
     frames = [stage.frame for stage in laid] + [last]
-    wanted = [_boundary_metrics(i, laid, last) for i in range(len(frames))]
+    taken_at = _where_counted(laid)
+    wanted = _wanted(laid, frames, taken_at)
     ahead_of_shuffle = [any(s.shuffles for s in settled[i:]) for i in range(len(frames))]
 
     counted = [i for i, w in enumerate(wanted) if w and ahead_of_shuffle[i]]
@@ -178,17 +179,36 @@ def run_steps(
             # The optimizer saw that nothing gets this far and left it out.
             lost.append(i)
     found.update(_count_now(df.sparkSession, {i: (frames[i], wanted[i]) for i in lost}))
-    return StepReport(tuple(_records(frames, settled, found)))
+    return StepReport(tuple(_records(laid, frames, taken_at, found)))
 
 
-def _boundary_metrics(i: int, laid: Sequence[Stage], last: DataFrame) -> dict[str, Column]:
-    """What to count between step ``i - 1`` and step ``i``."""
-    metrics: dict[str, Column] = {}
-    if i == 0 or laid[i - 1].step.changes_rows:
-        metrics["rows"] = F.count(F.lit(1))
-    if i < len(laid) and not laid[i].step.skip_reason(laid[i].frame):
-        metrics.update(laid[i].step.metrics(laid[i].frame, laid[i].stats))
-    return metrics
+def _where_counted(laid: Sequence[Stage]) -> list[int]:
+    """For each step, ahead of which step its metrics are taken.
+
+    Fills that share their statistics are counted together, ahead of the first:
+    filling one column does not change what is missing in another.
+    """
+    at: list[int] = []
+    for i, stage in enumerate(laid):
+        joined = i > 0 and all(isinstance(s.step, FillNulls) for s in (laid[i - 1], stage))
+        at.append(at[-1] if joined and laid[i - 1].stats is stage.stats else i)
+    return at
+
+
+def _wanted(
+    laid: Sequence[Stage], frames: Sequence[DataFrame], taken_at: Sequence[int]
+) -> list[dict[str, Column]]:
+    """What to count ahead of each step, and after the last."""
+    wanted: list[dict[str, Column]] = [{} for _ in frames]
+    for i in range(len(frames)):
+        if i == 0 or laid[i - 1].step.changes_rows:
+            wanted[i]["rows"] = F.count(F.lit(1))
+    for i, stage in enumerate(laid):
+        if not stage.step.skip_reason(stage.frame):
+            frame = frames[taken_at[i]]
+            for name, metric in stage.step.metrics(frame, stage.stats).items():
+                wanted[taken_at[i]][f"{name}_{i}"] = metric
+    return wanted
 
 
 def _count_now(
@@ -206,23 +226,28 @@ def _count_now(
 
 
 def _records(
-    frames: Sequence[DataFrame], steps: Sequence[Step], found: Mapping[int, Mapping[str, object]]
+    laid: Sequence[Stage],
+    frames: Sequence[DataFrame],
+    taken_at: Sequence[int],
+    found: Mapping[int, Mapping[str, object]],
 ) -> Iterator[StepRecord]:
     rows = found[0]["rows"]
-    for i, step in enumerate(steps):
-        metrics = found.get(i, {})
+    for i, stage in enumerate(laid):
+        counts = found.get(taken_at[i], {})
+        suffix = f"_{i}"
+        metrics = {k.removesuffix(suffix): v for k, v in counts.items() if k.endswith(suffix)}
         after = found.get(i + 1, {}).get("rows", rows)
-        reason = step.skip_reason(frames[i]) or step.data_skip_reason(metrics)
+        reason = stage.step.skip_reason(stage.frame) or stage.step.data_skip_reason(metrics)
         yield StepRecord(
             seq=i + 1,
-            step=step.title,
+            step=stage.step.title,
             status=SKIPPED if reason else APPLIED,
             reason=reason,
             initial_rows=rows,
-            initial_columns=len(frames[i].columns),
+            initial_columns=len(stage.frame.columns),
             final_rows=after,
             final_columns=len(frames[i + 1].columns),
-            details={} if reason else step.details(frames[i], metrics),
+            details={} if reason else stage.step.details(stage.frame, metrics),
         )
         rows = after
 

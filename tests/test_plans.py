@@ -163,6 +163,34 @@ def test_report_where_nothing_is_left(small, plan, rows):
     assert (records[0].initial_rows, *[r.final_rows for r in records]) == rows
 
 
+def test_counts_of_adjacent_fills_are_taken_together(small):
+    plan = [
+        s.FillNulls("v", "fill_mean"),
+        s.FillNulls("t", "fill_mode"),
+        s.FillNulls("id", "fill_specific", 0),
+        s.FillNulls("v", "fill_specific", 0),
+    ]
+    seen = []
+    report = cleaning.run_steps(
+        small, plan, lambda df: (seen.append(plan_text(df)), cleaning.write_nothing(df))
+    )
+    assert seen[0].count("CollectMetrics") == 2
+    assert [r.details.get("filled") for r in report.records] == ["1", "2", "1", None]
+    assert report.records[3].reason == "Column 'v' has no null values."
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_removal_is_one_job(spark):
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    spark.sparkContext.setJobGroup("removal", "removal")
+    cleaning.run_steps(orders, [s.RemoveNulls("drop_rows_any")])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("removal")) == 1
+    spark.sparkContext.setJobGroup("other", "other")
+
+
 def test_report_of_no_steps(small):
     assert cleaning.run_steps(small, []).records == ()
 
@@ -222,7 +250,9 @@ def test_steps_run_no_job_while_being_applied(spark, small):
 
 
 def test_custom_steps(small):
-    s.register_function("keep_first_letter", lambda df, column: df.withColumn(column, F.left(column, F.lit(1))))
+    s.register_function(
+        "keep_first_letter", lambda df, column: df.withColumn(column, F.left(column, F.lit(1)))
+    )
     found = cleaning.steps_from_spec([{"type": "keep_first_letter", "column": "t"}])
     assert found[0](small).where("t = 'x'").count() == 2
     assert found[0].to_dict() == {"type": "keep_first_letter", "column": "t"}
@@ -293,6 +323,7 @@ def test_predecessors_across_ranges(spark, chunk):
         " CAST(row_number() OVER (PARTITION BY g ORDER BY o) AS BIGINT) AS position FROM plain"
     )
     assert multiset(found) == multiset(wanted)
+    assert "Join" not in plan_text(found)
 
 
 def test_statistics_from_another_table(spark):

@@ -35,7 +35,8 @@ def test_csv_types_and_missing_texts(spark, tmp_path):
 
 def test_csv_with_a_schema(spark, tmp_path):
     schema = T.StructType.fromDDL("i int, d date")
-    df = readers.read_csv(spark, text(tmp_path, "a;b\n1;2024-02-29\nNA;\n"), delimiter=";", schema=schema)
+    path = text(tmp_path, "a;b\n1;2024-02-29\nNA;\n")
+    df = readers.read_csv(spark, path, delimiter=";", schema=schema)
     assert df.schema == schema and df.count() == 2
     with pytest.raises(ValueError):
         readers.read_csv(spark, text(tmp_path, "a,b\n1,2\n"), schema=T.StructType.fromDDL("i int"))
@@ -153,7 +154,12 @@ def test_each_file_is_loaded_once(spark, tmp_path):
     log, loads = new_path(spark, "ledger"), []
     for name in "abc":
         text(tmp_path, name, f"{name}.csv")
-    run = lambda **kw: ledger.ingest_new_files(spark, str(tmp_path), log, loads.append, "*.csv", **kw)
+
+    def run(**options):
+        return ledger.ingest_new_files(
+            spark, str(tmp_path), log, loads.append, "*.csv", **options
+        )
+
     assert run(batch_files=2) == 3
     assert [len(b) for b in loads] == [2, 1]
     assert run() == 0

@@ -108,6 +108,8 @@ def test_reasons(spark):
     found = {r["rule"]: r["rows"] for r in v.error_reasons(df, rules).collect()}
     assert found == {"not_null(a)": 1, "of_type(t, int)": 2}
     assert v.split(df, rules[:1])[1].count() == 1
+    assert v.error_reasons(df, [ColumnExists("a")]).isEmpty()
+    assert v.error_reasons(df.where("a = 1 AND t = '1'"), rules).isEmpty()
 
 
 def test_suite_forms():
