@@ -49,8 +49,9 @@ def ingest_new_files(
 
     Files go in batches of at most ``batch_files``, so the driver holds no
     more paths than that. A batch enters the ledger only after its load
-    succeeded: a failed load is repeated by the next run. Returns the number
-    of files loaded.
+    succeeded: a load that failed, or whose entry was lost, is repeated by the
+    next run, so ``load`` should not mind a repeat (a stream's sink keeps track
+    of that by itself). Returns the number of files loaded.
     """
     done = 0
     last = ("", "")
