@@ -8,10 +8,10 @@ aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from sparkprep.functions.columns import data_type, is_missing, is_present, null_if_nan, qcol
 
@@ -35,7 +35,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for a frame; None where it is not available."""
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:
+    except (AttributeError, Py4JError):
         return None
 
 

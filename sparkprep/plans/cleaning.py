@@ -21,7 +21,7 @@ from sparkprep.plans.steps import (
     step_from_dict,
     steps_to_dicts,
 )
-from sparkprep.session import work_dir
+from sparkprep.session import new_path
 from sparkprep.sources.readers import DEFAULT_FORMAT
 from sparkprep.sources.sinks import write_table
 
@@ -45,25 +45,28 @@ class Stage:
 
 
 def stages(
-    df: DataFrame, steps: Sequence[Step], checkpoint: bool = False
-) -> tuple[list[Stage], DataFrame]:
-    """Lay out the steps, and the frame after the last one.
+    df: DataFrame, steps: Sequence[Step], checkpoint: bool | None = None
+) -> tuple[list[Stage], DataFrame, Sequence[Step]]:
+    """Lay out steps on ``df``: the stages, the frame after them, steps left.
 
     Filling one column does not change another's statistics, so a run of fills
     takes all of them from the frame ahead of the run, where Catalyst can merge
     them into one aggregate. Renamed and dropped columns are carried along. A
-    step that changes rows, or a second fill of a column, starts a new run.
+    step that changes rows, or a second fill of a column, makes the next fill
+    start a new run, and each statistic of that run contains all that comes
+    before it.
 
-    With ``checkpoint``, such a new run starts from a checkpoint in the shared
-    folder instead of computing everything before it once per statistic.
+    Steps are therefore left over, to be laid out on the written result of the
+    others: from the third run on, at every new run if ``checkpoint`` is true,
+    never if it is false.
     """
-    laid, stats, filled = [], df, set()
-    for step in steps:
+    allowed = {None: 1, True: 0, False: len(steps)}[checkpoint]
+    laid, stats, filled, runs = [], df, set(), 0
+    for i, step in enumerate(steps):
         if isinstance(step, FillNulls) and (stats is None or step.column in filled):
-            if checkpoint:
-                work_dir(df.sparkSession)
-                df = df.checkpoint()
-            stats, filled = df, set()
+            if runs == allowed:
+                return laid, df, steps[i:]
+            stats, filled, runs = df, set(), runs + 1
         step = step.settle(df)
         source = df if stats is None else stats
         laid.append(Stage(step, df, source))
@@ -76,7 +79,7 @@ def stages(
             filled = _carried(df.columns, after.columns, filled, step)
             stats = step.apply(stats)
         df = after
-    return laid, df
+    return laid, df, ()
 
 
 def _carried(before: list[str], after: list[str], names: set[str], step: Step) -> set[str]:
@@ -90,17 +93,31 @@ def apply_steps(
     df: DataFrame,
     steps: Sequence[Step],
     stats: DataFrame | None = None,
-    checkpoint: bool = False,
+    checkpoint: bool | None = None,
 ) -> DataFrame:
     """Apply the steps in order, as one lazy plan.
 
-    ``stats`` is a batch table to take all statistics from, for a stream.
+    The exception are plans with more than two runs of fills (see ``stages``),
+    where intermediate results are written to the shared folder. ``stats`` is a
+    batch table to take all statistics from, for a stream.
     """
     if stats is not None:
         for step in steps:
             df = step.apply(df, stats)
+            if step.keeps_values:
+                stats = step.apply(stats, stats)
         return df
-    return stages(df, steps, checkpoint)[1]
+    while True:
+        _, df, steps = stages(df, steps, checkpoint)
+        if not steps:
+            return df
+        path = new_path(df.sparkSession, "stage")
+        df.write.parquet(path)
+        df = _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -140,7 +157,7 @@ def run_steps(
     df: DataFrame,
     steps: Sequence[Step],
     sink: Callable[[DataFrame], None] = write_nothing,
-    checkpoint: bool = False,
+    checkpoint: bool | None = None,
 ) -> StepReport:
     """Apply the steps, pass the result to ``sink`` and report on each step.
 
@@ -151,7 +168,21 @@ def run_steps(
     executor is lost and the task is repeated. Counts ahead of a shuffle are
     therefore taken by one separate aggregate job.
     """
-    laid, last = stages(df, steps, checkpoint)
+    records: list[StepRecord] = []
+    while True:
+        laid, last, steps = stages(df, steps, checkpoint)
+        if not steps:
+            records += _run_stages(laid, last, sink, len(records))
+            return StepReport(tuple(records))
+        path = new_path(df.sparkSession, "stage")
+        records += _run_stages(laid, last, lambda out: out.write.parquet(path), len(records))
+        df = _written(last, path)
+
+
+def _run_stages(
+    laid: Sequence[Stage], last: DataFrame, sink: Callable[[DataFrame], None], done: int
+) -> list[StepRecord]:
+    spark = last.sparkSession
     settled = [stage.step for stage in laid]
     frames = [stage.frame for stage in laid] + [last]
     taken_at = _where_counted(laid)
@@ -159,7 +190,7 @@ def run_steps(
     ahead_of_shuffle = [any(s.shuffles for s in settled[i:]) for i in range(len(frames))]
 
     counted = [i for i, w in enumerate(wanted) if w and ahead_of_shuffle[i]]
-    found = _count_now(df.sparkSession, {i: (frames[i], wanted[i]) for i in counted})
+    found = _count_now(spark, {i: (frames[i], wanted[i]) for i in counted})
 
     observations: dict[int, Observation] = {}
     observed = frames[0]
@@ -178,8 +209,8 @@ def run_steps(
         except Py4JJavaError:
             # The optimizer saw that nothing gets this far and left it out.
             lost.append(i)
-    found.update(_count_now(df.sparkSession, {i: (frames[i], wanted[i]) for i in lost}))
-    return StepReport(tuple(_records(laid, frames, taken_at, found)))
+    found.update(_count_now(spark, {i: (frames[i], wanted[i]) for i in lost}))
+    return list(_records(laid, frames, taken_at, found, done))
 
 
 def _where_counted(laid: Sequence[Stage]) -> list[int]:
@@ -230,6 +261,7 @@ def _records(
     frames: Sequence[DataFrame],
     taken_at: Sequence[int],
     found: Mapping[int, Mapping[str, object]],
+    done: int,
 ) -> Iterator[StepRecord]:
     rows = found[0]["rows"]
     for i, stage in enumerate(laid):
@@ -239,7 +271,7 @@ def _records(
         after = found.get(i + 1, {}).get("rows", rows)
         reason = stage.step.skip_reason(stage.frame) or stage.step.data_skip_reason(metrics)
         yield StepRecord(
-            seq=i + 1,
+            seq=done + i + 1,
             step=stage.step.title,
             status=SKIPPED if reason else APPLIED,
             reason=reason,

@@ -15,7 +15,7 @@ A spec has these parts, all but ``source`` and ``output_table`` optional::
       "output_format": "parquet",
       "output_path": "...",
       "lineage_path": "...",
-      "checkpoint": false                         true cuts long plans, see ``stages``
+      "checkpoint": null                          true or false, see ``stages``
     }
 """
 
@@ -49,7 +49,7 @@ class Job:
     output_format: str = DEFAULT_FORMAT
     output_path: str | None = None
     lineage_path: str | None = None
-    checkpoint: bool = False
+    checkpoint: bool | None = None
     name: str = ""
 
 
@@ -80,7 +80,7 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
         output_format=data.get("output_format", DEFAULT_FORMAT),
         output_path=data.get("output_path"),
         lineage_path=data.get("lineage_path"),
-        checkpoint=bool(data.get("checkpoint", False)),
+        checkpoint=data.get("checkpoint"),
         name=data.get("pipeline_name", ""),
     )
 

@@ -219,15 +219,33 @@ def test_result_is_the_same_with_report_and_checkpoint(spark):
     cleaning.run_steps(df, plan, lambda d: seen.append(multiset(d)))
     wanted = multiset(one_by_one)
     assert seen == [wanted]
-    assert multiset(cleaning.apply_steps(df, plan)) == wanted
-    assert multiset(cleaning.apply_steps(df, plan, checkpoint=True)) == wanted
+    for checkpoint in (None, True, False):
+        assert multiset(cleaning.apply_steps(df, plan, checkpoint=checkpoint)) == wanted
+    plain, cut = (cleaning.run_steps(df, plan, checkpoint=c).records for c in (False, True))
+    assert [vars(r) for r in plain] == [vars(r) for r in cut]
+    assert [r.seq for r in cut] == list(range(1, len(plan) + 1))
+
+
+def test_where_plans_are_cut(spark):
+    df = fx.dirty_lineitem(spark, FOLDER).withColumnRenamed("l_linestatus", " a.b ")
+    fill, drop = s.FillNulls("l_quantity", "fill_mean"), s.RemoveNulls("drop_rows_any")
+    plan = [fill, drop] * 4
+    left = {c: len(cleaning.stages(df, plan, c)[2]) for c in (None, True, False)}
+    assert left == {None: 4, True: 6, False: 0}
+    cut = cleaning.apply_steps(df, plan)
+    assert cut.columns == df.columns and "stage" in plan_text_files(cut)
+
+
+def plan_text_files(df):
+    return " ".join(df.inputFiles())
 
 
 def test_second_fill_of_a_column_sees_the_first(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "v double")
     plan = [s.FillNulls("v", "fill_specific", 5), s.FillNulls("v", "fill_mean")]
     assert sorted(r[0] for r in cleaning.apply_steps(df, plan).collect()) == [1.0, 3.0, 5.0]
-    laid, _ = cleaning.stages(df, plan)
+    laid, _, left = cleaning.stages(df, plan)
+    assert not left
     assert laid[0].stats is df and laid[1].stats is not df
 
 
@@ -243,8 +261,15 @@ def test_many_fills_stay_one_flat_plan(spark):
 def test_steps_run_no_job_while_being_applied(spark, small):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lazy", "lazy")
-    plan = [x for x in ALL_STEPS if x.title != s.RemoveNulls("drop_column", None, "t").title]
-    cleaning.apply_steps(small, plan[:5] + [s.RemoveDuplicates()])
+    plan = [
+        s.FillNulls("v", "fill_median"),
+        s.FillNulls("t", "fill_mode"),
+        s.RemoveNulls("drop_rows_any"),
+        s.RenameColumns("to_uppercase", columns_to_transform="*"),
+        s.FillNulls("ID", "fill_mean"),
+        s.RemoveDuplicates(),
+    ]
+    cleaning.apply_steps(small, plan)
     assert tracker.getJobIdsForGroup("lazy") == []
     spark.sparkContext.setJobGroup("other", "other")
 
@@ -330,6 +355,8 @@ def test_statistics_from_another_table(spark):
     df = spark.createDataFrame([(None,)], "v double")
     other = spark.createDataFrame([(2.0,), (4.0,)], "v double")
     assert fill_mean(df, "v", stats=other).first()["v"] == 3.0
+    plan = [s.RenameColumns("specific_rename", "v", "w"), s.FillNulls("w", "fill_mean")]
+    assert cleaning.apply_steps(df, plan, stats=other).first()["w"] == 3.0
 
 
 def test_job_from_files_to_table(spark, tmp_path):
