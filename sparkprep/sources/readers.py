@@ -58,7 +58,8 @@ def read_csv(
 
 
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast by position; a text that is no value of its type is an error."""
+    """Cast by position. In ANSI mode, Spark's default, a text that is no value
+    of its type is an error."""
     return df.select(
         [qcol(n).cast(f.dataType).alias(f.name) for n, f in zip(df.columns, schema.fields)]
     )
