@@ -48,13 +48,17 @@ def read_csv(
                 f"the schema has {len(schema.fields)} columns and the file has {len(names)}"
             )
         names = schema.names
-    text = T.StructType([T.StructField(n, T.StringType()) for n in check_names(names)])
+    check_names(names)
+    clash = len({n.lower() for n in names}) < len(names)
+    placed = [f"c{i}" for i in range(len(names))] if clash else names
+    text = T.StructType([T.StructField(n, T.StringType()) for n in placed])
     df = spark.read.schema(text).options(**options).csv(path, header=header)
     if na:
         df = normalize_na(df)
     if schema is not None:
         return cast_to(df, schema)
-    return infer_types(df) if infer else df
+    df = infer_types(df) if infer else df
+    return df.toDF(*names) if clash else df
 
 
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -49,6 +49,9 @@ def test_csv_headers(spark, tmp_path):
     assert readers.read_csv(spark, text(tmp_path, "a,a\n1,2\n")).columns == ["a", "a.1"]
     df = readers.read_csv(spark, text(tmp_path, "1,2\n3,4\n"), header=False)
     assert df.columns == ["0", "1"] and df.count() == 2
+    clash = readers.read_csv(spark, text(tmp_path, "B,b\n1,x\nNA,y\n"))
+    assert [tuple(r) for r in clash.collect()] == [(1, "x"), (None, "y")]
+    assert clash.columns == ["B", "b"]
     with pytest.raises(ValueError):
         readers.read_csv(spark, text(tmp_path, ""))
 
