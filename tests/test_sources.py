@@ -7,7 +7,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
+from sparkprep.functions import statistics
 from sparkprep.operators.validate import ColumnExists, NotNull, OfType
+from sparkprep.plans import cleaning, steps
 from sparkprep.session import new_path, work_dir
 from sparkprep.sources import catalog, ledger, readers, sinks
 from sparkprep.streaming import ingest
@@ -196,6 +198,27 @@ def test_stream_adds_only_new_files(spark, tmp_path):
     assert spark.read.parquet(target).count() == 7
 
 
+def test_stream_steps_with_batch_statistics(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(statistics, "is_small", lambda *_: False)
+    source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    batch = spark.createDataFrame(
+        [(1.0, "x", None), (3.0, None, 1), (None, "x", 2)], "v double, t string, i int"
+    )
+    batch.write.parquet(source)
+    plan = [
+        steps.FillNulls("v", "fill_median"),
+        steps.FillNulls("t", "fill_mode"),
+        steps.RemoveNulls("drop_column", column_to_drop="i"),
+        steps.RenameColumns("to_uppercase", columns_to_transform="*"),
+        steps.FillNulls("V", "fill_mean"),
+        steps.FilterEquals("T", "x"),
+    ]
+    stream = ingest.file_stream(spark, source, batch.schema)
+    ingest.ingest(cleaning.apply_steps(stream, plan, stats=batch), target, marks)
+    found = sorted(tuple(r) for r in spark.read.parquet(target).collect())
+    assert found == [(1.0, "x"), (2.0, "x"), (3.0, "x")]
+
+
 def test_stream_reports_per_batch(spark, tmp_path):
     source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
     spark.createDataFrame([(1,), (None,)], "a int").coalesce(1).write.parquet(source)
