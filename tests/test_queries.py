@@ -6,8 +6,8 @@ import __spark_entry__
 import oracle
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+QUERIES = __spark_entry__.QUERIES
+SQL = __spark_entry__.ORACLES
 
 
 @pytest.fixture(scope="module")
