@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkprep.llm import simhash
+from sparkprep.llm import decontamination, language_id, mixing, sharding, simhash
+from sparkprep.llm.shared import crc_of_id
+from sparkprep.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +34,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def op1_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
+
+
+@query("op2_sharding")
+def op2_sharding(spark, folder):
+    path = new_path(spark, "llm-shards")
+    return sharding.assignment(table(spark, folder, "documents"), path, shards=24, seed=7)
+
+
+@query("op5_mixing")
+def op5_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"), seed=7)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, folder):
+    marked = decontamination.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op7_language_id")
+def op7_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    learn = (crc_of_id(F.col("doc_id")) % 5 != 0) & F.col("lang").isNotNull()
+    found = language_id.identify(docs, learn)
+    held_out = (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")

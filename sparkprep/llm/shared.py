@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import qcol
@@ -31,3 +31,28 @@ def documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def crc_of_id(id_column: Column) -> Column:
     """CRC32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "utf-8"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame already has a column so called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Rows with their 0-based place in the given order, in ranges and not in one task."""
+    ranged = df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_part"))
+    ranged = saved(ranged, "ranges")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # One row per range from here to the join.
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.select("_part", before.alias("_before"))
+    placed = ranged.withColumn("_row", within).join(offsets, "_part")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_row") - 1).alias(name))
