@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import decontamination, language_id, mixing, sharding, simhash
+from sparkprep.llm import decontamination, language_id, merkle, mixing, sharding, simhash
 from sparkprep.llm.shared import crc_of_id
 from sparkprep.session import new_path
 
@@ -42,6 +42,11 @@ def op2_sharding(spark, folder):
     return sharding.assignment(table(spark, folder, "documents"), path, shards=24, seed=7)
 
 
+@query("op4_merkle_fingerprints")
+def op4_merkle_fingerprints(spark, folder):
+    return merkle.against_next(table(spark, folder, "documents"))
+
+
 @query("op5_mixing")
 def op5_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), seed=7)
