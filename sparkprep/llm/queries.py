@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import decontamination, language_id, merkle, mixing, sharding, simhash
+from sparkprep.llm import decontamination, language_id, lm_scoring, merkle, mixing, sharding, simhash
 from sparkprep.llm.shared import crc_of_id
 from sparkprep.session import new_path
 
@@ -42,6 +42,13 @@ def op2_sharding(spark, folder):
     return sharding.assignment(table(spark, folder, "documents"), path, shards=24, seed=7)
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark, folder):
+    held_out = crc_of_id(F.col("doc_id")) % 10 == 0
+    scored = lm_scoring.score(table(spark, folder, "documents"), ~held_out)
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 @query("op4_merkle_fingerprints")
 def op4_merkle_fingerprints(spark, folder):
     return merkle.against_next(table(spark, folder, "documents"))
