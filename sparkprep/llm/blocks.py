@@ -333,3 +333,77 @@ def each_block(
 
 def _nothing(schema: str) -> pd.DataFrame:
     return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+
+# --- runs in arrays -------------------------------------------------------
+
+
+def names(items: np.ndarray, length: int) -> np.ndarray:
+    """One number for each run of ``length`` items, equal for equal runs.
+
+    Runs double from one item on; the last step lets two runs overlap.
+    """
+    run, size = items, 1
+    while 2 * size <= length:
+        run, size = paired(run[: max(0, len(run) - size)], run[size:]), 2 * size
+    if size < length:
+        rest = length - size
+        run = paired(run[: max(0, len(run) - rest)], run[rest:])
+    return run
+
+
+def _over_windows(pick, values: np.ndarray, width: int) -> np.ndarray:
+    run, size = values, 1
+    while 2 * size <= width:
+        run, size = pick(run[: max(0, len(run) - size)], run[size:]), 2 * size
+    rest = width - size
+    return pick(run[: max(0, len(run) - rest)], run[rest:])
+
+
+def anchors(values: np.ndarray, wanted: np.ndarray, width: int) -> np.ndarray:
+    """Places with the least value in some wanted window of ``width`` places.
+
+    ``wanted`` says it for each window, by its first place. As the choice depends
+    on the values in the window only, equal windows have equal anchors.
+    """
+    if len(values) < width:
+        return np.zeros(0, np.int64)
+    least = np.where(wanted, _over_windows(np.minimum, values, width), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    over = _over_windows(np.maximum, np.concatenate((edge, least, edge)), width)
+    return np.flatnonzero((over == values) & (over > 0))
+
+
+def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
+    """Which of ``total`` places lie in a run of ``length`` from one of the starts."""
+    opened = np.zeros(total + 1, np.int32)
+    np.add.at(opened, starts, 1)
+    np.add.at(opened, np.minimum(starts + length, total), -1)
+    return np.cumsum(opened[:-1]) > 0
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past last places of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+    return edges[::2], edges[1::2]
+
+
+def ordered_ids(ids: np.ndarray) -> np.ndarray:
+    """Ids as unsigned numbers in the same order; null (NO_ID) is last."""
+    return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def least_per_key(
+    keys: np.ndarray, owners: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the least owner of each, and which key each entry has."""
+    distinct, which = np.unique(keys, return_inverse=True)
+    least = np.full(len(distinct), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, which, owners)
+    return distinct, least, which
+
+
+def some_smaller(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether an entry's value is above the least one of its key."""
+    least = np.minimum.reduceat(values, begins)
+    return (values > per_key(least, begins, len(values))).astype(np.uint64)

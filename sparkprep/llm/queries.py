@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import decontamination, language_id, lm_scoring, merkle, mixing, sharding, simhash
+from sparkprep.llm import (
+    decontamination,
+    language_id,
+    lm_scoring,
+    merkle,
+    mixing,
+    phrase_dedup,
+    sharding,
+    simhash,
+)
 from sparkprep.llm.shared import crc_of_id
 from sparkprep.session import new_path
 
@@ -27,6 +36,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _removed(spans: str) -> Column:
+    """How much all spans of an array take."""
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -82,3 +96,14 @@ def op7_language_id(spark, folder):
     found = language_id.identify(docs, learn)
     held_out = (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark, folder):
+    kept = phrase_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_words",
+        _removed("removed").alias("n_removed"),
+        F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"),
+    )
