@@ -338,12 +338,13 @@ def _nothing(schema: str) -> pd.DataFrame:
 # --- runs in arrays -------------------------------------------------------
 
 
-def names(items: np.ndarray, length: int) -> np.ndarray:
-    """One number for each run of ``length`` items, equal for equal runs.
+def names(items: np.ndarray, length: int, size: int = 1) -> np.ndarray:
+    """One number for each run of ``length`` places, equal for equal runs.
 
-    Runs double from one item on; the last step lets two runs overlap.
+    ``items`` has a number for the ``size`` places from each place on. Runs
+    double from there; the last step lets two runs overlap.
     """
-    run, size = items, 1
+    run = items
     while 2 * size <= length:
         run, size = paired(run[: max(0, len(run) - size)], run[size:]), 2 * size
     if size < length:

@@ -16,6 +16,7 @@ from sparkprep.llm import (
     phrase_dedup,
     sharding,
     simhash,
+    suffix_dedup,
 )
 from sparkprep.llm.shared import crc_of_id
 from sparkprep.session import new_path
@@ -98,6 +99,18 @@ def op7_language_id(spark, folder):
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, folder):
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        _removed("removed").alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark, folder):
     kept = phrase_dedup.remove_repeats(table(spark, folder, "documents"))
