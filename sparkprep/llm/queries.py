@@ -14,6 +14,7 @@ from sparkprep.llm import (
     merkle,
     mixing,
     phrase_dedup,
+    quality,
     sharding,
     simhash,
     suffix_dedup,
@@ -120,3 +121,10 @@ def op9_substring_dedup(spark, folder):
         _removed("removed").alias("n_removed"),
         F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"),
     )
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, folder):
+    labels = table(spark, folder, "labels")
+    trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id")
+    return quality.classify(table(spark, folder, "documents"), trusted)
