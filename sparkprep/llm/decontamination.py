@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import qcol
-from sparkprep.llm.shared import documents
+from sparkprep.llm.shared import fresh
 
 WINDOW = 10
 # Benchmark text in one automaton, and in all of them: these go to every task.
@@ -27,8 +27,8 @@ _NORMAL = bytes(
 )
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
-SCHEMA = (
-    "doc_id bigint, n_words bigint, n_hit bigint, items array<string>,"
+FOUND = (
+    "n_words bigint, n_hit bigint, items array<string>,"
     " spans array<struct<start: bigint, end: bigint>>"
 )
 
@@ -103,64 +103,82 @@ def _benchmark_parts(
     return parts
 
 
-def contamination(
+def hits(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
-    id_column: str = "doc_id",
     text_column: str = "text",
     item_id_column: str = "item_id",
     item_text_column: str = "text",
-) -> DataFrame:
-    """Which words of each document occur in a benchmark, and in which items.
+) -> Column:
+    """A struct (n_words, n_hit, items, spans) for each row.
 
-    (doc_id, n_words, n_hit, items, spans): words are runs of ASCII letters and
-    digits, lower-cased, and of characters beyond ASCII. Each run of ``window``
-    words of an item (the whole item, if shorter) is a pattern; a document word
-    inside any occurrence of a pattern is hit. ``items`` are the ids, as text, of
-    items with an occurring pattern, sorted; ``spans`` the character ranges of
-    hit words in the original text.
+    Words are runs of ASCII letters and digits, lower-cased, and of characters
+    beyond ASCII. Each run of ``window`` words of an item (the whole item, if
+    shorter) is a pattern; a document word inside any occurrence of a pattern is
+    hit. ``items`` are the ids, as text, of items with an occurring pattern,
+    sorted; ``spans`` the character ranges of hit words in the original text.
 
     All patterns are in one automaton that reads word numbers, so its states
     grow with words and not characters, and each text is read once. Beyond
     1 MB of benchmark text there are several automata, all used in the same pass
     over a batch. The benchmark goes to every task: over 64 MB of it are refused
     and have to come in parts. Null and empty texts have no words; an item
-    without words has no pattern, one without id counts for hits only; rows that
-    repeat stay. A null document id is kept.
+    without words has no pattern, one without id counts for hits only.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(
+    shared = docs.sparkSession.sparkContext.broadcast(
         _benchmark_parts(benchmark, item_id_column, item_text_column)
     )
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(FOUND)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parts = shared.value
         alone = Matcher(parts[0], window) if len(parts) == 1 else None
         for batch in batches:
-            found = [words(t) for t in batch["text"]]
-            hits = [np.zeros(len(f) + 1, np.int32) for f in found]
+            found = [words(t) for t in batch]
+            edges = [np.zeros(len(f) + 1, np.int32) for f in found]
             items: list[set[str]] = [set() for _ in found]
             for part in parts:
                 matcher = alone or Matcher(part, window)
-                for f, h, i in zip(found, hits, items, strict=True):
-                    matcher.scan(f, h, i)
-            marked = [np.cumsum(h[:-1]) > 0 for h in hits]
+                for f, e, i in zip(found, edges, items, strict=True):
+                    matcher.scan(f, e, i)
+            hit = [np.cumsum(e[:-1]) > 0 for e in edges]
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"],
                     "n_words": [len(f) for f in found],
-                    "n_hit": [int(m.sum()) for m in marked],
+                    "n_hit": [int(h.sum()) for h in hit],
                     "items": [sorted(i) for i in items],
                     "spans": [
-                        spans(t, m) if m.any() else []
-                        for t, m in zip(batch["text"], marked, strict=True)
+                        spans(t, h) if h.any() else [] for t, h in zip(batch, hit, strict=True)
                     ],
                 }
             )
 
-    rows = documents(docs, id_column, text_column)
-    # Nullable integers reach pandas as floats; ids go as text and come back whole.
-    rows = rows.select(F.col("doc_id").cast("string"), "text")
-    out = rows.mapInPandas(scan, SCHEMA.replace("doc_id bigint", "doc_id string"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return scan(qcol(text_column).cast("string"))
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    item_id_column: str = "item_id",
+    item_text_column: str = "text",
+) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) for every document; see ``hits``.
+
+    Rows that repeat stay; a null document id is kept.
+    """
+    found = hits(docs, benchmark, window, text_column, item_id_column, item_text_column)
+    marked = docs.select(qcol(id_column).cast("bigint").alias("doc_id"), found.alias("found"))
+    return marked.select("doc_id", "found.*")
+
+
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text"
+) -> DataFrame:
+    """The rows, all columns kept, without a word that is hit."""
+    (found,) = fresh(docs, "found")
+    marked = docs.withColumn(found, hits(docs, benchmark, window, text_column))
+    return marked.where(F.col(found)["n_hit"] == 0).drop(found)

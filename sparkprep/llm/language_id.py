@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import qcol
-from sparkprep.llm.shared import saved
+from sparkprep.llm.shared import fresh, saved
 
 # N-grams in a profile, of a language as of a document.
 PROFILE = 300
@@ -154,15 +154,14 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (self.size * len(codes)))
 
 
-def identify(
+def language_of(
     docs: DataFrame,
     learn: Column,
-    id_column: str = "doc_id",
     text_column: str = "text",
     lang_column: str = "lang",
     size: int = PROFILE,
-) -> DataFrame:
-    """(doc_id, learned, lang_pred, score) for every document.
+) -> Column:
+    """A struct (lang_pred, score) for each row, by profiles of the rows to learn from.
 
     Profiles hold the ``size`` most frequent n-grams of one to three letters of
     the rows for which ``learn`` holds, from their whole texts. A document gets
@@ -170,9 +169,9 @@ def identify(
     its own whole text; the first by code point on a tie. ``score`` is 1 for an
     equal profile and 0 for one without a common n-gram. A text that is null or
     has no letter is 'und' with score 0, and so is all if nothing was learned.
-    Ids may be null or repeat; empty tables give no rows.
 
-    The profiles go to every task: ``size`` numbers per language.
+    Learning runs at once; the profiles go to every task, ``size`` numbers per
+    language.
     """
     learn = F.coalesce(learn, F.lit(False))
     known = saved(profiles(docs.where(learn), text_column, lang_column, size), "profiles")
@@ -187,9 +186,33 @@ def identify(
             found = [shared.value.predict(t) for t in part]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
+    return nearest(qcol(text_column).cast("string"))
+
+
+def identify(
+    docs: DataFrame,
+    learn: Column,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lang_column: str = "lang",
+    size: int = PROFILE,
+) -> DataFrame:
+    """(doc_id, learned, lang_pred, score) for every document; see ``language_of``.
+
+    Ids may be null or repeat; empty tables give no rows.
+    """
     judged = docs.select(
         qcol(id_column).cast("bigint").alias("doc_id"),
-        learn.alias("learned"),
-        nearest(qcol(text_column).cast("string")).alias("found"),
+        F.coalesce(learn, F.lit(False)).alias("learned"),
+        language_of(docs, learn, text_column, lang_column, size).alias("found"),
     )
     return judged.select("doc_id", "learned", "found.lang_pred", "found.score")
+
+
+def determined(
+    docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang"
+) -> DataFrame:
+    """The rows, all columns kept, whose text has a language."""
+    (found,) = fresh(docs, "found")
+    marked = docs.withColumn(found, language_of(docs, learn, text_column, lang_column))
+    return marked.where(F.col(found)["lang_pred"] != UNDETERMINED).drop(found)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import qcol
-from sparkprep.llm.shared import WORD, numbered, saved
+from sparkprep.llm.shared import WORD, fresh, numbered, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     )
 
 
-def mix(
+def repetitions(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
@@ -58,43 +58,75 @@ def mix(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
-) -> DataFrame:
-    """How often each document is taken: (doc_id, source, size, source_size, target, times, taken).
+) -> tuple[DataFrame, str]:
+    """The rows with a struct (size, source_size, target, times), and that column's name.
 
-    ``size`` is the number of words (a null text has none). Sources in order of
-    code points, null last, have the given weights, over and over. A source is
-    taken as many whole times as its target holds, and for the rest its
-    documents in a seeded random order until the target is met, the last one if
-    half of it still fits. So the words taken miss the target by half a document
-    at most, no document is taken more than ``max_epochs`` times, and a rerun
-    takes the same. ``taken`` is size times ``times``.
+    ``times`` is how often the mix takes the row. ``size`` is the number of words
+    (a null text has none). Sources in order of code points, null last, have the
+    given weights, over and over. A source is taken as many whole times as its
+    target holds, and for the rest its documents in a seeded random order until
+    the target is met, the last one if half of it still fits. So the words taken
+    miss the target by half a document at most, no document is taken more than
+    ``max_epochs`` times, and a rerun takes the same.
 
     The random order is found without sorting a source: sizes are summed in
-    65,536 bins of the draw per source, and only the bin in which the target is
-    met is ordered row by row. Null sources are a source of their own; null ids
-    and repeated rows draw alike and are ordered by size and checksum.
+    65,536 bins of the draw per source, and only rows in the bin in which the
+    target is met are ordered one by one. All others are decided by their source's
+    row of the plan alone, so texts are not shuffled. Null sources are a source of
+    their own; null ids and repeated rows draw alike and are ordered by size and
+    checksum.
     """
-    text = qcol(text_column).cast("string")
-    number = draw(seed, qcol(id_column))
-    rows = saved(
-        docs.select(
-            qcol(id_column).cast("bigint").alias("doc_id"),
+    mark, its = fresh(docs, "mark", "its")
+    id_, text = qcol(id_column), qcol(text_column).cast("string")
+    number = draw(seed, id_)
+    marked = docs.withColumn(
+        mark,
+        F.struct(
             qcol(source_column).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            F.coalesce(F.crc32(F.encode(text, "utf-8")), F.lit(-1)).alias("crc"),
             number.alias("draw"),
             F.shiftright(number, DRAW_BITS - BIN_BITS).cast("int").alias("bin"),
         ),
-        "sizes",
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    narrow = marked.select(f"`{mark}`.source", f"`{mark}`.size", f"`{mark}`.bin")
+    bins = saved(narrow.groupBy("source", "bin").agg(F.sum("size").alias("n")), "bins")
+    plan = _plan(bins, weights, max_epochs)
+    plan = plan.select(F.struct(*plan.columns).alias(its))
+    its_ = F.col(its)
+    placed = marked.join(plan, F.col(mark)["source"].eqNullSafe(its_["source"]))
+    at_last = F.coalesce(F.col(mark)["bin"] == its_["last"], F.lit(False))
+    before = F.coalesce(F.col(mark)["bin"] < its_["last"], F.lit(True))
+    crc = F.coalesce(F.crc32(F.encode(text, "utf-8")), F.lit(-1))
+    size = F.col(mark)["size"]
+    order = Window.partitionBy(its_["source"]).orderBy(F.col(mark)["draw"], id_, size, crc)
+    upto = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = its_["before"] + upto - size / 2 < its_["need"]
+    decided = _with_times(placed.where(~at_last), mark, its, before)
+    ordered = _with_times(placed.where(at_last), mark, its, fits)
+    return decided.unionByName(ordered).drop(its), mark
+
+
+def _with_times(placed: DataFrame, mark: str, its: str, extra: Column) -> DataFrame:
+    its_ = F.col(its)
+    once_more = (extra & (its_["need"] > 0)).cast("int")
+    values = F.struct(
+        F.col(mark)["size"].alias("size"),
+        its_["source_size"].alias("source_size"),
+        its_["target"].alias("target"),
+        (its_["whole"] + once_more).alias("times"),
+    )
+    return placed.withColumn(mark, values)
+
+
+def _plan(bins: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """A row per source: size, target, whole times, words still wanted and where they are met."""
+    sizes = bins.groupBy("source").agg(F.sum("n").alias("source_size"))
     ranked = numbered(sizes, F.col("source").isNull(), F.col("source"))
     cycle = F.lit(list(weights))
     weighted = ranked.select(
         "source", "source_size", cycle[(F.col("rank") % len(weights)).cast("int")].alias("weight")
     )
     plan = targets(saved(weighted, "sources"), max_epochs)
-    # As many whole times as fit, and the words that are then still wanted.
     whole = F.when(
         F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
     ).otherwise(F.lit(0))
@@ -102,32 +134,44 @@ def mix(
     plan = saved(
         plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets"
     )
+    its = plan.withColumnRenamed("source", "its")
     mine = F.col("source").eqNullSafe(F.col("its"))
-    bins = rows.groupBy(F.col("source").alias("its"), "bin").agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("its").orderBy("bin"))
-    bins = bins.select("its", "bin", "n", upto.alias("upto")).join(plan, mine)
-    met = bins.where("upto > need").groupBy(F.col("its").alias("source"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("bin"))
+    met = bins.withColumn("upto", upto).join(its, mine).where("upto > need").groupBy("its")
     met = met.agg(F.min("bin").alias("last"), F.min(F.col("upto") - F.col("n")).alias("before"))
-    its = met.select(F.col("source").alias("its"), "last", "before")
-    plan = saved(plan.join(its, mine, "left").drop("its"), "plan")
-    its = plan.withColumnRenamed("source", "its")
-    placed = rows.join(its, mine).drop("its")
-    at_last = F.coalesce(F.col("bin") == F.col("last"), F.lit(False))
-    decided = placed.where(~at_last).withColumn(
-        "extra", F.coalesce(F.col("bin") < F.col("last"), F.lit(True)).cast("int")
+    return saved(plan.join(met, mine, "left").drop("its"), "plan")
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = 0,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """How often each document is taken: (doc_id, source, size, source_size, target, times, taken).
+
+    ``taken`` is size times ``times``; for the rest see ``repetitions``.
+    """
+    rows, mark = repetitions(
+        docs, weights, max_epochs, seed, id_column, text_column, source_column
     )
-    wanted = (F.col("need") > 0).cast("int")
-    order = Window.partitionBy("source").orderBy("draw", "doc_id", "size", "crc")
-    rowwise = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("before") + F.sum("size").over(rowwise) - F.col("size") / 2
-    ordered = placed.where(at_last).withColumn("extra", (middle < F.col("need")).cast("int"))
-    times = F.col("whole") + F.col("extra") * wanted
-    return decided.unionByName(ordered).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        times.alias("times"),
-        (F.col("size") * times).alias("taken"),
+    values = F.col(mark)
+    return rows.select(
+        qcol(id_column).cast("bigint").alias("doc_id"),
+        qcol(source_column).cast("string").alias("source"),
+        values["size"].alias("size"),
+        values["source_size"].alias("source_size"),
+        values["target"].alias("target"),
+        values["times"].alias("times"),
+        (values["size"] * values["times"]).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
+    """The mix itself: each row, all columns kept, as often as it is taken."""
+    rows, mark = repetitions(docs, seed=seed, **settings)
+    often = F.explode(F.array_repeat(F.lit(1), F.col(mark)["times"].cast("int")))
+    return rows.select(*(qcol(c) for c in docs.columns), often.alias(mark)).drop(mark)

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.columns import qcol
 from sparkprep.llm.graph import components
-from sparkprep.llm.shared import documents, saved
+from sparkprep.llm.shared import documents, fresh, saved
 
 SEED = 42
 # Shingles whose bits are counted at a time, so that long texts need no more
@@ -201,3 +202,25 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def representatives(
+    docs: DataFrame,
+    shingle: int = 3,
+    max_bits: int = 2,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """One row, all columns kept, of each group of near-duplicates: the smallest id.
+
+    Rows that share an id are one document; the one with the least hash of its
+    text stays. Rows without an id cannot be referred to and all stay.
+    """
+    classes = near_duplicates(docs, shingle, max_bits, id_column, text_column)
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    id_, text = qcol(id_column), qcol(text_column)
+    (row,) = fresh(docs, "row")
+    whole = F.struct(*(qcol(c) for c in docs.columns)).alias(row)
+    mine = docs.join(kept.withColumnRenamed("doc_id", f"{row}_id"), id_ == F.col(f"{row}_id"), "left_semi")
+    single = mine.groupBy(id_).agg(F.min_by(whole, F.xxhash64(text)).alias(row))
+    return single.select(f"`{row}`.*").unionByName(docs.where(id_.isNull()))
