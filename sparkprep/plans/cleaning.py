@@ -158,10 +158,12 @@ def run_steps(
     steps: Sequence[Step],
     sink: Callable[[DataFrame], None] = write_nothing,
     checkpoint: bool | None = None,
+    ready: Callable[[DataFrame], None] | None = None,
 ) -> StepReport:
     """Apply the steps, pass the result to ``sink`` and report on each step.
 
-    ``sink`` must compute the whole frame, as any write does.
+    ``sink`` must compute the whole frame, as any write does. ``ready`` gets the
+    result before that and may raise.
 
     The report's counts are taken while the sink's job runs, wherever that is
     exact: an observation ahead of a shuffle may count a task twice if an
@@ -172,6 +174,8 @@ def run_steps(
     while True:
         laid, last, steps = stages(df, steps, checkpoint)
         if not steps:
+            if ready:
+                ready(last)
             records += _run_stages(laid, last, sink, len(records))
             return StepReport(tuple(records))
         path = new_path(df.sparkSession, "stage")

@@ -5,7 +5,8 @@ A spec has these parts, all but ``source`` and ``output_table`` optional::
     {
       "pipeline_name": "events",
       "source": {"table": "db.events"}            or
-                {"path": "...", "format": "CSV", "header": true, "delimiter": ","},
+                {"path": "...", "format": "CSV", "header": true, "delimiter": ",",
+                 "multi_line": false, "lines": null, "schema": "a int, b string"},
       "validation_config": {... "expectations": [...]},
       "branch": "clean",                          source, clean or error
       "split_path": "...",                        clean and error rows as files
@@ -32,8 +33,15 @@ from sparkprep.operators.validate import Rule, suite_from_json, validation_repor
 from sparkprep.plans import lineage
 from sparkprep.plans.cleaning import STEP_LISTS, Branches, StepReport, run_steps, steps_from_spec
 from sparkprep.plans.steps import Step
-from sparkprep.sources.readers import DEFAULT_FORMAT, read_file, read_path, read_table
-from sparkprep.sources.sinks import write_split, write_table
+from sparkprep.sources.catalog import table_path
+from sparkprep.sources.readers import (
+    DEFAULT_FORMAT,
+    FILE_FORMATS,
+    read_file,
+    read_path,
+    read_table,
+)
+from sparkprep.sources.sinks import check_apart, check_result, write_split, write_table
 
 
 @dataclass(frozen=True)
@@ -68,6 +76,9 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
         raise ValueError("the spec names no output table")
     if source.get("table") == data["output_table"]:
         raise ValueError(f"{data['output_table']} cannot be both source and output")
+    paths = [p for p in (data.get("output_path"), data.get("split_path")) if p]
+    if source.get("path") and any(str(p).rstrip("/") == str(source["path"]).rstrip("/") for p in paths):
+        raise ValueError(f"{source['path']} cannot be both source and output")
     rules = tuple(suite_from_json(data["validation_config"])) if "validation_config" in data else ()
     has_steps = "cleaning_config" in data or any(name in data for name in STEP_LISTS)
     return Job(
@@ -88,14 +99,31 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
 def read_source(spark: SparkSession, source: Mapping[str, object]) -> DataFrame:
     if source.get("table"):
         return read_table(spark, str(source["table"]))
-    if "header" in source or "delimiter" in source or "format" not in source:
+    name = str(source.get("format", "CSV"))
+    if name.upper() in FILE_FORMATS:
         return read_file(spark, str(source["path"]), source)
-    return read_path(spark, str(source["path"]), str(source["format"]).lower())
+    return read_path(spark, str(source["path"]), name.lower())
+
+
+def check_paths(spark: SparkSession, job: Job) -> None:
+    """Refuse outputs that would delete the source, before any data is touched."""
+    table, path = job.source.get("table"), job.source.get("path")
+    source = table_path(spark, str(table)) if table else str(path)
+    outputs = [job.output_path, job.split_path]
+    if spark.catalog.tableExists(job.output_table):
+        outputs.append(table_path(spark, job.output_table))
+    for output in filter(None, outputs):
+        if source:
+            check_apart(spark, [source], output)
 
 
 def run_job(spark: SparkSession, job: Job | str | Mapping[str, object]) -> JobResult:
-    """Run a job. The validation report in the result is a lazy frame."""
+    """Run a job. The validation report in the result is a lazy frame.
+
+    A result without rows is an error, and leaves the output as it was.
+    """
     job = job if isinstance(job, Job) else job_from_spec(job)
+    check_paths(spark, job)
     branches = Branches(canonicalize_nan(read_source(spark, job.source)), job.rules)
     if job.split_path:
         write_split(branches.source, job.rules, job.split_path, job.output_format)
@@ -104,6 +132,7 @@ def run_job(spark: SparkSession, job: Job | str | Mapping[str, object]) -> JobRe
         job.steps,
         lambda df: write_table(df, job.output_table, job.output_format, path=job.output_path),
         checkpoint=job.checkpoint,
+        ready=check_result,
     )
     if job.lineage_path:
         entries = [

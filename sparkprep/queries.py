@@ -123,8 +123,9 @@ def scan_json(spark, folder):
     return readers.read_json(spark, path, conversations.schema, lines=True)
 
 
-@query("scan_json_array", JSON_SQL)
-def scan_json_array(spark, folder):
+def _json_array(spark: SparkSession, folder: str) -> str:
+    """The conversations as files of one JSON array each."""
+
     def as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Lines of one JSON array made of all the records of a partition."""
         mark = "["
@@ -139,7 +140,45 @@ def scan_json_array(spark, folder):
     conversations = table(spark, folder, "conversations")
     records = conversations.select(F.to_json(F.struct("*")).alias("value"))
     records.mapInPandas(as_array, "value string").write.text(path)
-    return readers.read_json(spark, path, conversations.schema)
+    return path
+
+
+@query("scan_json_array", JSON_SQL)
+def scan_json_array(spark, folder):
+    schema = table(spark, folder, "conversations").schema
+    return readers.read_json(spark, _json_array(spark, folder), schema)
+
+
+@query("load_json_to_table", JSON_SQL + " UNION ALL " + JSON_SQL)
+def load_json_to_table(spark, folder):
+    """Both forms of JSON, told apart by the files themselves."""
+    lines = new_path(spark, "json")
+    table(spark, folder, "conversations").write.json(lines)
+    names = []
+    for path in (lines, _json_array(spark, folder)):
+        names.append(f"sparkprep_loaded_{uuid.uuid4().hex}")
+        sinks.load_file_to_table(
+            spark, path, names[-1], {"format": "JSON"}, path=new_path(spark, "loaded")
+        )
+    return spark.table(names[0]).unionByName(spark.table(names[1]))
+
+
+BROKEN_LINES = "concat(text, '\\n', '\"', source, '\",\\r\\n', text)"
+
+
+@query(
+    "scan_csv_multiline",
+    "SELECT doc_id, concat(text, chr(10), '\"', source, '\",', chr(13), chr(10), text) AS text,"
+    " lang FROM documents",
+)
+def scan_csv_multiline(spark, folder):
+    path = new_path(spark, "csv")
+    docs = table(spark, folder, "documents").selectExpr("doc_id", f"{BROKEN_LINES} AS text", "lang")
+    sinks.write_csv(docs, path, multi_line=True)
+    schema = "doc_id bigint, text string, lang string"
+    return readers.read_file(
+        spark, path, {"format": "CSV", "multi_line": True, "schema": schema}
+    )
 
 
 @query(
@@ -230,6 +269,25 @@ def ingest_batches(spark, folder):
     return spark.read.parquet(target)
 
 
+@query("ingest_batches_alike", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def ingest_batches_alike(spark, folder):
+    """Files that share name and size, in the folders of their partitions, one per batch."""
+    source, target, log = (new_path(spark, n) for n in ("arrivals", "loaded", "ledger"))
+    supplier = table(spark, folder, "supplier")
+    for day in range(3):
+        part = supplier.where(F.col("s_suppkey") % 3 == day)
+        rows = part.select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
+        padded = rows.select(F.rpad("value", 400, " ").alias("value"))
+        padded.write.text(f"{source}/day={day}")
+
+    def load(paths: list[str]) -> None:
+        spark.read.schema(supplier.schema).json(paths).write.mode("append").parquet(target)
+
+    for _ in range(2):
+        ledger.ingest_new_files(spark, source, log, load, pattern="*.txt", batch_files=1)
+    return spark.read.parquet(target)
+
+
 # --- streams --------------------------------------------------------------
 
 
@@ -360,6 +418,42 @@ def sink_split(spark, folder):
     return _both_sides(*sinks.read_split(spark, path))
 
 
+@query("sink_split_csv", SPLIT_SQL)
+def sink_split_csv(spark, folder):
+    path = new_path(spark, "split")
+    sinks.write_split(fx.dirty_events(spark, folder), RULES, path, "csv")
+    return _both_sides(*sinks.read_split(spark, path, "csv"))
+
+
+@query(
+    "sink_schema",
+    "SELECT * FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'),"
+    " (2, 'user_id', 'bigint'), (3, 'event_type', 'string'), (4, 'value', 'double'))"
+    " AS t(position, name, type)",
+)
+def sink_schema(spark, folder):
+    path = new_path(spark, "schema")
+    sinks.write_schema(fx.dirty_events(spark, folder), path)
+    fields = F.from_json("value", "array<struct<name string, type string>>")
+    rows = spark.read.text(path).select(F.posexplode(fields).alias("position", "field"))
+    return rows.select("position", "field.name", "field.type")
+
+
+@query(
+    "load_stage",
+    WITH + "SELECT * FROM dirty_events WHERE value IS NOT NULL",
+)
+def load_stage(spark, folder):
+    name = f"sparkprep_final_{uuid.uuid4().hex}"
+    clean = filters.drop_missing(fx.dirty_events(spark, folder), ["value"])
+    sinks.load_result(clean, name, path=new_path(spark, "final"))
+    try:
+        sinks.load_result(clean.where("event_id < 0"), name)
+    except ValueError:
+        return spark.table(name)
+    raise AssertionError("an empty result was loaded")
+
+
 def _both_sides(clean: DataFrame, error: DataFrame) -> DataFrame:
     return clean.withColumn("is_error", F.lit(False)).unionByName(
         error.withColumn("is_error", F.lit(True))
@@ -965,6 +1059,29 @@ def job_from_spec(spark, folder):
     return _rounded_value(spark.table(target))
 
 
+@query("job_from_file_spec", JSON_SQL + " UNION ALL " + JSON_SQL + " UNION ALL " + JSON_SQL)
+def job_from_file_spec(spark, folder):
+    """Jobs that read CSV, JSON lines and a JSON array, by the name of the format only."""
+    conversations = table(spark, folder, "conversations")
+    csv, lines = new_path(spark, "csv"), new_path(spark, "json")
+    sinks.write_csv(conversations, csv, multi_line=True)
+    conversations.write.json(lines)
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    sources = [
+        {"path": csv, "format": "CSV", "multi_line": True, "schema": schema},
+        {"path": lines, "format": "JSON", "schema": schema},
+        {"path": _json_array(spark, folder), "format": "json", "schema": schema},
+    ]
+    loaded = []
+    for source in sources:
+        target = f"sparkprep_job_{uuid.uuid4().hex}"
+        output = new_path(spark, "job")
+        spec = {"source": source, "output_table": target, "output_path": output}
+        job.run_job(spark, json.dumps(spec))
+        loaded.append(spark.table(target))
+    return reduce(DataFrame.unionByName, loaded)
+
+
 REPORT_SQL = (
     "(SELECT count(*) FROM dup_events) AS a,"
     " (SELECT count(*) FROM dup_events WHERE user_id IS NOT NULL) AS k,"

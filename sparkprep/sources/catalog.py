@@ -44,3 +44,10 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
         )
     )
     return files.where(~F.col("file_name").endswith(".crc"))
+
+
+def table_path(spark: SparkSession, name: str) -> str | None:
+    """Where a table's files are; None for a view."""
+    described = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", args={"name": name})
+    row = described.where("col_name = 'Location'").first()
+    return row.data_type if row else None

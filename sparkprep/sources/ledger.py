@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.session import new_path
 from sparkprep.sources.catalog import list_files
+from sparkprep.sources.sinks import delete_path
 
-FILE_KEY = ("file_name", "length")
-LEDGER_SCHEMA = "file_name string, length bigint, loaded timestamp"
+FILE_KEY = ("file", "length")
+LEDGER_SCHEMA = "file string, length bigint, loaded timestamp"
 BATCH_FILES = 10_000
 
 
+def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(file, length, path) of a folder's files; ``file`` is the path inside the folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(hadoop).toUri().getPath().rstrip("/") + "/"
+    inside = F.substring_index("path", root, -1).alias("file")
+    return list_files(spark, folder, pattern).select(inside, "length", "path")
+
+
 def new_arrivals(
     listing: DataFrame,
     ledger: DataFrame,
@@ -47,32 +59,31 @@ def ingest_new_files(
 ) -> int:
     """Pass the paths of new files to ``load`` and enter them in the ledger.
 
-    Files go in batches of at most ``batch_files``, so the driver holds no
-    more paths than that. A batch enters the ledger only after its load
-    succeeded: a load that failed, or whose entry was lost, is repeated by the
-    next run, so ``load`` should not mind a repeat (a stream's sink keeps track
-    of that by itself). Returns the number of files loaded.
+    A file is known by its path inside the folder and its length. The folder is
+    listed once; the new files of that listing are written to the shared folder
+    and come from there in batches of at most ``batch_files``, so the driver
+    holds no more paths than that and the size of a batch changes nothing. A
+    batch enters the ledger only after its load succeeded: a load that failed,
+    or whose entry was lost, is repeated by the next run, so ``load`` should not
+    mind a repeat (a stream's sink keeps track of that by itself). Returns the
+    number of files loaded.
     """
+    found = listed(spark, folder, pattern)
+    arrivals = new_arrivals(found, load_ledger(spark, ledger_path), force=force)
+    waiting = new_path(spark, "arrivals")
+    arrivals.write.parquet(waiting)
+    rows = spark.read.schema(arrivals.schema).parquet(waiting).orderBy("file").toLocalIterator()
     done = 0
-    last = ("", "")
-    while True:
-        arrivals = new_arrivals(
-            list_files(spark, folder, pattern), load_ledger(spark, ledger_path), force=force
-        )
-        after = F.struct("file_name", "path") > F.struct(
-            F.lit(last[0]).alias("file_name"), F.lit(last[1]).alias("path")
-        )
-        batch = arrivals.where(after).orderBy("file_name", "path").limit(batch_files).collect()
-        if not batch:
-            return done
+    while batch := list(islice(rows, batch_files)):
         load([r["path"] for r in batch])
-        entries = [(r["file_name"], r["length"]) for r in batch]
+        entries = [(r["file"], r["length"]) for r in batch]
         (
-            spark.createDataFrame(entries, "file_name string, length bigint")
+            spark.createDataFrame(entries, "file string, length bigint")
             .withColumn("loaded", F.current_timestamp())
             .coalesce(1)
             .write.mode("append")
             .parquet(ledger_path)
         )
         done += len(batch)
-        last = (batch[-1]["file_name"], batch[-1]["path"])
+    delete_path(spark, waiting)
+    return done

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sparkprep.functions.columns import family, normalize_na, qcol
 from sparkprep.functions.naming import check_names, distinct_header
 from sparkprep.operators.validate import reads_as
+from sparkprep.sources.catalog import list_files
 
 DEFAULT_FORMAT = "parquet"
 
@@ -28,7 +29,7 @@ def read_csv(
     infer: bool = True,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Read delimited text.
+    """Read delimited text, every row and cell of it.
 
     Columns are named by the header, or "0", "1", ... without one; repeated
     header cells are numbered. Cells are read as text, the missing-value texts
@@ -36,8 +37,14 @@ def read_csv(
     is given, which needs no extra pass, or else to the narrowest type that
     all its values have (``infer``), which takes one aggregate over the file.
     ``multi_line`` allows line breaks inside quotes; such files are not split.
+
+    A row with more cells than columns is an error when it is read; one with
+    fewer has nulls. All files of a folder must have the same header, which is
+    looked up in one extra pass over the first lines if there are several.
     """
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(multi_line)}
+    if header:
+        _check_same_header(spark, path)
     first = spark.read.options(**options).csv(path, header=False).limit(1).first()
     if first is None:
         raise ValueError(f"no rows in {path}")
@@ -51,8 +58,15 @@ def read_csv(
     check_names(names)
     clash = len({n.lower() for n in names}) < len(names)
     placed = [f"c{i}" for i in range(len(names))] if clash else names
-    text = T.StructType([T.StructField(n, T.StringType()) for n in placed])
+    more = "_more"
+    while more in {n.lower() for n in placed}:
+        more += "_"
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*placed, more]])
     df = spark.read.schema(text).options(**options).csv(path, header=header)
+    # Cells beyond the last column end up in one more; no row may have any.
+    beyond = F.raise_error(F.lit(f"a row of {path} has more than {len(names)} cells"))
+    df = df.where(F.coalesce(F.when(qcol(more).isNotNull(), beyond.cast("boolean")), F.lit(True)))
+    df = df.drop(more)
     if na:
         df = normalize_na(df)
     if schema is not None:
@@ -61,6 +75,28 @@ def read_csv(
     return df.toDF(*names) if clash else df
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the first line of each file that is not blank.
+
+    Only the first block of a file is looked at, which one task reads in order.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.trim("value").alias("line"),
+    )
+    found = lines.where("start = 0 AND line <> ''").groupBy("file")
+    return found.agg(F.first("line").alias("line"))
+
+
+def _check_same_header(spark: SparkSession, path: str) -> None:
+    if list_files(spark, path).limit(2).count() < 2:
+        return
+    headers = _first_lines(spark, path).select("line").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise ValueError(f"files in {path} have different headers: {headers[0].line!r} and others")
+
+
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast by position. In ANSI mode, Spark's default, a text that is no value
     of its type is an error."""
@@ -102,17 +138,38 @@ def read_json(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    lines: bool = False,
+    lines: bool | None = None,
 ) -> DataFrame:
     """Read an array of records, or with ``lines`` one record per line.
 
-    An array is parsed by one task per file; large inputs should be lines,
-    which are split.
+    Without ``lines`` the files themselves say which it is, by their first
+    character; that is one more pass over the first block of each file. An array
+    is parsed by one task per file; large inputs should be lines, which are
+    split. A single record spread over lines has to be asked for by
+    ``lines=False``.
     """
+    if lines is None:
+        lines = _has_records_per_line(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.json(path, multiLine=not lines)
 
 
+def _has_records_per_line(spark: SparkSession, path: str) -> bool:
+    line = F.col("line")
+    whole = F.try_parse_json(line).isNotNull()
+    form = (
+        F.when(line.startswith("["), "array")
+        .when(line.startswith("{") & whole, "lines")
+        .otherwise("neither")
+    )
+    forms = {r.form for r in _first_lines(spark, path).select(form.alias("form")).distinct().collect()}
+    if len(forms) > 1 or "neither" in forms:
+        raise ValueError(
+            f"{path} is neither all arrays nor all records per line; say which with 'lines'"
+        )
+    return forms != {"array"}
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -134,14 +191,31 @@ def read_sql(spark: SparkSession, name: str) -> DataFrame:
 
 FileReader = Callable[[SparkSession, str, Mapping[str, object]], DataFrame]
 
-FILE_FORMATS: dict[str, FileReader] = {
-    "CSV": lambda spark, path, options: read_csv(
+def _csv_file(spark: SparkSession, path: str, options: Mapping[str, object]) -> DataFrame:
+    schema = options.get("schema")
+    return read_csv(
         spark,
         path,
         header=bool(options.get("header", True)),
         delimiter=str(options.get("delimiter", ",")),
-    ),
-    "JSON": lambda spark, path, options: read_json(spark, path),
+        schema=T.StructType.fromDDL(str(schema)) if schema else None,
+        multi_line=bool(options.get("multi_line", False)),
+    )
+
+
+def _json_file(spark: SparkSession, path: str, options: Mapping[str, object]) -> DataFrame:
+    schema, lines = options.get("schema"), options.get("lines")
+    return read_json(
+        spark,
+        path,
+        schema=T.StructType.fromDDL(str(schema)) if schema else None,
+        lines=None if lines is None else bool(lines),
+    )
+
+
+FILE_FORMATS: dict[str, FileReader] = {
+    "CSV": _csv_file,
+    "JSON": _json_file,
     "PARQUET": lambda spark, path, options: read_parquet(spark, path),
 }
 
@@ -152,7 +226,11 @@ def register_format(name: str, reader: FileReader) -> None:
 
 
 def read_file(spark: SparkSession, path: str, options: Mapping[str, object]) -> DataFrame:
-    """Read a file by its format options: ``format``, ``header``, ``delimiter``."""
+    """Read a file by its format options.
+
+    ``format``; for CSV ``header``, ``delimiter``, ``multi_line``; for JSON ``lines``;
+    for both ``schema``, as DDL text, which saves the pass that infers types.
+    """
     name = str(options.get("format", "CSV")).upper()
     if name not in FILE_FORMATS:
         raise ValueError(f"unsupported file format {options.get('format')!r}")

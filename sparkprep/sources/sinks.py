@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkprep.functions.columns import qcol
 from sparkprep.operators.profile import PREVIEW_ROWS, preview, schema_list
 from sparkprep.operators.validate import Rule, any_failure
 from sparkprep.session import new_path
@@ -27,6 +31,8 @@ def write_table(
     """Save as a catalog table; with ``path`` the files go there."""
     if not name:
         raise ValueError("a table name is needed")
+    if path and mode == "overwrite":
+        check_apart(df.sparkSession, source_paths(df), path)
     writer = df.write.format(fmt).mode(mode)
     if path:
         writer = writer.option("path", path)
@@ -35,6 +41,38 @@ def write_table(
     writer.saveAsTable(name)
 
 
+def source_paths(df: DataFrame) -> list[str]:
+    """The root paths of the files that a frame reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        try:
+            roots = leaf.relation().location().rootPaths()
+        except (AttributeError, TypeError, Py4JError):
+            continue
+        found += [roots.apply(k).toString() for k in range(roots.size())]
+    return found
+
+
+def check_apart(spark: SparkSession, sources: Sequence[str], target: str) -> None:
+    """Refuse a target that is a source, or is inside one, or has one inside it.
+
+    Overwriting it would delete what is still to be read.
+    """
+    configuration = spark._jsc.hadoopConfiguration()
+
+    def qualified(path: str) -> str:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(configuration).makeQualified(hadoop).toString().rstrip("/")
+
+    there = qualified(target)
+    for source in sources:
+        here = qualified(source)
+        if f"{here}/".startswith(f"{there}/") or f"{there}/".startswith(f"{here}/"):
+            raise ValueError(f"{target} cannot be written while {source} is read")
+
+
 def overwrite_source_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT) -> None:
     """Overwrite a table with a result computed from that table.
 
@@ -45,14 +83,26 @@ def overwrite_source_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT)
     staging = new_path(spark, "staging")
     df.write.format(fmt).save(staging)
     write_table(spark.read.format(fmt).load(staging), name, fmt)
+    delete_path(spark, staging)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate result whose last reader is done."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def check_result(df: DataFrame) -> None:
+    """Refuse a result without rows."""
+    if df.isEmpty():
+        raise ValueError("there is no data to load")
 
 
 def load_result(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT, path: str | None = None) -> None:
     """Save the final result, which must have rows."""
     if not name:
         raise ValueError("an output table name is needed")
-    if df.isEmpty():
-        raise ValueError("there is no data to load")
+    check_result(df)
     write_table(df, name, fmt, path=path)
 
 
@@ -68,17 +118,62 @@ def load_file_to_table(
     write_table(read_file(spark, file, options), name, fmt, path=path)
 
 
-def write_split(df: DataFrame, rules: Sequence[Rule], path: str, fmt: str = DEFAULT_FORMAT) -> None:
-    """Write clean and error rows in one pass, as two partitions of one folder."""
+# Where ``write_split`` leaves the schema; readers skip names with a leading _.
+SPLIT_SCHEMA = "_schema"
+# Times keep their microseconds.
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def split_options(fmt: str, options: Mapping[str, str] | None) -> dict[str, str]:
+    return {**(CSV_OPTIONS if fmt.lower() == "csv" else {}), **(options or {})}
+
+
+def write_split(
+    df: DataFrame,
+    rules: Sequence[Rule],
+    path: str,
+    fmt: str = DEFAULT_FORMAT,
+    options: Mapping[str, str] | None = None,
+) -> None:
+    """Write clean and error rows in one pass, as two partitions of one folder.
+
+    CSV gets a header. The schema is kept beside the rows, so that a side
+    without rows, or all of it, can be read back.
+    """
+    if IS_ERROR in {c.lower() for c in df.columns}:
+        raise ValueError(f"a column is called {IS_ERROR}")
     marked = df.withColumn(IS_ERROR, any_failure(df, rules))
-    marked.write.format(fmt).partitionBy(IS_ERROR).save(path)
+    if fmt.lower() == "csv" and str(split_options(fmt, options).get("multiLine")).lower() != "true":
+        marked = without_line_breaks(marked)
+    writer = marked.write.format(fmt).options(**split_options(fmt, options))
+    writer.partitionBy(IS_ERROR).save(path)
+    schema = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
+    schema.coalesce(1).write.text(f"{path}/{SPLIT_SCHEMA}")
 
 
 def read_split(
-    spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT
+    spark: SparkSession,
+    path: str,
+    fmt: str = DEFAULT_FORMAT,
+    options: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The (clean, error) rows written by ``write_split``."""
-    both = spark.read.format(fmt).load(path)
+    """The (clean, error) rows written by ``write_split``, or by a stream."""
+    reader = spark.read.format(fmt).options(**split_options(fmt, options))
+    try:
+        text = spark.read.text(f"{path}/{SPLIT_SCHEMA}").first()
+    except AnalysisException:
+        text = None
+    if text:
+        schema = T.StructType.fromJson(json.loads(text.value))
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(IS_ERROR, T.StringType())]))
+    both = reader.load(path)
     flag = F.col(IS_ERROR).cast("boolean")
     return both.where(~flag).drop(IS_ERROR), both.where(flag).drop(IS_ERROR)
 
@@ -97,14 +192,30 @@ def write_sample_csv(
     write_csv(preview(df, rows, order_by).coalesce(1), path)
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",") -> None:
-    """Write delimited text that ``read_csv`` reads back unchanged."""
-    df.write.csv(
-        path,
-        mode="overwrite",
-        header=header,
-        sep=delimiter,
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+def without_line_breaks(df: DataFrame) -> DataFrame:
+    """The frame; writing it fails at a text with a line break."""
+
+    def checked(field: T.StructField) -> Column:
+        column = qcol(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            return column
+        told = F.raise_error(F.lit(f"{field.name} has a line break; write it with multi_line"))
+        return F.when(column.rlike("[\r\n]"), told.cast("string")).otherwise(column).alias(field.name)
+
+    return df.select([checked(f) for f in df.schema.fields])
+
+
+def write_csv(
+    df: DataFrame,
+    path: str,
+    header: bool = True,
+    delimiter: str = ",",
+    multi_line: bool = False,
+) -> None:
+    """Write delimited text that ``read_csv`` reads back unchanged.
+
+    Text with line breaks is refused unless ``multi_line`` is given, as it is to
+    be for reading.
+    """
+    writer = (df if multi_line else without_line_breaks(df)).write.mode("overwrite")
+    writer.options(**{**CSV_OPTIONS, "header": str(header), "sep": delimiter}).csv(path)
