@@ -131,6 +131,10 @@ CSV_OPTIONS = {
 }
 
 
+# Reading takes an empty cell for this, and this for null; an empty text is quoted.
+EMPTY_CELL = "\u0001null\u0001"
+
+
 def split_options(fmt: str, options: Mapping[str, str] | None) -> dict[str, str]:
     return {**(CSV_OPTIONS if fmt.lower() == "csv" else {}), **(options or {})}
 
@@ -166,6 +170,8 @@ def read_split(
 ) -> tuple[DataFrame, DataFrame]:
     """The (clean, error) rows written by ``write_split``, or by a stream."""
     reader = spark.read.format(fmt).options(**split_options(fmt, options))
+    if fmt.lower() == "csv":
+        reader = reader.option("nullValue", EMPTY_CELL)
     try:
         text = spark.read.text(f"{path}/{SPLIT_SCHEMA}").first()
     except AnalysisException:
