@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase, digits
 
-# A word starts at a capital that is followed by a small letter,
-# and at a capital that follows a small letter or a digit.
-WORD_START = re.compile(r"(?<=.)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])")
+def words_of(name: str) -> list[str]:
+    """The name cut into words.
+
+    A word starts at an ASCII capital ahead of a small letter, and at one behind
+    a small letter or a digit. Other characters start no word.
+    """
+    words, start = [], 0
+    for at in range(1, len(name)):
+        before, here, after = name[at - 1], name[at], name[at + 1 : at + 2]
+        begins = after and after in ascii_lowercase or before in ascii_lowercase + digits
+        if here in ascii_uppercase and begins:
+            words.append(name[start:at])
+            start = at
+    return [*words, name[start:]]
 
 
 def snake_case(name: str) -> str:
-    return WORD_START.sub("_", name).lower()
+    return "_".join(words_of(name)).lower()
 
 
 def camel_case(name: str) -> str:
-    titled = snake_case(name).title()
-    joined = titled.replace("_", "").replace(" ", "")
+    """Words, and what underscores and spaces part, with a capital each but the first."""
+    parts = [p for word in words_of(name) for p in word.replace(" ", "_").split("_")]
+    joined = "".join(p.lower().title() for p in parts)
     return joined[:1].lower() + joined[1:]
 
 

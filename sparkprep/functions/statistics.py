@@ -8,7 +8,9 @@ aggregate.
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JError
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,28 +22,10 @@ from sparkprep.functions.columns import data_type, is_missing, is_present, null_
 SKETCH_SIZE = 4096
 SKETCH_GROUPS = 256
 
-# Parts a range is cut into in one round of the exact median, and the largest
-# estimated size of the one projected column for which one such round will do.
-BINS = 4096
-ONE_ROUND_BYTES = 100 * 1024**3
-MANY_ROUNDS = 3
-
-# Up to this estimated size of the one projected column, Spark's own exact
-# aggregate (which keeps every distinct value in one buffer) is used.
-SMALL_INPUT_BYTES = 8 * 1024**2
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for a frame; None where it is not available."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except (AttributeError, Py4JError):
-        return None
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
+# Bits of a value that one round of the exact median looks at, and decimal
+# digits of a decimal that does not fit 64 bits.
+ROUND_BITS = 16
+ROUND_DIGITS = 4
 
 
 def values_of(df: DataFrame, name: str) -> DataFrame:
@@ -88,122 +72,143 @@ def approximate_median_of(df: DataFrame, name: str) -> Column:
 
 def median_of(df: DataFrame, name: str) -> Column:
     """Exact median (mean of the two middle values on an even count)."""
-    values = values_of(df, name)
-    if is_small(values):
-        return values.agg(F.median("v")).scalar()
-    return selected_median(values, 1 if is_small(values, ONE_ROUND_BYTES) else MANY_ROUNDS)
+    return selected_median(values_of(df, name), data_type(df, name))
 
 
-def selected_median(values: DataFrame, rounds: int = 1) -> Column:
+def selected_median(values: DataFrame, dtype: T.DataType) -> Column:
     """Exact median of column ``v`` by narrowing, for any number of values.
 
-    The first round counts values by sign and binary order of magnitude, which
-    takes no knowledge of the data, and finds the bin that holds the middle
-    rank. Each further round cuts that bin's range into ``BINS`` equal parts and
-    does the same. Doubles of one order of magnitude are evenly spaced, so a
-    round leaves a part in 4096 of the different values there can be: three
-    rounds leave about 65,000 at most, whatever the distribution, and one leaves
-    few in practice. The values left over are counted one by one.
-
-    Counts are exact and combined before each shuffle, and a round's result is
-    one row. A round refers to the one before it in a single place, so that
-    the plan grows by one subquery per round; values out of range are counted
-    under a null key instead of being filtered out.
+    Values are counted by their leading 16 bits (in an order-preserving integer
+    form), which finds the two leading parts that hold the two middle ranks;
+    values with those are counted by their leading 32 bits, and so on until all
+    bits are told. How many rounds that takes depends on the type alone: two for
+    32-bit integers, four for 64 bits, one per four digits for larger decimals.
+    So every input goes the same way, whatever its size and spread, and nothing
+    is left over to be sorted.
+
+    Counts are combined before each shuffle: a round shuffles up to 65,536 counts
+    per middle rank and task. A round refers to the one before it in a single
+    place, so the plan grows by one subquery per round.
     """
-    state = _narrowed(values, None)
-    for _ in range(rounds):
-        state = _narrowed(values, state)
-    left = (
-        values.select("v", state.alias("state"))
-        .groupBy(F.when(_in_range(), F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"), *_carried())
-        .where("v IS NOT NULL")
-        .select(
-            "v",
-            "c",
-            "n",
-            "straddles",
-            (F.col("below") + F.sum("c").over(Window.orderBy("v"))).alias("upto"),
-        )
-    )
-    return _middle(left).agg(F.avg("v")).scalar()
+    levels = _levels(dtype)
+    kept = "string" if _is_wide(dtype) else "bigint"
+    state = None
+    for i, level in enumerate(levels):
+        last = i == len(levels) - 1
+        state = _narrowed(values, levels[i - 1] if i else None, level, state, None if last else kept)
+    middle = values.sparkSession.range(1).select(state.alias("s"))
+    return middle.select(F.explode(F.array_distinct("s")).alias("v")).agg(F.avg("v")).scalar()
+
+
+Level = Callable[[Column], Column]
+
+
+def _levels(dtype: T.DataType) -> list[Level]:
+    """Functions of a value that never fall as it grows, coarse to exact."""
+    if _is_wide(dtype):
+        whole = dtype.precision - dtype.scale
+        scales = range(ROUND_DIGITS - whole, dtype.scale, ROUND_DIGITS)
+        return [*(_floored(scale) for scale in scales), lambda v: v]
+    bits = 32 if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)) else 64
+    shifts = range(bits - ROUND_BITS, -1, -ROUND_BITS)
+    return [_shifted(dtype, shift) for shift in shifts]
 
 
-def _in_range() -> Column:
-    return F.col("v").between(F.col("state.low"), F.col("state.high"))
+def _is_wide(dtype: T.DataType) -> bool:
+    """Whether the values need more than 64 bits."""
+    return isinstance(dtype, T.DecimalType) and dtype.precision > 18
 
 
-def _carried() -> list[Column]:
-    return [F.first(f"state.{name}").alias(name) for name in ("below", "n", "straddles")]
+def _floored(scale: int) -> Level:
+    return lambda v: F.floor(v, F.lit(scale))
 
 
-def _magnitude(value: Column) -> Column:
-    """An integer that never falls as the value grows: sign and binary order."""
-    order = F.least(F.floor(F.log2(F.abs(value.cast("double")))), F.lit(1024)) + 1100
-    return F.when(value > 0, order).when(value < 0, -order).otherwise(F.lit(0)).cast("int")
+def _shifted(dtype: T.DataType, shift: int) -> Level:
+    if isinstance(dtype, T.DecimalType):
+        unit = F.lit(Decimal(10) ** dtype.scale)
+        return lambda v: F.shiftright((v * unit).cast("bigint"), shift)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return lambda v: F.shiftright(_ordered_bits(v.cast("double")), shift)
+    return lambda v: F.shiftright(v.cast("bigint"), shift)
 
 
-def _share(value: Column, low: Column, high: Column) -> Column:
-    """Which of ``BINS`` equal parts of [low, high] the value is in."""
-    width = high.cast("double") - low.cast("double")
-    share = F.try_divide(value.cast("double") - low.cast("double"), width)
-    return F.coalesce(F.floor(F.nanvl(share, F.lit(1.0)) * (BINS - 1)).cast("int"), F.lit(0))
+def _ordered_bits(value: Column) -> Column:
+    """The bits of a double as an integer that grows with it: exponent, then fraction."""
+    size = F.abs(value)
 
+    def scaled(exponent: Column) -> Column:
+        return size * F.pow(F.lit(2.0), -exponent.cast("double"))
 
-def _narrowed(values: DataFrame, state: Column | None) -> Column:
-    """The range that holds the middle ranks, as a scalar struct.
+    def bounded(exponent: Column) -> Column:
+        return F.greatest(F.least(exponent, F.lit(1023)), F.lit(-1022))
 
-    (low, high, below, n, straddles): least and greatest value of the range,
-    how many values are below it, and how many there are in all. If the two
-    middle ranks are in different bins they are the last value of the one and
-    the first of the other; the range then ``straddles`` and holds just these.
+    # The logarithm may be off by one at powers of two.
+    near = bounded(F.floor(F.least(F.log2(size), F.lit(1023.0))).cast("int"))
+    exponent = bounded(near + (scaled(near) >= 2).cast("int") - (scaled(near) < 1).cast("int"))
+    unit = 1 << 52
+    fraction = ((scaled(exponent) - 1) * float(unit)).cast("bigint")
+    bits = (exponent.cast("bigint") + 1023) * F.lit(unit) + fraction
+    bits = (
+        F.when(size == 0, F.lit(0).cast("bigint"))
+        .when(size == float("inf"), F.lit(2047 * unit))
+        .otherwise(bits)
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def _narrowed(
+    values: DataFrame,
+    parent: Level | None,
+    level: Level,
+    state: Column | None,
+    kept: str | None,
+) -> Column:
+    """Where the two middle ranks are, as a scalar array.
+
+    For each of them the part of the values that holds it and how many values are
+    below that part; then the number of values; all of type ``kept``. If that is
+    None the parts are single values, and the array is the two of them.
+
+    (An array and not a struct: the optimizer would copy the subquery for every
+    field of a struct, in every round.)
     """
-    counts = [
-        F.count(F.lit(1)).alias("c"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-    ]
+    v, s = F.col("v"), F.col("s")
     if state is None:
-        bins = (
-            values.groupBy(_magnitude(F.col("v")).alias("bin"))
-            .agg(*counts)
-            .select(
-                "*",
-                F.lit(0).alias("below"),
-                F.sum("c").over(Window.partitionBy()).alias("n"),
-                F.lit(False).alias("straddles"),
-            )
-        )
+        keyed = values.select("v", F.struct(F.lit(0).alias("parent"), level(v).alias("part")).alias("k"))
+        found = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("value"))
     else:
-        part = _share(F.col("v"), F.col("state.low"), F.col("state.high"))
-        bins = (
-            values.select("v", state.alias("state"))
-            .groupBy(F.when(_in_range(), part).alias("bin"))
-            .agg(*counts, *_carried())
-            .where("bin IS NOT NULL")
+        part = parent(v)
+        kind = _part_type(values, parent)
+        held = (part == s[0].cast(kind)) | (part == s[2].cast(kind))
+        key = F.when(held, F.struct(part.alias("parent"), level(v).alias("part")))
+        keyed = values.select("v", state.alias("s")).select("v", key.alias("k"), "s")
+        found = keyed.groupBy("k").agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("value"), F.first("s").alias("s")
         )
-    # A few thousand rows at most from here on.
-    ranked = bins.withColumn("upto", F.col("below") + F.sum("c").over(Window.orderBy("bin")))
-    found = _middle(ranked)
-    one_bin = F.count(F.lit(1)) == 1
-    return found.agg(
-        F.struct(
-            F.when(one_bin, F.min("low")).otherwise(F.min("high")).alias("low"),
-            F.when(one_bin, F.max("high")).otherwise(F.max("low")).alias("high"),
-            F.min(F.col("upto") - F.col("c")).alias("below"),
-            F.max("n").alias("n"),
-            (F.coalesce(F.bool_or("straddles"), F.lit(False)) | (F.count(F.lit(1)) > 1)).alias(
-                "straddles"
-            ),
-        )
-    ).scalar()
-
-
-def _middle(ranked: DataFrame) -> DataFrame:
-    """Rows that hold one of the two middle ranks."""
-    first, second = F.expr("(n - 1) div 2"), F.expr("n div 2")
-    holds = (F.col("upto") > first) & (F.col("upto") - F.col("c") <= second)
-    return ranked.where(F.col("straddles") | holds)
+    upto = F.sum("c").over(Window.partitionBy("k.parent").orderBy("k.part"))
+    if state is None:
+        n = F.sum("c").over(Window.partitionBy())
+    else:
+        is_low = F.col("k.parent") == s[0].cast(kind)
+        upto = F.when(is_low, s[1].cast("bigint")).otherwise(s[3].cast("bigint")) + upto
+        n = s[4].cast("bigint")
+    parts = found.select("k.part", "value", "c", upto.alias("upto"), n.alias("n"))
+
+    def holder(rank: str, name: str) -> Column:
+        # Values outside both parts are counted under a null key.
+        holds = F.expr(f"part IS NOT NULL AND upto - c <= {rank} AND {rank} < upto")
+        return F.max(F.when(holds, F.col(name)))
+
+    parts = parts.withColumn("below", F.col("upto") - F.col("c"))
+    ranks = "(n - 1) div 2", "n div 2"
+    if kept is None:
+        return parts.agg(F.array(*(holder(r, "value") for r in ranks))).scalar()
+    cells = [holder(r, name).cast(kept) for r in ranks for name in ("part", "below")]
+    return parts.agg(F.array(*cells, F.max("n").cast(kept))).scalar()
+
+
+def _part_type(values: DataFrame, level: Level) -> T.DataType:
+    return values.select(level(F.col("v"))).schema[0].dataType
 
 
 def fitted(statistic: Column, dtype: T.DataType) -> Column:

@@ -311,7 +311,7 @@ def _find_entries(node: object) -> list | None:
     return None
 
 
-def suite_from_json(text: str | Mapping) -> list[Rule]:
+def suite_from_json(text: str | Mapping | Sequence) -> list[Rule]:
     """Read a suite, bare or inside its envelope."""
     data = json.loads(text) if isinstance(text, str) else text
     entries = data if isinstance(data, list) else _find_entries(data)
@@ -329,6 +329,15 @@ def suite_from_dict(spec: Mapping[str, str | Sequence[str]]) -> list[Rule]:
     ]
 
 
+def suite_for(df: DataFrame, suite: str | Mapping | Sequence) -> list[Rule]:
+    """A suite as data, built for a frame: without rules on columns it lacks.
+
+    Rules that a column exists are kept, as it is for them to tell.
+    """
+    is_plain = isinstance(suite, Mapping) and _find_entries(suite) is None
+    return admissible(df, suite_from_dict(suite) if is_plain else suite_from_json(suite))
+
+
 def suite_to_json(rules: Sequence[Rule], data_asset_type: str = "SparkDFDataset") -> str:
     return json.dumps(
         {"data_asset_type": data_asset_type, "expectations": [r.to_dict() for r in rules]}

@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 
 from sparkprep.operators.validate import Rule, clean_rows, error_rows
 from sparkprep.plans.steps import (
+    DROP_COLUMN,
     DROP_ROWS_ANY,
     DROP_ROWS_COL,
     FillNulls,
     RemoveNulls,
     Step,
     read_list,
+    settle_column_drops,
     step_from_dict,
     steps_to_dicts,
 )
 from sparkprep.session import new_path
 from sparkprep.sources.readers import DEFAULT_FORMAT
-from sparkprep.sources.sinks import write_table
+from sparkprep.sources.sinks import delete_path, write_table
 
 APPLIED, SKIPPED = "applied", "skipped"
 
@@ -45,7 +47,7 @@ class Stage:
 
 
 def stages(
-    df: DataFrame, steps: Sequence[Step], checkpoint: bool | None = None
+    df: DataFrame, steps: Sequence[Step], checkpoint: bool = False
 ) -> tuple[list[Stage], DataFrame, Sequence[Step]]:
     """Lay out steps on ``df``: the stages, the frame after them, steps left.
 
@@ -54,20 +56,24 @@ def stages(
     them into one aggregate. Renamed and dropped columns are carried along. A
     step that changes rows, or a second fill of a column, makes the next fill
     start a new run, and each statistic of that run contains all that comes
-    before it.
+    before it. With ``checkpoint``, the steps from there on are left over, to be
+    laid out on the written result of the others.
 
-    Steps are therefore left over, to be laid out on the written result of the
-    others: from the third run on, at every new run if ``checkpoint`` is true,
-    never if it is false.
+    Columns to drop if they have nulls are looked up for a whole run of such
+    steps at once.
     """
-    allowed = {None: 1, True: 0, False: len(steps)}[checkpoint]
-    laid, stats, filled, runs = [], df, set(), 0
+    laid, stats, filled = [], df, set()
+    settled: list[Step] = []
     for i, step in enumerate(steps):
         if isinstance(step, FillNulls) and (stats is None or step.column in filled):
-            if runs == allowed:
+            if checkpoint:
                 return laid, df, steps[i:]
-            stats, filled, runs = df, set(), runs + 1
-        step = step.settle(df)
+            stats, filled = df, set()
+        if isinstance(step, RemoveNulls) and step.strategy == DROP_COLUMN:
+            settled = settled or settle_column_drops(df, steps[i:])
+            step = settled.pop(0)
+        else:
+            step = step.settle(df)
         source = df if stats is None else stats
         laid.append(Stage(step, df, source))
         after = step.apply(df, source)
@@ -93,19 +99,20 @@ def apply_steps(
     df: DataFrame,
     steps: Sequence[Step],
     stats: DataFrame | None = None,
-    checkpoint: bool | None = None,
+    checkpoint: bool = False,
 ) -> DataFrame:
     """Apply the steps in order, as one lazy plan.
 
-    The exception are plans with more than two runs of fills (see ``stages``),
-    where intermediate results are written to the shared folder. ``stats`` is a
-    batch table to take all statistics from, for a stream.
+    With ``checkpoint``, the result ahead of each further run of fills (see
+    ``stages``) is written to the shared folder and read back, which pays off
+    when the steps before it are expensive; each statistic computes them anew
+    otherwise. ``stats`` is a batch table to take all statistics from, for a
+    stream: every step is applied to it too, so a statistic leaves out the same
+    rows as in a batch.
     """
     if stats is not None:
-        for step in steps:
-            df = step.apply(df, stats)
-            if step.keeps_values:
-                stats = step.apply(stats, stats)
+        for stage in stages(stats, steps)[0]:
+            df = stage.step.apply(df, stage.stats)
         return df
     while True:
         _, df, steps = stages(df, steps, checkpoint)
@@ -157,7 +164,7 @@ def run_steps(
     df: DataFrame,
     steps: Sequence[Step],
     sink: Callable[[DataFrame], None] = write_nothing,
-    checkpoint: bool | None = None,
+    checkpoint: bool = False,
     ready: Callable[[DataFrame], None] | None = None,
 ) -> StepReport:
     """Apply the steps, pass the result to ``sink`` and report on each step.
@@ -171,14 +178,18 @@ def run_steps(
     therefore taken by one separate aggregate job.
     """
     records: list[StepRecord] = []
+    written: list[str] = []
     while True:
         laid, last, steps = stages(df, steps, checkpoint)
         if not steps:
             if ready:
                 ready(last)
             records += _run_stages(laid, last, sink, len(records))
+            for path in written:
+                delete_path(df.sparkSession, path)
             return StepReport(tuple(records))
         path = new_path(df.sparkSession, "stage")
+        written.append(path)
         records += _run_stages(laid, last, lambda out: out.write.parquet(path), len(records))
         df = _written(last, path)
 

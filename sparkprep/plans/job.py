@@ -16,7 +16,7 @@ A spec has these parts, all but ``source`` and ``output_table`` optional::
       "output_format": "parquet",
       "output_path": "...",
       "lineage_path": "...",
-      "checkpoint": null                          true or false, see ``stages``
+      "checkpoint": false                         see ``apply_steps``
     }
 """
 
@@ -57,7 +57,7 @@ class Job:
     output_format: str = DEFAULT_FORMAT
     output_path: str | None = None
     lineage_path: str | None = None
-    checkpoint: bool | None = None
+    checkpoint: bool = False
     name: str = ""
 
 
@@ -91,7 +91,7 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
         output_format=data.get("output_format", DEFAULT_FORMAT),
         output_path=data.get("output_path"),
         lineage_path=data.get("lineage_path"),
-        checkpoint=data.get("checkpoint"),
+        checkpoint=bool(data.get("checkpoint", False)),
         name=data.get("pipeline_name", ""),
     )
 

@@ -11,11 +11,12 @@ import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.columns import data_type, has_column, is_numeric
+from sparkprep.functions.columns import data_type, has_column, is_missing, is_numeric
 from sparkprep.functions.naming import CONVENTIONS
 from sparkprep.functions.statistics import (
     approximate_median_of,
@@ -24,7 +25,7 @@ from sparkprep.functions.statistics import (
     mode_of,
 )
 from sparkprep.operators import fill as fills
-from sparkprep.operators.duplicates import remove_duplicates
+from sparkprep.operators.duplicates import remove_duplicates, remove_duplicates_within
 from sparkprep.operators.filters import drop_missing, filter_equals, missing_count, parse_filter
 from sparkprep.operators.projections import (
     ALL_COLUMNS,
@@ -278,6 +279,25 @@ class RemoveNulls(Step):
         return SettledColumnDrop(self.column_to_drop, contains_missing(df, self.column_to_drop))
 
 
+def settle_column_drops(df: DataFrame, steps: Sequence[Step]) -> list[Step]:
+    """The run of "drop the column if it has nulls" that the steps begin with, settled.
+
+    One look at the data for all of them: an aggregate, or for a single step a
+    probe that stops at the first missing value.
+    """
+    run = list(takewhile(lambda s: isinstance(s, RemoveNulls) and s.strategy == DROP_COLUMN, steps))
+    names = {s.column_to_drop for s in run if not s.skip_reason(df)}
+    if len(names) < 2:
+        return [run[0].settle(df)] if run else []
+    order = sorted(names)
+    row = df.agg(*(F.max(is_missing(df, n)).alias(f"c{i}") for i, n in enumerate(order))).first()
+    found = {n: bool(row[f"c{i}"]) for i, n in enumerate(order)}
+    return [
+        SettledColumnDrop(s.column_to_drop, found[s.column_to_drop]) if not s.skip_reason(df) else s
+        for s in run
+    ]
+
+
 @dataclass(frozen=True)
 class SettledColumnDrop(Step):
     """"Drop the column if it has nulls", after the look at the data."""
@@ -295,6 +315,8 @@ class SettledColumnDrop(Step):
         return {"strategy": DROP_COLUMN, "column_to_drop": self.column}
 
     def skip_reason(self, df: DataFrame) -> str | None:
+        if not has_column(df, self.column):
+            return NOT_FOUND.format(self.column)
         return None if self.found else NO_NULLS.format(self.column)
 
 
@@ -372,12 +394,24 @@ class DropColumns(Step):
 @register_step
 @dataclass(frozen=True)
 class RemoveDuplicates(Step):
+    """On a stream, ``time_column`` and ``delay`` say how far apart copies may arrive."""
+
+    time_column: str | None = None
+    delay: str | None = None
+
     type = REMOVE_DUPLICATES
     changes_rows = True
     shuffles = True
 
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-        return remove_duplicates(df)
+        if not df.isStreaming:
+            return remove_duplicates(df)
+        if not self.time_column or not self.delay:
+            raise ValueError("duplicates in a stream need a time column and a delay")
+        return remove_duplicates_within(df, self.time_column, self.delay)
+
+    def params(self) -> dict:
+        return _set(time_column=self.time_column, delay=self.delay)
 
 
 @register_step

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from sparkprep import fixtures as fx
 from sparkprep.fixtures import WITH, table
 from sparkprep.functions import columns as cols
-from sparkprep.functions.statistics import selected_median, values_of
 from sparkprep.operators import fill, filters, profile, projections, validate
 from sparkprep.operators.duplicates import remove_duplicates
 from sparkprep.operators.validate import ColumnExists, NotNull, OfType
@@ -326,6 +325,23 @@ def ingest_stream_fill(spark, folder):
     return _ingested(spark, filled).select("event_id", F.round("value", 6).alias("value"), "event_type")
 
 
+@query(
+    "ingest_stream_filter_then_fill",
+    WITH + "SELECT event_id, round(coalesce(value, m), 6) AS value FROM dirty_events"
+    " CROSS JOIN (SELECT avg(value) AS m FROM dirty_events WHERE user_id IS NOT NULL"
+    " AND event_type = 'signup') WHERE user_id IS NOT NULL AND event_type = 'signup'",
+)
+def ingest_stream_filter_then_fill(spark, folder):
+    dirty = _event_stream(spark, folder).selectExpr(*fx.DIRTY_EVENTS)
+    plan = [
+        steps.RemoveNulls("drop_rows_col", ("user_id",)),
+        steps.FilterEquals("event_type", "signup"),
+        steps.FillNulls("value", "fill_mean"),
+    ]
+    filled = cleaning.apply_steps(dirty, plan, stats=fx.dirty_events(spark, folder))
+    return _ingested(spark, filled).select("event_id", F.round("value", 6).alias("value"))
+
+
 @query(
     "ingest_stream_dedup",
     WITH + "SELECT DISTINCT event_id, ts, user_id, event_type, value FROM dup_events",
@@ -648,12 +664,58 @@ def fill_median(spark, folder):
     " CROSS JOIN (SELECT median(l_extendedprice) AS m FROM dirty_lineitem)",
 )
 def fill_median_narrowing(spark, folder):
-    lineitem = fx.dirty_lineitem(spark, folder)
-    median = selected_median(values_of(lineitem, "l_extendedprice"))
-    return lineitem.select(
+    filled = fill.fill_median(fx.dirty_lineitem(spark, folder), "l_extendedprice")
+    return filled.select(
+        "l_orderkey", "l_linenumber", F.round("l_extendedprice", 6).alias("l_extendedprice")
+    )
+
+
+@query(
+    "fill_median_decimal",
+    "WITH d AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE"
+    " CAST(l_partkey AS HUGEINT) + 12345678901234560000::HUGEINT END AS v FROM lineitem),"
+    " r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM d"
+    " WHERE v IS NOT NULL)"
+    " SELECT l_orderkey, l_linenumber, CAST(coalesce(v, m) AS VARCHAR) AS v FROM d CROSS JOIN"
+    " (SELECT (min(v) + max(v) + 1) // 2 AS m FROM r"
+    " WHERE i = (n + 1) // 2 OR i = n // 2 + 1)",
+)
+def fill_median_decimal(spark, folder):
+    """Values that a double cannot tell apart; a half is rounded to the type of the column."""
+    values = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "CASE WHEN l_partkey % 7 <> 0 THEN"
+        " CAST(l_partkey + CAST(12345678901234560000 AS DECIMAL(20,0)) AS DECIMAL(20,0)) END AS v",
+    )
+    return fill.fill_median(values, "v").withColumn("v", F.col("v").cast("string"))
+
+
+@query(
+    "fill_medians",
+    WITH + "SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, a), 6) AS l_quantity,"
+    " round(coalesce(l_extendedprice, b), 6) AS l_extendedprice, near FROM"
+    " (SELECT d.* EXCLUDE (near), CASE WHEN l_orderkey % 11 = 0 THEN m ELSE near END AS near FROM"
+    " (SELECT *, CASE WHEN l_orderkey = 1 THEN 1.9 ELSE 1 + l_orderkey / 1099511627776.0 END AS near"
+    " FROM dirty_lineitem) d CROSS JOIN (SELECT median(near) AS m FROM (SELECT CASE WHEN"
+    " l_orderkey = 1 THEN 1.9 ELSE 1 + l_orderkey / 1099511627776.0 END AS near"
+    " FROM dirty_lineitem WHERE l_orderkey % 11 <> 0)))"
+    " CROSS JOIN (SELECT median(l_quantity) AS a, median(l_extendedprice) AS b FROM dirty_lineitem)",
+)
+def fill_medians(spark, folder):
+    """Three medians in one plan, one of values that are all nearly alike but for one."""
+    near = "CASE WHEN l_orderkey = 1 THEN 1.9D ELSE 1 + l_orderkey / 1099511627776D END"
+    lineitem = fx.dirty_lineitem(spark, folder).withColumn(
+        "near", F.expr(f"CASE WHEN l_orderkey % 11 <> 0 THEN {near} END")
+    )
+    plan = [steps.FillNulls(c, "fill_median") for c in ("l_quantity", "l_extendedprice", "near")]
+    filled = cleaning.apply_steps(lineitem, plan)
+    return filled.select(
         "l_orderkey",
         "l_linenumber",
-        F.round(F.coalesce("l_extendedprice", median), 6).alias("l_extendedprice"),
+        F.round("l_quantity", 6).alias("l_quantity"),
+        F.round("l_extendedprice", 6).alias("l_extendedprice"),
+        "near",
     )
 
 
@@ -1113,6 +1175,16 @@ def step_report(spark, folder):
     return report.select("seq", "initial_rows", "initial_columns", "final_rows", "final_columns")
 
 
+@query(
+    "drop_columns_if_null",
+    WITH + "SELECT event_id, ts FROM dirty_events",
+)
+def drop_columns_if_null(spark, folder):
+    names = ("user_id", "ts", "event_type", "value", "absent")
+    plan = [steps.RemoveNulls("drop_column", column_to_drop=n) for n in names]
+    return cleaning.apply_steps(fx.dirty_events(spark, folder), plan)
+
+
 @query(
     "clean_error_branch",
     WITH + "SELECT event_id, user_id, coalesce(nullif(event_type, ''), 'UNKNOWN') AS event_type,"
@@ -1128,6 +1200,23 @@ def clean_error_branch(spark, folder):
     return branches.cleaned("error", plan)
 
 
+@query(
+    "suite_from_dict",
+    WITH + "SELECT 'not_null(value)' AS rule, count(*) - count(value) AS unexpected_count"
+    " FROM dirty_events UNION ALL SELECT 'not_null(event_type)', count(*) - count(event_type)"
+    " FROM dirty_events UNION ALL SELECT 'column_exists(absent)', 0",
+)
+def suite_from_dict(spark, folder):
+    """Rules given as a mapping; the one on a column that is not there is left out."""
+    dirty = fx.dirty_events(spark, folder)
+    spec = {
+        "ExpectColumnValuesToNotBeNull": ["value", "event_type", "actions.video_view"],
+        "expect_column_to_exist": "absent",
+    }
+    report = validate.validation_report(dirty, validate.suite_for(dirty, spec))
+    return report.select("rule", "unexpected_count")
+
+
 @query(
     "custom_step",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000",
@@ -1199,6 +1288,17 @@ def lineage_edges(spark, folder):
     return lineage.edges(table(spark, folder, "conversations"), "conv_id", "turn")
 
 
+@query(
+    "lineage_edges_sparse",
+    "SELECT conv_id, previous * 1000000 AS previous, \"current\" * 1000000 AS \"current\" FROM"
+    " (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous,"
+    " turn AS \"current\" FROM conversations) WHERE previous IS NOT NULL",
+)
+def lineage_edges_sparse(spark, folder):
+    log = table(spark, folder, "conversations").withColumn("turn", F.col("turn") * 1_000_000)
+    return lineage.edges(log, "conv_id", "turn")
+
+
 @query(
     "lineage_labels",
     "SELECT conv_id, turn, 'Step ' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn)"

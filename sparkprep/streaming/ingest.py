@@ -12,11 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkprep.functions.columns import canonicalize_nan, data_type, qcol, replace_column
+from sparkprep.operators.duplicates import remove_duplicates_within
 from sparkprep.operators.validate import Rule, any_failure, validation_report
 from sparkprep.sources.readers import DEFAULT_FORMAT
 from sparkprep.sources.sinks import IS_ERROR
 
+__all__ = [
+    "file_stream",
+    "for_batches",
+    "ingest",
+    "ingest_split",
+    "remove_duplicates_within",
+    "report_batches",
+]
+
 
 def file_stream(
     spark: SparkSession,
@@ -73,18 +82,6 @@ def ingest_split(
     return ingest(marked, path, checkpoint, fmt, partition_by=[IS_ERROR])
 
 
-def remove_duplicates_within(stream: DataFrame, time_column: str, delay: str) -> DataFrame:
-    """Remove equal rows that arrive within ``delay`` of each other.
-
-    State older than the watermark is dropped, so it stays bounded on an
-    endless stream. A time without zone is read in the session's zone.
-    """
-    df = canonicalize_nan(stream)
-    if isinstance(data_type(df, time_column), T.TimestampNTZType):
-        df = replace_column(df, time_column, qcol(time_column).cast("timestamp"))
-    return df.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(df.columns)
-
-
 def report_batches(
     stream: DataFrame, rules: Sequence[Rule], path: str, checkpoint: str
 ) -> StreamingQuery:

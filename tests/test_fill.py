@@ -109,12 +109,11 @@ def test_coercion_and_strategies():
     assert fill.strategies_for(T.BooleanType()) == ("fill_mode", "fill_specific")
 
 
-def narrowed(spark, items, dtype="double", rounds=1):
-    df = stats.values_of(frame(spark, items, dtype), "v")
-    return spark.range(1).select(stats.selected_median(df, rounds)).first()[0]
+def narrowed(spark, items, dtype="double"):
+    df = frame(spark, items, dtype)
+    return spark.range(1).select(stats.median_of(df, "v")).first()[0]
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
 @pytest.mark.parametrize(
     "items",
     [
@@ -125,54 +124,59 @@ def narrowed(spark, items, dtype="double", rounds=1):
         [float("inf"), 1.0, 2.0],
         [float("-inf"), float("-inf"), 3.0, float("inf")],
         [-0.0, 0.0, 1e-300, 1e300, -1e300],
+        [5e-324, 1e-323, 2.2250738585072014e-308, 1.5e-323],
         [1e308, 1.7e308, -1.7e308],
+        [-8.0, -8.0, 1.0, 1024.0],
+        [1.0, 1.0, 512.0, 513.0],
+        [4.0, 4.5, 7.0, 7.5],
+        [2.0**k for k in range(-1022, 1024)],
+        [-(2.0**k) * (1 - 2.0**-53) for k in range(-1021, 1024)],
     ],
 )
-def test_narrowing_median_on_small_frames(spark, items, rounds):
-    assert narrowed(spark, items, rounds=rounds) == statistics.median(items)
+def test_median_on_small_frames(spark, items):
+    assert narrowed(spark, items) == statistics.median(items)
 
 
 @pytest.mark.parametrize("n", [1000, 1001])
-def test_narrowing_median_on_spread_and_skewed_values(spark, n):
+def test_median_on_spread_and_skewed_values(spark, n):
     rng = random.Random(n)
     spread = [rng.uniform(-1e6, 1e6) for _ in range(n)]
     skewed = [0.5] * (n // 3) + [rng.expovariate(1) ** 8 for _ in range(n - n // 3)]
-    for items in (spread, skewed):
-        assert narrowed(spark, items) == pytest.approx(statistics.median(items), rel=1e-12)
+    near = [1.0 + i * 2.0**-40 for i in range(n)] + [1.9]
+    for items in (spread, skewed, near):
+        assert narrowed(spark, items) == pytest.approx(statistics.median(items), rel=1e-15)
 
 
-def test_narrowing_median_does_not_depend_on_the_bins(spark, monkeypatch):
-    """Few bins and few rounds leave more to count, with the same result."""
-    items = [float(i * i) for i in range(501)] + [-3.0, -3.0, 1e-200]
-    for bins, rounds in ((2, 0), (2, 2), (7, 1)):
-        monkeypatch.setattr(stats, "BINS", bins)
-        assert narrowed(spark, items, rounds=rounds) == statistics.median(items)
-
-
-def test_middle_values_in_different_bins(spark):
-    for rounds in (0, 1, 2):
-        assert narrowed(spark, [-8.0, -8.0, 1.0, 1024.0], rounds=rounds) == -3.5
-        assert narrowed(spark, [1.0, 1.0, 512.0, 513.0], rounds=rounds) == 256.5
-        assert narrowed(spark, [4.0, 4.5, 7.0, 7.5], rounds=rounds) == 5.75
-
-
-def test_narrowing_median_of_other_types(spark):
+def test_median_of_other_types(spark):
     big = [(1 << 60) + i for i in range(5)]
     assert narrowed(spark, big, "bigint") == float(big[2])
     assert narrowed(spark, [Decimal("1.10"), Decimal("1.20")], "decimal(5,2)") == Decimal("1.15")
     assert narrowed(spark, [-(1 << 63), (1 << 63) - 1, 5], "bigint") == 5.0
+    assert narrowed(spark, [-40000, 70000, 3, 4], "int") == 3.5
+    assert narrowed(spark, [-3, 7, 5], "smallint") == 5.0
+    assert narrowed(spark, [0.1, 0.2, 0.3], "float") == pytest.approx(0.2)
     assert narrowed(spark, [], "double") is None
-
-
-def test_large_inputs_take_the_narrowing_median(spark, monkeypatch):
-    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
-    assert stats.is_small(df)
-    monkeypatch.setattr(stats, "SMALL_INPUT_BYTES", 0)
-    monkeypatch.setattr(stats, "is_small", lambda *_: False)
-    holes = df.withColumn("v", F.when(F.col("v") != 10, F.col("v")))
-    assert fill.fill_median(holes, "v").where("v = 500").count() == 2
-    plan = fill.fill_median(holes, "v")._jdf.queryExecution().optimizedPlan().toString()
-    assert "log2" in plan.lower() and "median" not in plan
+    assert narrowed(spark, [None, NAN]) is None
+    huge = [Decimal("12345678901234567891")] * 3
+    assert narrowed(spark, huge, "decimal(20,0)") == huge[0]
+    wide = [Decimal(f"{s}1234567890123456789012345.{d:08d}") for s in ("-", "") for d in (7, 9)]
+    assert narrowed(spark, [*wide, Decimal("0.5")], "decimal(38,8)") == Decimal("0.5")
+
+
+def test_median_fill_keeps_a_decimal_exact(spark):
+    exact = Decimal("12345678901234567891")
+    df = frame(spark, [exact, exact, exact, None], "decimal(20,0)")
+    assert values(fill.fill_median(df, "v")) == [exact] * 4
+
+
+@pytest.mark.parametrize("columns", [1, 3])
+def test_median_plans_grow_by_a_subquery_per_round(spark, columns):
+    source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    df = source
+    for name in ("l_tax", "l_discount", "l_quantity")[:columns]:
+        df = fill.fill_median(df, name, stats=source)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= 1 + 4 * columns
 
 
 def test_approximate_median(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep import fixtures as fx
-from sparkprep.functions.ordered import with_predecessor
+from sparkprep.functions.ordered import range_bounds, with_predecessor
 from sparkprep.operators.fill import fill_mean
 from sparkprep.operators.validate import NotNull
 from sparkprep.plans import cleaning, job, lineage
@@ -219,7 +219,7 @@ def test_result_is_the_same_with_report_and_checkpoint(spark):
     cleaning.run_steps(df, plan, lambda d: seen.append(multiset(d)))
     wanted = multiset(one_by_one)
     assert seen == [wanted]
-    for checkpoint in (None, True, False):
+    for checkpoint in (True, False):
         assert multiset(cleaning.apply_steps(df, plan, checkpoint=checkpoint)) == wanted
     plain, cut = (cleaning.run_steps(df, plan, checkpoint=c).records for c in (False, True))
     assert [vars(r) for r in plain] == [vars(r) for r in cut]
@@ -230,9 +230,9 @@ def test_where_plans_are_cut(spark):
     df = fx.dirty_lineitem(spark, FOLDER).withColumnRenamed("l_linestatus", " a.b ")
     fill, drop = s.FillNulls("l_quantity", "fill_mean"), s.RemoveNulls("drop_rows_any")
     plan = [fill, drop] * 4
-    left = {c: len(cleaning.stages(df, plan, c)[2]) for c in (None, True, False)}
-    assert left == {None: 4, True: 6, False: 0}
-    cut = cleaning.apply_steps(df, plan)
+    left = {c: len(cleaning.stages(df, plan, c)[2]) for c in (True, False)}
+    assert left == {True: 6, False: 0}
+    cut = cleaning.apply_steps(df, plan, checkpoint=True)
     assert cut.columns == df.columns and "stage" in plan_text_files(cut)
 
 
@@ -415,3 +415,37 @@ def test_job_from_files_to_table(spark, tmp_path):
 def test_incomplete_jobs_are_rejected(spec):
     with pytest.raises(ValueError):
         job.job_from_spec(spec)
+
+
+def test_statistics_of_a_stream_leave_out_filtered_rows(spark):
+    batch = spark.createDataFrame([(1, 2.0), (1, None), (None, 100.0)], "u int, v double")
+    plan = [s.RemoveNulls("drop_rows_col", ("u",)), s.FillNulls("v", "fill_mean")]
+    wanted = multiset(cleaning.apply_steps(batch, plan))
+    assert multiset(cleaning.apply_steps(batch, plan, stats=batch)) == wanted
+
+
+def test_duplicates_in_a_stream_need_a_delay(spark):
+    stream = spark.readStream.format("rate").load()
+    with pytest.raises(ValueError, match="delay"):
+        s.RemoveDuplicates().apply(stream)
+    assert s.RemoveDuplicates("timestamp", "1 hour").apply(stream).isStreaming
+
+
+def test_column_drops_share_one_look_at_the_data(spark, monkeypatch):
+    df = spark.createDataFrame([(1, None, 3.0), (2, "x", float("nan"))], "a int, b string, c double")
+    monkeypatch.setattr(s, "contains_missing", None)
+    plan = [s.RemoveNulls("drop_column", column_to_drop=n) for n in ("a", "b", "c", "b", "z")]
+    records = cleaning.run_steps(df, plan).records
+    assert [r.status for r in records] == ["skipped", "applied", "applied", "skipped", "skipped"]
+    assert cleaning.apply_steps(df, plan).columns == ["a"]
+
+
+@pytest.mark.parametrize("spacing", [1, 1_000_000])
+def test_ranges_follow_the_rows_and_not_their_spacing(spark, spacing):
+    df = spark.range(1000).select(F.lit("g").alias("g"), (F.col("id") * spacing).alias("o"))
+    bounds = range_bounds(df, "o", chunk=100)
+    assert 8 <= len(bounds) <= 10
+    found = {r.o: r for r in with_predecessor(df, "g", "o", chunk=100).collect()}
+    for i in range(1000):
+        before = (i - 1) * spacing if i else None
+        assert (found[i * spacing].previous, found[i * spacing].position) == (before, i + 1)

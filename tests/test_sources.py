@@ -198,8 +198,7 @@ def test_stream_adds_only_new_files(spark, tmp_path):
     assert spark.read.parquet(target).count() == 7
 
 
-def test_stream_steps_with_batch_statistics(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(statistics, "is_small", lambda *_: False)
+def test_stream_steps_with_batch_statistics(spark, tmp_path):
     source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
     batch = spark.createDataFrame(
         [(1.0, "x", None), (3.0, None, 1), (None, "x", 2)], "v double, t string, i int"
