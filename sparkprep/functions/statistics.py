@@ -211,6 +211,93 @@ def _part_type(values: DataFrame, level: Level) -> T.DataType:
     return values.select(level(F.col("v"))).schema[0].dataType
 
 
+def medians_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """(at, median) for the numeric columns at these places of ``names``, exact, as doubles.
+
+    The rounds of ``selected_median``, all columns in one pass per round: values
+    become pairs of column number and 64-bit integer, and the state between
+    rounds has a row per column. Decimals that need more than 64 bits are ranked
+    as doubles.
+    """
+    cells = []
+    for at, name in enumerate(names):
+        dtype = data_type(df, name)
+        value = qcol(name).cast("double") if _is_wide(dtype) else qcol(name)
+        key = _shifted(T.DoubleType() if _is_wide(dtype) else dtype, 0)(value)
+        present = F.when(is_present(df, name), key)
+        cells.append(
+            F.struct(
+                F.lit(at).alias("at"), present.alias("key"), value.cast("double").alias("value")
+            )
+        )
+    pairs = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("key IS NOT NULL")
+    state = None
+    for shift in range(64 - ROUND_BITS, -1, -ROUND_BITS):
+        state = _narrowed_together(pairs, state, shift)
+    return state.select("at", ((F.col("low_value") + F.col("high_value")) / 2).alias("median"))
+
+
+_BELOW = ("low_part", "low_below", "high_part", "high_below", "n")
+
+
+def _narrowed_together(pairs: DataFrame, state: DataFrame | None, shift: int) -> DataFrame:
+    part = F.shiftright("key", shift).alias("part")
+    if state is None:
+        rows, told = pairs.select("at", F.lit(0).alias("parent"), part, "value"), ()
+    else:
+        parent = F.shiftright("key", shift + ROUND_BITS)
+        # A row per column of the frame, whatever its rows.
+        kept = pairs.join(F.broadcast(state.select("at", *_BELOW)), "at").where(
+            (parent == F.col("low_part")) | (parent == F.col("high_part"))
+        )
+        told = _BELOW
+        rows = kept.select("at", parent.alias("parent"), part, "value", *told)
+    found = rows.groupBy("at", "parent", "part", *told).agg(
+        F.count(F.lit(1)).alias("c"), F.min("value").alias("value")
+    )
+    upto = F.sum("c").over(Window.partitionBy("at", "parent").orderBy("part"))
+    if state is None:
+        found = found.withColumn("n", F.sum("c").over(Window.partitionBy("at")))
+    else:
+        is_low = F.col("parent") == F.col("low_part")
+        upto = F.when(is_low, F.col("low_below")).otherwise(F.col("high_below")) + upto
+    parts = found.select("at", "part", "value", "c", "n", upto.alias("upto")).withColumn(
+        "below", F.col("upto") - F.col("c")
+    )
+    cells = [
+        F.max(F.when(F.expr(f"below <= {rank} AND {rank} < upto"), F.col(name))).alias(f"{end}_{name}")
+        for end, rank in (("low", "(n - 1) div 2"), ("high", "n div 2"))
+        for name in ("part", "below", "value")
+    ]
+    return parts.groupBy("at").agg(*cells, F.max("n").alias("n"))
+
+
+def modes_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """(at, mode) as text for the columns at these places of ``names``, in one pass.
+
+    All values are counted together, by column number and value, with a field for
+    each type that the columns have, so that ties go to the smallest value of
+    its own type.
+    """
+    types = list(dict.fromkeys(data_type(df, n).simpleString() for n in names))
+    fields = [f"t{i}" for i in range(len(types))]
+    cells = []
+    for at, name in enumerate(names):
+        own = data_type(df, name).simpleString()
+        present = F.when(is_present(df, name), qcol(name))
+        values = [
+            (present if own == t else F.lit(None).cast(t)).alias(f)
+            for f, t in zip(fields, types, strict=True)
+        ]
+        cells.append(
+            F.struct(F.lit(at).alias("at"), is_present(df, name).alias("there"), *values)
+        )
+    rows = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("there")
+    counts = rows.groupBy("at", *fields).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("n"), *fields)).alias("b"))
+    return best.select("at", F.coalesce(*(F.col(f"b.{f}").cast("string") for f in fields)).alias("mode"))
+
+
 def fitted(statistic: Column, dtype: T.DataType) -> Column:
     """A mean or median in the type the filled column will have."""
     return statistic.cast(dtype) if isinstance(dtype, T.DecimalType) else statistic.cast("double")

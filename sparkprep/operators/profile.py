@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.columns import data_type, family, is_numeric, qcol
-from sparkprep.functions.statistics import mean_of, median_of, mode_of
+from sparkprep.functions.columns import data_type, family, is_numeric, null_if_nan, qcol
+from sparkprep.functions.statistics import medians_of, modes_of
 from sparkprep.operators.fill import default_fill_value, strategies_for
 from sparkprep.operators.filters import missing_count
 
@@ -65,29 +65,40 @@ def profile_columns(
 ) -> DataFrame:
     """(column, missing, mean, median, mode) per column, mode as text.
 
-    Counts and means share one pass; each median and mode is a subquery of its
-    own, since those need the values themselves.
+    Six passes over the frame, however many columns it has: counts and means
+    share one, all modes another, and all medians take one per round.
     """
     chosen = [n for n in df.columns if columns is None or n in columns]
-    counts = one_row_per_column(
-        df, chosen, {"missing": [missing_count(df, n) for n in chosen]}
-    )
-
-    def pick(cells: dict[str, Column], dtype: str) -> Column:
-        result = F.lit(None).cast(dtype)
-        for name, cell in cells.items():
-            result = F.when(F.col("column") == name, cell.cast(dtype)).otherwise(result)
-        return result
-
     numeric = [n for n in chosen if is_numeric(data_type(df, n))]
-    return counts.select(
+    plain = [n for n in chosen if not _nested(data_type(df, n))]
+    nothing = F.max(F.lit(None).cast("double"))
+    out = one_row_per_column(
+        df,
+        chosen,
+        {
+            "missing": [missing_count(df, n) for n in chosen],
+            "mean": [
+                F.avg(null_if_nan(df, n)).cast("double") if n in numeric else nothing
+                for n in chosen
+            ],
+        },
+    )
+    for names, label, dtype, find in (
+        (numeric, "median", "double", medians_of),
+        (plain, "mode", "string", modes_of),
+    ):
+        if not names:
+            out = out.withColumn(label, F.lit(None).cast(dtype))
+            continue
+        place = F.lit(names)[F.col("at")].alias("its")
+        found = find(df, names).select(place, label)
+        out = out.join(found, F.col("column") == F.col("its"), "left").drop("its")
+    return out.select(
         "column",
         "missing",
-        F.round(pick({n: mean_of(df, n) for n in numeric}, "double"), digits).alias("mean"),
-        F.round(pick({n: median_of(df, n) for n in numeric}, "double"), digits).alias("median"),
-        pick(
-            {n: mode_of(df, n) for n in chosen if not _nested(data_type(df, n))}, "string"
-        ).alias("mode"),
+        F.round("mean", digits).alias("mean"),
+        F.round("median", digits).alias("median"),
+        "mode",
     )
 
 

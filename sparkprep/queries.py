@@ -801,7 +801,7 @@ def shape(spark, folder):
     return profile.shape(table(spark, folder, "lineitem"))
 
 
-def _profile_sql(column: str, numeric: bool) -> str:
+def _profile_sql(column: str, numeric: bool, of: str = "dirty_events") -> str:
     stats = (
         f"round(avg({column}), 6) AS mean, round(median({column}), 6) AS median"
         if numeric
@@ -809,8 +809,8 @@ def _profile_sql(column: str, numeric: bool) -> str:
     )
     return (
         f"SELECT '{column}' AS \"column\", count(*) - count({column}) AS missing, {stats},"
-        f" (SELECT CAST({column} AS VARCHAR) FROM dirty_events WHERE {column} IS NOT NULL"
-        f" GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1) AS mode FROM dirty_events"
+        f" (SELECT CAST({column} AS VARCHAR) FROM {of} WHERE {column} IS NOT NULL"
+        f" GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1) AS mode FROM {of}"
     )
 
 
@@ -829,6 +829,29 @@ def profile_columns(spark, folder):
     )
 
 
+LINEITEM_COLUMNS = {
+    "l_orderkey": True,
+    "l_partkey": True,
+    "l_suppkey": True,
+    "l_linenumber": True,
+    "l_quantity": True,
+    "l_extendedprice": True,
+    "l_discount": True,
+    "l_tax": True,
+    "l_returnflag": False,
+    "l_linestatus": False,
+    "l_shipdate": False,
+}
+
+
+@query(
+    "profile_lineitem",
+    " UNION ALL ".join(_profile_sql(n, number, "lineitem") for n, number in LINEITEM_COLUMNS.items()),
+)
+def profile_lineitem(spark, folder):
+    return profile.profile_columns(table(spark, folder, "lineitem"))
+
+
 @query("preview_top5", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 5")
 def preview_top5(spark, folder):
     return profile.preview(

@@ -216,3 +216,24 @@ def test_profile_tables(spark):
     found = {r["column"]: r for r in profile_columns(df).collect()}
     assert found["d"]["mean"] == 2.0 and found["s"]["mode"] == "a" and found["i"]["missing"] == 1
     assert {r["column"] for r in fill_strategies(df).collect()} == {"i", "d"}
+
+
+def test_profile_takes_as_many_scans_for_any_columns(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    for names in (["l_tax"], df.columns):
+        plan = profile_columns(df, names)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == 6
+
+
+def test_profile_of_many_types(spark):
+    rows = [(1, "b", NAN, Decimal("2.50"), True, None), (3, "a", 2.0, None, True, None), (None, "b", 4.0, Decimal("1.00"), False, None)]
+    df = spark.createDataFrame(rows, "i int, s string, d double, c decimal(30,2), b boolean, n bigint")
+    found = {r["column"]: tuple(r)[1:] for r in profile_columns(df).collect()}
+    assert found == {
+        "i": (1, 2.0, 2.0, "1"),
+        "s": (0, None, None, "b"),
+        "d": (1, 3.0, 3.0, "2.0"),
+        "c": (1, 1.75, 1.75, "1.00"),
+        "b": (0, None, None, "true"),
+        "n": (3, None, None, None),
+    }
