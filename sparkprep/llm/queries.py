@@ -38,6 +38,72 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+ ('0x' || substr(md5('7-' || CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT AS draw,
+ FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+ CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+ FROM d GROUP BY source),
+l AS (SELECT max(level) AS level FROM (SELECT ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3 * b.source_size) FROM s b
+   WHERE 3.0 * b.source_size / b.weight < 3.0 * a.source_size / a.weight), 0))::DOUBLE
+  / (SELECT sum(b.weight) FROM s b WHERE 3.0 * b.source_size / b.weight >= 3.0 * a.source_size / a.weight) AS level,
+  3.0 * a.source_size / a.weight AS cap FROM s a) WHERE level <= cap),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * level) AS target FROM s CROSS JOIN l),
+w AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+n AS (SELECT *, target - whole * source_size AS need FROM w),
+o AS (SELECT d.doc_id, d.size, n.source_size, n.target, n.whole, n.need,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+ (size * (whole + CASE WHEN need > 0 AND upto - size / 2.0 < need THEN 1 ELSE 0 END))::BIGINT AS taken FROM o
+"""
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k FROM
+ (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS k FROM
+ (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d JOIN z ON len(w) >= size)),
+m AS (SELECT DISTINCT dw.doc_id, dw.i, dw.size, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.size = bw.size),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS j FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+SUFFIX_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d WHERE length(x) >= 200),
+h AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS k FROM p),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM h),
+g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS starts FROM r WHERE n > 1),
+e AS (SELECT doc_id, i, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM e GROUP BY doc_id, run),
+u AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1),
+  lambda j: substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * b[j] + 1 END,
+   CASE WHEN j = n_spans THEN length(x) ELSE 2 * a[j + 1] - CASE WHEN j = 0 THEN 0 ELSE 2 * b[j] END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN u USING (doc_id)
+"""
+
+SUBSTRING_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN f USING (k) WHERE first < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+ sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
+  list_filter(w, lambda x, j: NOT list_contains(gone, j)), ' ') END) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def _removed(spans: str) -> Column:
     """How much all spans of an array take."""
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -70,13 +136,13 @@ def op4_merkle_fingerprints(spark, folder):
     return merkle.against_next(table(spark, folder, "documents"))
 
 
-@query("op5_mixing")
+@query("op5_mixing", MIXING_SQL)
 def op5_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), seed=7)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", DECONTAMINATION_SQL)
 def op6_decontamination(spark, folder):
     marked = decontamination.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -100,7 +166,7 @@ def op7_language_id(spark, folder):
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", SUFFIX_DEDUP_SQL)
 def op8_suffix_dedup(spark, folder):
     kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return kept.select(
@@ -112,7 +178,7 @@ def op8_suffix_dedup(spark, folder):
     )
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", SUBSTRING_DEDUP_SQL)
 def op9_substring_dedup(spark, folder):
     kept = phrase_dedup.remove_repeats(table(spark, folder, "documents"))
     return kept.select(
