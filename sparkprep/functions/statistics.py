@@ -90,12 +90,13 @@ def selected_median(values: DataFrame, dtype: T.DataType) -> Column:
     per middle rank and task. A round refers to the one before it in a single
     place, so the plan grows by one subquery per round.
     """
+    keyed = _with_ordered(values, "v", dtype)
     levels = _levels(dtype)
     kept = "string" if _is_wide(dtype) else "bigint"
     state = None
     for i, level in enumerate(levels):
         last = i == len(levels) - 1
-        state = _narrowed(values, levels[i - 1] if i else None, level, state, None if last else kept)
+        state = _narrowed(keyed, levels[i - 1] if i else None, level, state, kept, last)
     middle = values.sparkSession.range(1).select(state.alias("s"))
     return middle.select(F.explode(F.array_distinct("s")).alias("v")).agg(F.avg("v")).scalar()
 
@@ -104,14 +105,13 @@ Level = Callable[[Column], Column]
 
 
 def _levels(dtype: T.DataType) -> list[Level]:
-    """Functions of a value that never fall as it grows, coarse to exact."""
+    """Functions of a value's ordered form that never fall as it grows, coarse to exact."""
     if _is_wide(dtype):
         whole = dtype.precision - dtype.scale
         scales = range(ROUND_DIGITS - whole, dtype.scale, ROUND_DIGITS)
-        return [*(_floored(scale) for scale in scales), lambda v: v]
+        return [*(_floored(scale) for scale in scales), lambda k: k]
     bits = 32 if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)) else 64
-    shifts = range(bits - ROUND_BITS, -1, -ROUND_BITS)
-    return [_shifted(dtype, shift) for shift in shifts]
+    return [_shifted(shift) for shift in range(bits - ROUND_BITS, -1, -ROUND_BITS)]
 
 
 def _is_wide(dtype: T.DataType) -> bool:
@@ -120,97 +120,108 @@ def _is_wide(dtype: T.DataType) -> bool:
 
 
 def _floored(scale: int) -> Level:
-    return lambda v: F.floor(v, F.lit(scale))
+    return lambda k: F.floor(k, F.lit(scale))
 
 
-def _shifted(dtype: T.DataType, shift: int) -> Level:
-    if isinstance(dtype, T.DecimalType):
-        unit = F.lit(Decimal(10) ** dtype.scale)
-        return lambda v: F.shiftright((v * unit).cast("bigint"), shift)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return lambda v: F.shiftright(_ordered_bits(v.cast("double")), shift)
-    return lambda v: F.shiftright(v.cast("bigint"), shift)
-
-
-def _ordered_bits(value: Column) -> Column:
-    """The bits of a double as an integer that grows with it: exponent, then fraction."""
-    size = F.abs(value)
+def _shifted(shift: int) -> Level:
+    return lambda k: F.shiftright(k, shift)
 
-    def scaled(exponent: Column) -> Column:
-        return size * F.pow(F.lit(2.0), -exponent.cast("double"))
 
-    def bounded(exponent: Column) -> Column:
-        return F.greatest(F.least(exponent, F.lit(1023)), F.lit(-1022))
+def _with_ordered_bits(rows: DataFrame, value: str, bits: str) -> DataFrame:
+    """Add the bits of a double as an integer that grows with it: exponent, then fraction.
 
-    # The logarithm may be off by one at powers of two.
-    near = bounded(F.floor(F.least(F.log2(size), F.lit(1023.0))).cast("int"))
-    exponent = bounded(near + (scaled(near) >= 2).cast("int") - (scaled(near) < 1).cast("int"))
+    Step by step, so that no expression is repeated inside another one.
+    """
+    size, power, scaled, rest = (f"{bits}_{n}" for n in ("size", "power", "scaled", "rest"))
     unit = 1 << 52
-    fraction = ((scaled(exponent) - 1) * float(unit)).cast("bigint")
-    bits = (exponent.cast("bigint") + 1023) * F.lit(unit) + fraction
-    bits = (
-        F.when(size == 0, F.lit(0).cast("bigint"))
-        .when(size == float("inf"), F.lit(2047 * unit))
-        .otherwise(bits)
+    # The logarithm may be off by one at powers of two.
+    near = F.greatest(F.floor(F.least(F.log2(size), F.lit(1023.0))).cast("int"), F.lit(-1022))
+    # Half or twice as much as it should be at most; never below the least exponent.
+    step = F.when(F.col(scaled) >= 2, 1).when((F.col(scaled) < 1) & (F.col(power) > -1022), -1)
+    step = F.coalesce(step, F.lit(0))
+    fraction = ((F.col(scaled) * F.pow(F.lit(2.0), -step.cast("double")) - 1) * float(unit)).cast("bigint")
+    whole = (F.col(power).cast("bigint") + step + 1023) * F.lit(unit) + fraction
+    positive = (
+        F.when(F.col(size) == 0, F.lit(0).cast("bigint"))
+        .when(F.col(size) == float("inf"), F.lit(2047 * unit))
+        .otherwise(whole)
+    )
+    return (
+        rows.withColumn(size, F.abs(F.col(value).cast("double")))
+        .withColumn(power, near)
+        .withColumn(scaled, F.col(size) * F.pow(F.lit(2.0), -F.col(power).cast("double")))
+        .withColumn(rest, positive)
+        .withColumn(bits, F.when(F.col(value) < 0, -F.col(rest)).otherwise(F.col(rest)))
+        .drop(size, power, scaled, rest)
     )
-    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def _with_ordered(rows: DataFrame, value: str, dtype: T.DataType, name: str = "k") -> DataFrame:
+    """Add a 64-bit integer that grows with the value; a wide decimal as it is."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return _with_ordered_bits(rows, value, name)
+    ordered = F.col(value)
+    if isinstance(dtype, T.DecimalType) and not _is_wide(dtype):
+        ordered = (ordered * F.lit(Decimal(10) ** dtype.scale)).cast("bigint")
+    elif not _is_wide(dtype):
+        ordered = ordered.cast("bigint")
+    return rows.withColumn(name, ordered)
 
 
 def _narrowed(
-    values: DataFrame,
+    keyed: DataFrame,
     parent: Level | None,
     level: Level,
     state: Column | None,
-    kept: str | None,
+    kept: str,
+    last: bool,
 ) -> Column:
     """Where the two middle ranks are, as a scalar array.
 
     For each of them the part of the values that holds it and how many values are
-    below that part; then the number of values; all of type ``kept``. If that is
-    None the parts are single values, and the array is the two of them.
+    below that part; then the number of values; all of type ``kept``. In the last
+    round the parts are single values, and the array is the two of them.
 
     (An array and not a struct: the optimizer would copy the subquery for every
     field of a struct, in every round.)
     """
-    v, s = F.col("v"), F.col("s")
+    s, part = F.col("s"), level(F.col("k")).cast(kept)
+    counts = [F.count(F.lit(1)).alias("c"), F.min("v").alias("value")]
     if state is None:
-        keyed = values.select("v", F.struct(F.lit(0).alias("parent"), level(v).alias("part")).alias("k"))
-        found = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("value"))
+        rows = keyed.select("v", F.lit(0).alias("parent"), part.alias("part"), level(F.col("k")).alias("at"))
     else:
-        part = parent(v)
-        kind = _part_type(values, parent)
-        held = (part == s[0].cast(kind)) | (part == s[2].cast(kind))
-        key = F.when(held, F.struct(part.alias("parent"), level(v).alias("part")))
-        keyed = values.select("v", state.alias("s")).select("v", key.alias("k"), "s")
-        found = keyed.groupBy("k").agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("value"), F.first("s").alias("s")
+        above = parent(F.col("k")).cast(kept)
+        inside = (above == s[0]) | (above == s[2])
+        rows = keyed.select("v", "k", state.alias("s")).select(
+            "v",
+            F.when(inside, above).alias("parent"),
+            F.when(inside, part).alias("part"),
+            F.when(inside, level(F.col("k"))).alias("at"),
+            "s",
         )
-    upto = F.sum("c").over(Window.partitionBy("k.parent").orderBy("k.part"))
+        counts.append(F.first("s").alias("s"))
+    found = rows.groupBy("parent", "part", "at").agg(*counts)
+    upto = F.sum("c").over(Window.partitionBy("parent").orderBy("at"))
     if state is None:
         n = F.sum("c").over(Window.partitionBy())
     else:
-        is_low = F.col("k.parent") == s[0].cast(kind)
-        upto = F.when(is_low, s[1].cast("bigint")).otherwise(s[3].cast("bigint")) + upto
+        upto = F.when(F.col("parent") == s[0], s[1]).otherwise(s[3]).cast("bigint") + upto
         n = s[4].cast("bigint")
-    parts = found.select("k.part", "value", "c", upto.alias("upto"), n.alias("n"))
+    parts = found.select("part", "value", "c", upto.alias("upto"), n.alias("n"))
+    parts = parts.withColumn("below", F.col("upto") - F.col("c"))
 
     def holder(rank: str, name: str) -> Column:
         # Values outside both parts are counted under a null key.
-        holds = F.expr(f"part IS NOT NULL AND upto - c <= {rank} AND {rank} < upto")
+        holds = F.expr(f"part IS NOT NULL AND below <= {rank} AND {rank} < upto")
         return F.max(F.when(holds, F.col(name)))
 
-    parts = parts.withColumn("below", F.col("upto") - F.col("c"))
     ranks = "(n - 1) div 2", "n div 2"
-    if kept is None:
+    if last:
         return parts.agg(F.array(*(holder(r, "value") for r in ranks))).scalar()
     cells = [holder(r, name).cast(kept) for r in ranks for name in ("part", "below")]
     return parts.agg(F.array(*cells, F.max("n").cast(kept))).scalar()
 
 
-def _part_type(values: DataFrame, level: Level) -> T.DataType:
-    return values.select(level(F.col("v"))).schema[0].dataType
-
-
 def medians_of(df: DataFrame, names: list[str]) -> DataFrame:
     """(at, median) for the numeric columns at these places of ``names``, exact, as doubles.
 
@@ -219,18 +230,16 @@ def medians_of(df: DataFrame, names: list[str]) -> DataFrame:
     rounds has a row per column. Decimals that need more than 64 bits are ranked
     as doubles.
     """
-    cells = []
+    present = [F.when(is_present(df, n), qcol(n)).alias(f"v{at}") for at, n in enumerate(names)]
+    rows, cells = df.select(present), []
     for at, name in enumerate(names):
         dtype = data_type(df, name)
-        value = qcol(name).cast("double") if _is_wide(dtype) else qcol(name)
-        key = _shifted(T.DoubleType() if _is_wide(dtype) else dtype, 0)(value)
-        present = F.when(is_present(df, name), key)
-        cells.append(
-            F.struct(
-                F.lit(at).alias("at"), present.alias("key"), value.cast("double").alias("value")
-            )
-        )
-    pairs = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("key IS NOT NULL")
+        if _is_wide(dtype):
+            rows, dtype = rows.withColumn(f"v{at}", F.col(f"v{at}").cast("double")), T.DoubleType()
+        rows = _with_ordered(rows, f"v{at}", dtype, f"k{at}")
+        value = F.col(f"v{at}").cast("double").alias("value")
+        cells.append(F.struct(F.lit(at).alias("at"), F.col(f"k{at}").alias("key"), value))
+    pairs = rows.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("key IS NOT NULL")
     state = None
     for shift in range(64 - ROUND_BITS, -1, -ROUND_BITS):
         state = _narrowed_together(pairs, state, shift)
