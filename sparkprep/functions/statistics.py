@@ -185,29 +185,31 @@ def _narrowed(
     (An array and not a struct: the optimizer would copy the subquery for every
     field of a struct, in every round.)
     """
-    s, part = F.col("s"), level(F.col("k")).cast(kept)
+    k, s = F.col("k"), F.col("s")
     counts = [F.count(F.lit(1)).alias("c"), F.min("v").alias("value")]
     if state is None:
-        rows = keyed.select("v", F.lit(0).alias("parent"), part.alias("part"), level(F.col("k")).alias("at"))
+        rows = keyed.select("v", F.lit(0).alias("parent"), level(k).alias("at"))
+        found = rows.groupBy("parent", "at").agg(*counts).coalesce(1)
+        found = found.select(
+            "*", F.lit(0).alias("under"), F.sum("c").over(Window.partitionBy()).alias("n")
+        )
     else:
-        above = parent(F.col("k")).cast(kept)
+        above = parent(k).cast(kept)
         inside = (above == s[0]) | (above == s[2])
+        # Numbers, so that the counts stay in a hash table; an array would not.
         rows = keyed.select("v", "k", state.alias("s")).select(
             "v",
             F.when(inside, above).alias("parent"),
-            F.when(inside, part).alias("part"),
-            F.when(inside, level(F.col("k"))).alias("at"),
-            "s",
+            F.when(inside, level(k)).alias("at"),
+            F.when(above == s[0], s[1]).otherwise(s[3]).cast("bigint").alias("under"),
+            s[4].cast("bigint").alias("n"),
         )
-        counts.append(F.first("s").alias("s"))
-    found = rows.groupBy("parent", "part", "at").agg(*counts)
-    upto = F.sum("c").over(Window.partitionBy("parent").orderBy("at"))
-    if state is None:
-        n = F.sum("c").over(Window.partitionBy())
-    else:
-        upto = F.when(F.col("parent") == s[0], s[1]).otherwise(s[3]).cast("bigint") + upto
-        n = s[4].cast("bigint")
-    parts = found.select("part", "value", "c", upto.alias("upto"), n.alias("n"))
+        found = rows.groupBy("parent", "at").agg(
+            *counts, F.max("under").alias("under"), F.max("n").alias("n")
+        )
+    # Two times 65,536 counts at most from here on, so one task is enough.
+    upto = F.col("under") + F.sum("c").over(Window.partitionBy("parent").orderBy("at"))
+    parts = found.coalesce(1).select(F.col("at").cast(kept).alias("part"), "value", "c", "n", upto.alias("upto"))
     parts = parts.withColumn("below", F.col("upto") - F.col("c"))
 
     def holder(rank: str, name: str) -> Column:
@@ -264,6 +266,8 @@ def _narrowed_together(pairs: DataFrame, state: DataFrame | None, shift: int) ->
     found = rows.groupBy("at", "parent", "part", *told).agg(
         F.count(F.lit(1)).alias("c"), F.min("value").alias("value")
     )
+    # Two times 65,536 counts per column at most, which stay together from here on.
+    found = found.repartition("at")
     upto = F.sum("c").over(Window.partitionBy("at", "parent").orderBy("part"))
     if state is None:
         found = found.withColumn("n", F.sum("c").over(Window.partitionBy("at")))
