@@ -18,12 +18,21 @@ BATCH_FILES = 10_000
 
 
 def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(file, length, path) of a folder's files; ``file`` is the path inside the folder."""
+    """(file, length, path) of a folder's files; ``file`` is the path inside the folder.
+
+    The folder is cut off by its length, once: its own path may come again below it,
+    and that of a whole file system, ``/``, is in every path. A pattern as the folder
+    is in no path; then ``file`` is the path without the name of the file system.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     root = system.makeQualified(hadoop).toUri().getPath().rstrip("/") + "/"
-    inside = F.substring_index("path", root, -1).alias("file")
-    return list_files(spark, folder, pattern).select(inside, "length", "path")
+    # Scheme and authority may be written in several ways, the path in one.
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+    inside = F.when(
+        plain.startswith(root), F.substring(plain, F.char_length(F.lit(root)) + 1, F.length("path"))
+    ).otherwise(plain)
+    return list_files(spark, folder, pattern).select(inside.alias("file"), "length", "path")
 
 
 def new_arrivals(

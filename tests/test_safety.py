@@ -125,3 +125,34 @@ def test_files_that_look_alike(spark, tmp_path, batch):
             spark, str(tmp_path / "in"), str(tmp_path / "log"), loaded.extend, batch_files=batch
         )
     assert sorted(p[-9] for p in loaded) == ["1", "2", "3"] or len(set(loaded)) == 3 == len(loaded)
+
+
+def names_and_loads(spark, tmp_path, folder, files):
+    """Loads one file after the other; what the ledger calls them and how many were loaded."""
+    loads = []
+    for file in files:
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text("x")
+        loads.append(
+            ledger.ingest_new_files(spark, folder, str(tmp_path / "log"), lambda paths: None)
+        )
+    return {r.file for r in ledger.listed(spark, folder).collect()}, loads
+
+
+def test_files_below_a_root_folder(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mount.links.as.symlinks", "false")
+    files = [tmp_path / "in" / f"day={day}" / "part-0" for day in (1, 2)]
+    for file in files:
+        file.parent.mkdir(parents=True)
+        conf.set(f"fs.viewfs.mounttable.bucket.link./{file.parent.name}", file.parent.as_uri())
+    names, loads = names_and_loads(spark, tmp_path, "viewfs://bucket/", files)
+    assert names == {"day=1/part-0", "day=2/part-0"} and loads == [1, 1]
+
+
+def test_files_below_a_path_that_recurs(spark, tmp_path):
+    folder = tmp_path / "in"
+    again = str(folder).lstrip("/")
+    files = [folder / f"day={day}" / again / "part-0" for day in (1, 2)]
+    names, loads = names_and_loads(spark, tmp_path, str(folder), files)
+    assert names == {f"day={day}/{again}/part-0" for day in (1, 2)} and loads == [1, 1]
