@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm import (
     decontamination,
+    divergence,
     language_id,
+    lexical_search,
     lm_scoring,
     merkle,
     mixing,
@@ -18,6 +20,7 @@ from sparkprep.llm import (
     sharding,
     simhash,
     suffix_dedup,
+    token_files,
 )
 from sparkprep.llm.shared import crc_of_id
 from sparkprep.session import new_path
@@ -103,6 +106,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
   list_filter(w, lambda x, j: NOT list_contains(gone, j)), ' ') END) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
 """
 
+LEXICAL_SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+z AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM e),
+t AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM e) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*)::BIGINT AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term),
+w AS (SELECT item_id, term, c * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM q JOIN f USING (term) CROSS JOIN z),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+ FROM t JOIN w USING (term) CROSS JOIN z GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+SOURCE_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(n) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+ LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM f JOIN v USING (lang)),
+l AS (SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def _removed(spans: str) -> Column:
     """How much all spans of an array take."""
@@ -194,3 +232,25 @@ def op10_quality_classifier(spark, folder):
     labels = table(spark, folder, "labels")
     trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id")
     return quality.classify(table(spark, folder, "documents"), trusted)
+
+
+@query("op11_token_files")
+def op11_token_files(spark, folder):
+    import public_tokenizers
+
+    path = new_path(spark, "llm-tokens")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, folder, "documents"), path, vocabulary, end_id=2)
+    tokens = token_files.read_tokens(spark, path)
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_lexical_search", LEXICAL_SEARCH_SQL)
+def op12_lexical_search(spark, folder):
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return lexical_search.search_documents(docs, items, k=20)
+
+
+@query("op13_source_divergence", SOURCE_DIVERGENCE_SQL)
+def op13_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"), min_docs=30, top_terms=50)

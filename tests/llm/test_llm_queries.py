@@ -22,6 +22,9 @@ COLUMNS = {
     "op8": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9": "doc_id n_words n_removed kept_sha256",
     "op10": "doc_id lang perplexity threshold kept",
+    "op11": "doc_id start n_tokens ids_crc32",
+    "op12": "item_id rank doc_id score",
+    "op13": "lang source part item value rank",
 }
 
 
