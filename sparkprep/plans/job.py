@@ -10,21 +10,27 @@ A spec has these parts, all but ``source`` and ``output_table`` optional::
       "validation_config": {... "expectations": [...]},
       "branch": "clean",                          source, clean or error
       "split_path": "...",                        clean and error rows as files
+      "split_format": "csv",                      by default the output's
+      "split_options": {"multiLine": "true"},     by default the output's, if formats are the same
       "cleaning_config": {"cleaning_steps": [...]},
       "transformations": [...],
       "output_table": "db.events_prepared",
       "output_format": "parquet",
+      "output_options": {},
       "output_path": "...",
       "lineage_path": "...",
       "checkpoint": false                         see ``apply_steps``
     }
+
+Source, output, split and log must lie apart: none may be, or hold, another.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +47,14 @@ from sparkprep.sources.readers import (
     read_path,
     read_table,
 )
-from sparkprep.sources.sinks import check_apart, check_result, write_split, write_table
+from sparkprep.sources.sinks import (
+    check_apart,
+    check_result,
+    existing_location,
+    output_location,
+    write_split,
+    write_table,
+)
 
 
 @dataclass(frozen=True)
@@ -54,7 +67,10 @@ class Job:
     steps: tuple[Step, ...] = ()
     branch: str = "source"
     split_path: str | None = None
+    split_format: str = DEFAULT_FORMAT
+    split_options: Mapping[str, str] = field(default_factory=dict)
     output_format: str = DEFAULT_FORMAT
+    output_options: Mapping[str, str] = field(default_factory=dict)
     output_path: str | None = None
     lineage_path: str | None = None
     checkpoint: bool = False
@@ -80,6 +96,10 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
     if source.get("path") and any(str(p).rstrip("/") == str(source["path"]).rstrip("/") for p in paths):
         raise ValueError(f"{source['path']} cannot be both source and output")
     rules = tuple(suite_from_json(data["validation_config"])) if "validation_config" in data else ()
+    output_format, output_options = data.get("output_format", DEFAULT_FORMAT), _texts(data, "output_options")
+    split_format = data.get("split_format", output_format)
+    same = split_format.lower() == output_format.lower()
+    split_options = _texts(data, "split_options") or (output_options if same else {})
     has_steps = "cleaning_config" in data or any(name in data for name in STEP_LISTS)
     return Job(
         source=source,
@@ -88,7 +108,10 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
         steps=tuple(steps_from_spec(data)) if has_steps else (),
         branch=data.get("branch", "clean" if rules else "source"),
         split_path=data.get("split_path"),
-        output_format=data.get("output_format", DEFAULT_FORMAT),
+        split_format=split_format,
+        split_options=split_options,
+        output_format=output_format,
+        output_options=output_options,
         output_path=data.get("output_path"),
         lineage_path=data.get("lineage_path"),
         checkpoint=bool(data.get("checkpoint", False)),
@@ -96,6 +119,14 @@ def job_from_spec(spec: str | Mapping[str, object]) -> Job:
     )
 
 
+def _texts(data: Mapping[str, object], name: str) -> dict[str, str]:
+    """Options of a format; JSON's true and false as Spark writes them."""
+    given = data.get(name) or {}
+    if not isinstance(given, Mapping):
+        raise ValueError(f"{name} is not a set of options")
+    return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in given.items()}
+
+
 def read_source(spark: SparkSession, source: Mapping[str, object]) -> DataFrame:
     if source.get("table"):
         return read_table(spark, str(source["table"]))
@@ -106,15 +137,27 @@ def read_source(spark: SparkSession, source: Mapping[str, object]) -> DataFrame:
 
 
 def check_paths(spark: SparkSession, job: Job) -> None:
-    """Refuse outputs that would delete the source, before any data is touched."""
+    """Refuse places that are, or hold, one another, before any data is touched.
+
+    Writing one of them would delete what another one holds, or mix the two.
+    """
     table, path = job.source.get("table"), job.source.get("path")
-    source = table_path(spark, str(table)) if table else str(path)
-    outputs = [job.output_path, job.split_path]
-    if spark.catalog.tableExists(job.output_table):
-        outputs.append(table_path(spark, job.output_table))
-    for output in filter(None, outputs):
-        if source:
-            check_apart(spark, [source], output)
+    places = [
+        table_path(spark, str(table)) if table else str(path),
+        job.output_path or output_location(spark, job.output_table),
+        job.split_path,
+        job.lineage_path,
+    ]
+    # A table that is there goes, wherever the new one is to be.
+    before = existing_location(spark, job.output_table)
+    if before and before != places[1]:
+        check_all_apart(spark, [places[0], before, *places[2:]])
+    check_all_apart(spark, places)
+
+
+def check_all_apart(spark: SparkSession, places: Sequence[str | None]) -> None:
+    for one, other in combinations([p for p in places if p], 2):
+        check_apart(spark, [one], other)
 
 
 def run_job(spark: SparkSession, job: Job | str | Mapping[str, object]) -> JobResult:
@@ -126,11 +169,20 @@ def run_job(spark: SparkSession, job: Job | str | Mapping[str, object]) -> JobRe
     check_paths(spark, job)
     branches = Branches(canonicalize_nan(read_source(spark, job.source)), job.rules)
     if job.split_path:
-        write_split(branches.source, job.rules, job.split_path, job.output_format)
+        write_split(
+            branches.source,
+            job.rules,
+            job.split_path,
+            job.split_format,
+            job.split_options,
+            replace=True,
+        )
     report = run_steps(
         branches.branch(job.branch),
         job.steps,
-        lambda df: write_table(df, job.output_table, job.output_format, path=job.output_path),
+        lambda df: write_table(
+            df, job.output_table, job.output_format, path=job.output_path, options=job.output_options
+        ),
         checkpoint=job.checkpoint,
         ready=check_result,
     )

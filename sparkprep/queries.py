@@ -422,6 +422,73 @@ def load_file_to_table(spark, folder):
     return spark.table(name)
 
 
+@query(
+    "overwrite_table_in_place",
+    "SELECT event_id, user_id, event_type, event_id % 10 AS part, 'EXTERNAL' AS kind, 'part' AS partitioned_by,"
+    " 'kept' AS note FROM events WHERE value IS NOT NULL AND event_id % 10 < 6 AND event_id % 4 <> 1",
+)
+def overwrite_table_in_place(spark, folder):
+    """An external, partitioned table overwritten from itself, then from its own folder."""
+    name, path = f"sparkprep_in_place_{uuid.uuid4().hex}", new_path(spark, "in-place")
+    events = table(spark, folder, "events").selectExpr("*", "event_id % 10 AS part")
+    sinks.write_table(events, name, path=path, partition_by=["part"])
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('note' = 'kept')")
+    sinks.overwrite_source_table(spark.table(name).where("value IS NOT NULL AND part < 6"), name)
+    files = readers.read_path(spark, path).where("event_id % 4 <> 1")
+    sinks.overwrite_source_table(files.select("event_id", "user_id", "event_type", "part"), name)
+    told = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0])
+    return spark.table(name).select(
+        "*",
+        F.lit(told["type"]).alias("kind"),
+        F.lit(",".join(told["partition_columns"])).alias("partitioned_by"),
+        F.lit(told["table_properties"]["note"]).alias("note"),
+    )
+
+
+AWKWARD_TEXT = (
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN ' x ' WHEN 2 THEN NULL"
+    " WHEN 3 THEN concat('\"', text, ',\"') WHEN 4 THEN '  ' ELSE text END AS text, lang FROM documents"
+)
+
+
+@query("csv_table_text", AWKWARD_TEXT)
+def csv_table_text(spark, folder):
+    """Empty texts, spaces, nulls, quotes and line breaks in a table of CSV files."""
+    table(spark, folder, "documents").createOrReplaceTempView("sparkprep_documents")
+    docs = spark.sql(AWKWARD_TEXT.replace("documents", "sparkprep_documents"))
+    name = f"sparkprep_csv_{uuid.uuid4().hex}"
+    options = {"multiLine": "true"}
+    sinks.write_table(docs, name, "csv", path=new_path(spark, "csv-table"), options=options)
+    spark.catalog.dropTempView("sparkprep_documents")
+    return spark.table(name)
+
+
+@query(
+    "job_split_csv",
+    "SELECT doc_id, concat(text, chr(10), source) AS text, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS lang,"
+    " doc_id % 5 = 0 AS is_error FROM documents",
+)
+def job_split_csv(spark, folder):
+    """A job whose clean and error rows go to CSV files, with line breaks in their text."""
+    docs = table(spark, folder, "documents").selectExpr(
+        "doc_id", "concat(text, '\\n', source) AS text", "IF(doc_id % 5 = 0, NULL, lang) AS lang"
+    )
+    split, options = new_path(spark, "job-split"), {"multiLine": True}
+    spec = {
+        "source": {"table": _saved_table(spark, docs, "split_source")},
+        "validation_config": {"suite": json.loads(validate.suite_to_json((NotNull("lang"),)))},
+        "split_path": split,
+        "split_format": "csv",
+        "split_options": options,
+        "output_table": f"sparkprep_job_{uuid.uuid4().hex}",
+        "output_path": new_path(spark, "job"),
+    }
+    # A second run replaces what the first one wrote.
+    for _ in range(2):
+        job.run_job(spark, json.dumps(spec))
+    return _both_sides(*sinks.read_split(spark, split, "csv", {"multiLine": "true"}))
+
+
 SPLIT_SQL = (
     WITH + "SELECT *, (value IS NULL OR event_type IS NULL) AS is_error FROM dirty_events"
 )

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from sparkprep.functions.columns import qcol
 from sparkprep.operators.profile import PREVIEW_ROWS, preview, schema_list
 from sparkprep.operators.validate import Rule, any_failure
-from sparkprep.session import new_path
+from sparkprep.sources.catalog import table_path
 from sparkprep.sources.readers import DEFAULT_FORMAT, read_file
+from sparkprep.sources.replace import replace_by, replace_table, table_info
 
 IS_ERROR = "_is_error"
 
@@ -27,13 +28,23 @@ def write_table(
     mode: str = "overwrite",
     path: str | None = None,
     partition_by: Sequence[str] = (),
+    options: Mapping[str, str] | None = None,
 ) -> None:
-    """Save as a catalog table; with ``path`` the files go there."""
+    """Save as a catalog table; with ``path`` the files go there.
+
+    To overwrite is to define the table anew. A frame that reads the files which
+    would go, those of the table as it is or of ``path``, is refused;
+    ``overwrite_source_table`` takes it. Text tables read back what was written,
+    see ``format_options``; the options are kept with the table.
+    """
     if not name:
         raise ValueError("a table name is needed")
-    if path and mode == "overwrite":
-        check_apart(df.sparkSession, source_paths(df), path)
-    writer = df.write.format(fmt).mode(mode)
+    spark = df.sparkSession
+    if mode == "overwrite":
+        for target in filter(None, (path, existing_location(spark, name))):
+            check_apart(spark, source_paths(df), target)
+    writer = lossless(df, fmt, options).write.format(fmt).mode(mode)
+    writer = writer.options(**format_options(fmt, options))
     if path:
         writer = writer.option("path", path)
     if partition_by:
@@ -41,6 +52,19 @@ def write_table(
     writer.saveAsTable(name)
 
 
+def existing_location(spark: SparkSession, name: str) -> str | None:
+    """Where a table's files are, if there is such a table."""
+    return table_path(spark, name) if spark.catalog.tableExists(name) else None
+
+
+def output_location(spark: SparkSession, name: str) -> str | None:
+    """Where a table's files are, or would be if it were made."""
+    if spark.catalog.tableExists(name):
+        return table_path(spark, name)
+    state = spark._jsparkSession.sessionState()
+    return state.catalog().defaultTablePath(state.sqlParser().parseTableIdentifier(name)).toString()
+
+
 def source_paths(df: DataFrame) -> list[str]:
     """The root paths of the files that a frame reads."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
@@ -73,17 +97,14 @@ def check_apart(spark: SparkSession, sources: Sequence[str], target: str) -> Non
             raise ValueError(f"{target} cannot be written while {source} is read")
 
 
-def overwrite_source_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT) -> None:
-    """Overwrite a table with a result computed from that table.
+def overwrite_source_table(df: DataFrame, name: str) -> None:
+    """Overwrite a table with a result that may be computed from it.
 
-    Spark refuses to do so directly. The result is first written to the shared
-    folder in full, and the table is replaced only when that has succeeded.
+    The table keeps its place, format, options, partitioning and properties; see
+    ``replace.replace_table``.
     """
-    spark = df.sparkSession
-    staging = new_path(spark, "staging")
-    df.write.format(fmt).save(staging)
-    write_table(spark.read.format(fmt).load(staging), name, fmt)
-    delete_path(spark, staging)
+    info = table_info(df.sparkSession, name)
+    replace_table(lossless(df, info.provider, info.options), name)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -98,12 +119,18 @@ def check_result(df: DataFrame) -> None:
         raise ValueError("there is no data to load")
 
 
-def load_result(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT, path: str | None = None) -> None:
+def load_result(
+    df: DataFrame,
+    name: str,
+    fmt: str = DEFAULT_FORMAT,
+    path: str | None = None,
+    options: Mapping[str, str] | None = None,
+) -> None:
     """Save the final result, which must have rows."""
     if not name:
         raise ValueError("an output table name is needed")
     check_result(df)
-    write_table(df, name, fmt, path=path)
+    write_table(df, name, fmt, path=path, options=options)
 
 
 def load_file_to_table(
@@ -113,9 +140,13 @@ def load_file_to_table(
     options: Mapping[str, object],
     fmt: str = DEFAULT_FORMAT,
     path: str | None = None,
+    table_options: Mapping[str, str] | None = None,
 ) -> None:
-    """Turn a CSV, JSON or Parquet file into a table, replacing it."""
-    write_table(read_file(spark, file, options), name, fmt, path=path)
+    """Turn a CSV, JSON or Parquet file into a table, replacing it.
+
+    ``options`` say how the file is read, ``table_options`` how the table is written.
+    """
+    write_table(read_file(spark, file, options), name, fmt, path=path, options=table_options)
 
 
 # Where ``write_split`` leaves the schema; readers skip names with a leading _.
@@ -131,12 +162,42 @@ CSV_OPTIONS = {
 }
 
 
-# Reading takes an empty cell for this, and this for null; an empty text is quoted.
-EMPTY_CELL = "\u0001null\u0001"
+# What stands for null in CSV; no text may be it. Empty texts are quoted.
+NULL_CELL = "\\N"
+
+
+def format_options(fmt: str, options: Mapping[str, str] | None = None) -> dict[str, str]:
+    """How a format is written and read so that rows come back as they were.
 
+    CSV has a header, keeps spaces and microseconds and tells empty texts from
+    nulls. Text with line breaks needs ``multiLine`` among the options.
+    """
+    # Quoted, a text of spaces is not taken for a blank line.
+    own = {**CSV_OPTIONS, "nullValue": NULL_CELL, "quoteAll": "true"} if fmt.lower() == "csv" else {}
+    return {**own, **(options or {})}
 
-def split_options(fmt: str, options: Mapping[str, str] | None) -> dict[str, str]:
-    return {**(CSV_OPTIONS if fmt.lower() == "csv" else {}), **(options or {})}
+
+def lossless(df: DataFrame, fmt: str, options: Mapping[str, str] | None = None) -> DataFrame:
+    """The frame; writing it fails at a text that the format could not give back."""
+    if fmt.lower() != "csv":
+        return df
+    given = {k.lower(): str(v) for k, v in format_options(fmt, options).items()}
+    broken = given.get("multiline", "").lower() != "true"
+    null = F.lit(given["nullvalue"])
+
+    def checked(field: T.StructField) -> Column:
+        column = qcol(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            return column
+        named = f"{field.name} has a"
+        is_null = F.raise_error(F.lit(f"{named} text that stands for null")).cast("string")
+        out = F.when(column == null, is_null)
+        if broken:
+            told = F.raise_error(F.lit(f"{named} line break; write it with multiLine"))
+            out = out.when(column.rlike("[\r\n]"), told.cast("string"))
+        return out.otherwise(column).alias(field.name)
+
+    return df.select([checked(f) for f in df.schema.fields])
 
 
 def write_split(
@@ -145,21 +206,28 @@ def write_split(
     path: str,
     fmt: str = DEFAULT_FORMAT,
     options: Mapping[str, str] | None = None,
+    replace: bool = False,
 ) -> None:
     """Write clean and error rows in one pass, as two partitions of one folder.
 
     CSV gets a header. The schema is kept beside the rows, so that a side
-    without rows, or all of it, can be read back.
+    without rows, or all of it, can be read back. A folder that is there already
+    is an error, or with ``replace`` gives way to the new one once that is written.
     """
     if IS_ERROR in {c.lower() for c in df.columns}:
         raise ValueError(f"a column is called {IS_ERROR}")
-    marked = df.withColumn(IS_ERROR, any_failure(df, rules))
-    if fmt.lower() == "csv" and str(split_options(fmt, options).get("multiLine")).lower() != "true":
-        marked = without_line_breaks(marked)
-    writer = marked.write.format(fmt).options(**split_options(fmt, options))
-    writer.partitionBy(IS_ERROR).save(path)
+    marked = lossless(df.withColumn(IS_ERROR, any_failure(df, rules)), fmt, options)
+    writer = marked.write.format(fmt).options(**format_options(fmt, options))
     schema = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
-    schema.coalesce(1).write.text(f"{path}/{SPLIT_SCHEMA}")
+
+    def write(folder: str) -> None:
+        writer.partitionBy(IS_ERROR).save(folder)
+        schema.coalesce(1).write.text(f"{folder}/{SPLIT_SCHEMA}")
+
+    if replace:
+        replace_by(df.sparkSession, path, write)
+    else:
+        write(path)
 
 
 def read_split(
@@ -169,9 +237,7 @@ def read_split(
     options: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The (clean, error) rows written by ``write_split``, or by a stream."""
-    reader = spark.read.format(fmt).options(**split_options(fmt, options))
-    if fmt.lower() == "csv":
-        reader = reader.option("nullValue", EMPTY_CELL)
+    reader = spark.read.format(fmt).options(**format_options(fmt, options))
     try:
         text = spark.read.text(f"{path}/{SPLIT_SCHEMA}").first()
     except AnalysisException:
