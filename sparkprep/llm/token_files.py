@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ SHARD_TOKENS = 4 * 1024**2
 # Ranges of documents, each with one or more shards; one row for each is sent to all tasks.
 MAX_PARTS = 32_768
 SLICE_BYTES = 1 << 20
-# Bytes of words and their ids that a task remembers.
-CACHE_BYTES = 64 * 1024**2
+# Bytes of words and their ids that a process remembers, and what each entry takes beside.
+CACHE_BYTES, WORD_BYTES = 160 * 1024**2, 150
+# Marks that may follow a letter, and the end of the letters that shortcuts are taken for.
+MARKS, LETTERS_END = ".,;:!?)", 0x250
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SHARD = (
@@ -48,12 +52,28 @@ _SHARD_ARROW = pa.schema(
 )
 
 
+class Words(dict[bytes, bytes]):
+    """Ids of words, encoded when they are first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.encode, self.held = encode, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        self.held += len(word) + len(ids) + WORD_BYTES
+        return ids
+
+
 class Encoder:
     """Ids of texts by a tokenizer that treats what white space separates apart.
 
     So it is for tokenizers that drop white space and neither join nor look
     across it; each distinct run between white space is encoded once and
-    remembered.
+    remembered. Three shortcuts are taken if the tokenizer is seen to allow them: one
+    form for both cases where capitals are made small letters; a mark behind a
+    letter taken as a word of its own; and words of plain letters passed straight
+    to the merges, where a run of letters is always one piece.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -64,26 +84,59 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.levels = max(1, (size - 1).bit_length())
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
+        self.known = Words(self._word)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.encode().lower() for token in added]
+        self.merges = self.tokenizer.model
+        self.small = self._pieces("AbC") == self._pieces("abc")
+        marks = [m for m in MARKS if len(self._pieces(f"a{m}")) == 2 and self._pieces(f"a{m}") == [*self._pieces("a"), *self._pieces(m)]]
+        self.gap = re.compile(f"(?<=[a-z])(?=[{re.escape(''.join(marks))}])".encode()) if marks else None
+        self.letters = self._letters()
+        self.plain = re.compile(f"[{''.join(map(chr, self.letters))}]+") if self.letters else None
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        split = self.tokenizer.pre_tokenizer
+        return [piece for piece, _ in split.pre_tokenize_str(text)] if split else [text]
+
+    def _letters(self) -> dict[int, str]:
+        """What the merges get for each Latin letter, if a run of letters is one piece to them."""
+        found = {i: self._pieces(chr(i)) for i in range(LETTERS_END) if chr(i).isalpha()}
+        single = {i: pieces[0] for i, pieces in found.items() if len(pieces) == 1}
+        run = "".join(map(chr, single))
+        return single if self._pieces(run) == ["".join(single.values())] else {}
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.plain and self.plain.fullmatch(text):
+            ids = [t.id for t in self.merges.tokenize(text.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array(self.dtype.char, ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, one after the other."""
-        return b"".join(self._slice(part) for part in _slices((text or "").encode()))
+        return b"".join(map(self._slice, _slices((text or "").encode())))
 
     def _slice(self, data: bytes) -> bytes:
-        words = data.split()
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            for word, encoding in zip(new, found, strict=True):
-                self.known[word] = np.array(encoding.ids, self.dtype).tobytes()
-                self.held += 2 * len(word) + 200
+        if self.known.held > CACHE_BYTES:
+            self.known = Words(self._word)
+        small = data.lower()
+        if any(token in small for token in self.added):
+            ids = self.tokenizer.encode(data.decode(), add_special_tokens=False).ids
+            return array(self.dtype.char, ids).tobytes()
+        words = small if self.small else data
+        words = (self.gap.sub(b" ", words) if self.gap else words).split()
         return b"".join(map(self.known.__getitem__, words))
 
 
+@cache
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """One encoder per process, so that tasks share what was encoded."""
+    return Encoder(tokenizer_file)
+
+
 def _slices(data: bytes) -> Iterator[bytes]:
     """Parts of a text of about SLICE_BYTES, cut at white space only."""
     start = 0
@@ -115,13 +168,13 @@ def write_tokens(
     hash of their ids. Other columns are not kept. A task holds the longest
     text's ids and a shard's planes: about 16 bytes per id.
     """
-    known = Encoder(tokenizer_file)
+    known = encoder_of(tokenizer_file)
     dtype, levels = known.dtype, max(known.levels, end_id.bit_length())
     if not 0 <= end_id <= np.iinfo(dtype).max:
         raise ValueError(f"{end_id} does not fit the ids of {tokenizer_file}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(tokenizer_file), np.array([end_id], dtype).tobytes()
+        encoder, last = encoder_of(tokenizer_file), np.array([end_id], dtype).tobytes()
         for batch in batches:
             ids = [encoder.encode(t.as_py()) + last for t in batch.column("text")]
             sizes = [len(i) // dtype.itemsize for i in ids]

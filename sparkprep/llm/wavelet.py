@@ -80,18 +80,19 @@ class WaveletMatrix:
     def of(cls, numbers: np.ndarray, levels: int) -> WaveletMatrix:
         planes, run = [], numbers
         for level in range(levels - 1, -1, -1):
-            bits = (run >> level) & 1 != 0
+            bits = (run & run.dtype.type(1 << level)) != 0
             planes.append(Plane.of(bits))
-            run = np.concatenate((run[~bits], run[bits]))
+            run = np.concatenate((np.compress(~bits, run), np.compress(bits, run)))
         return cls(len(numbers), planes)
 
     def all(self) -> np.ndarray:
         """All numbers. Undoes the deals from the last plane to the first."""
-        run = np.zeros(self.n, np.uint32)
+        dtype = np.uint16 if len(self.planes) <= 16 else np.uint32
+        run = np.zeros(self.n, dtype)
         for level, plane in enumerate(reversed(self.planes)):
             bits, before = plane.bits(self.n), np.empty_like(run)
-            before[~bits] = run[: plane.zeros]
-            before[bits] = run[plane.zeros :] | np.uint32(1 << level)
+            before[np.flatnonzero(~bits)] = run[: plane.zeros]
+            before[np.flatnonzero(bits)] = run[plane.zeros :] | dtype(1 << level)
             run = before
         return run
 
