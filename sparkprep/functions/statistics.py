@@ -8,8 +8,7 @@ aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from decimal import Decimal
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,15 +16,17 @@ from pyspark.sql import types as T
 
 from sparkprep.functions.columns import data_type, is_missing, is_present, null_if_nan, qcol
 
-# Size parameter of the sketch for approximate medians (a rank error well under
-# 0.1 %), and the number of groups whose sketches are merged first.
+# Size parameter of the sketches, and the number of groups whose sketches are
+# merged first.
 SKETCH_SIZE = 4096
 SKETCH_GROUPS = 256
 
-# Bits of a value that one round of the exact median looks at, and decimal
-# digits of a decimal that does not fit 64 bits.
-ROUND_BITS = 16
-ROUND_DIGITS = 4
+# A sketch's rank error, which one in a hundred exceeds, is the first number
+# over a power of its size. Brackets are three times as wide, on both sides.
+MARGIN = 3 * 2.296 / SKETCH_SIZE**0.9021
+# Ranks at which the second sketch is asked for values.
+GRID = 512
+MISSED = "a median is outside its bracket; run the query again"
 
 
 def values_of(df: DataFrame, name: str) -> DataFrame:
@@ -53,236 +54,189 @@ def any_missing(df: DataFrame, name: str) -> Column:
 
 
 def approximate_median_of(df: DataFrame, name: str) -> Column:
-    """Median by a sketch, in one pass.
-
-    Sketches of tasks are merged in groups and then once more, so the last
-    merge sees a fixed number of them, however many tasks there are.
-    """
-    grouped = values_of(df, name).select(
-        F.col("v").cast("double").alias("v"), (F.spark_partition_id() % SKETCH_GROUPS).alias("g")
-    )
-    sketches = grouped.groupBy("g").agg(F.kll_sketch_agg_double("v", SKETCH_SIZE).alias("s"))
-    merged = sketches.agg(
-        F.count(F.lit(1)).alias("n"), F.kll_merge_agg_double("s", SKETCH_SIZE).alias("s")
-    )
-    return merged.select(
-        F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", F.lit(0.5)))
-    ).scalar()
+    """Median by a sketch, in one pass."""
+    sketch = _sketched_sql("SELECT * FROM {rows}", {"n0": "count(v)"}, {"s0": "double(v)"})
+    found = "IF(n0 > 0, kll_sketch_get_quantile_double(s0, double('0.5')), NULL) AS median"
+    text = f"SELECT {found} FROM ({sketch})"
+    return df.sparkSession.sql(text, rows=values_of(df, name)).scalar()
 
 
 def median_of(df: DataFrame, name: str) -> Column:
     """Exact median (mean of the two middle values on an even count)."""
-    return selected_median(values_of(df, name), data_type(df, name))
-
+    return medians_of(df, [name])[median_field(0)]
 
-def selected_median(values: DataFrame, dtype: T.DataType) -> Column:
-    """Exact median of column ``v`` by narrowing, for any number of values.
 
-    Values are counted by their leading 16 bits (in an order-preserving integer
-    form), which finds the two leading parts that hold the two middle ranks;
-    values with those are counted by their leading 32 bits, and so on until all
-    bits are told. How many rounds that takes depends on the type alone: two for
-    32-bit integers, four for 64 bits, one per four digits for larger decimals.
-    So every input goes the same way, whatever its size and spread, and nothing
-    is left over to be sorted.
-
-    Counts are combined before each shuffle: a round shuffles up to 65,536 counts
-    per middle rank and task. A round refers to the one before it in a single
-    place, so the plan grows by one subquery per round.
-    """
-    keyed = _with_ordered(values, "v", dtype)
-    levels = _levels(dtype)
-    kept = "string" if _is_wide(dtype) else "bigint"
-    state = None
-    for i, level in enumerate(levels):
-        last = i == len(levels) - 1
-        state = _narrowed(keyed, levels[i - 1] if i else None, level, state, kept, last)
-    middle = values.sparkSession.range(1).select(state.alias("s"))
-    return middle.select(F.explode(F.array_distinct("s")).alias("v")).agg(F.avg("v")).scalar()
+def median_field(at: int) -> str:
+    return f"m{at}"
 
 
-Level = Callable[[Column], Column]
+def medians_of(df: DataFrame, names: list[str]) -> Column:
+    """The exact medians of numeric columns as one scalar struct, with a field for each.
 
+    However many columns there are, they share the three passes of
+    ``median_rows``. The mean of two middle values has the type that ``avg`` gives.
+    """
+    found, fields = median_rows(df, names)
+    cells = (f"max(IF(at = {at}, {f}, NULL)) AS {median_field(at)}" for at, f in enumerate(fields))
+    return found.agg(*map(F.expr, cells)).select(F.struct("*")).scalar()
 
-def _levels(dtype: T.DataType) -> list[Level]:
-    """Functions of a value's ordered form that never fall as it grows, coarse to exact."""
-    if _is_wide(dtype):
-        whole = dtype.precision - dtype.scale
-        scales = range(ROUND_DIGITS - whole, dtype.scale, ROUND_DIGITS)
-        return [*(_floored(scale) for scale in scales), lambda k: k]
-    bits = 32 if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)) else 64
-    return [_shifted(shift) for shift in range(bits - ROUND_BITS, -1, -ROUND_BITS)]
 
+def median_rows(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """A row per numeric column that has values: its place ``at`` and, in a field, its median.
 
-def _is_wide(dtype: T.DataType) -> bool:
-    """Whether the values need more than 64 bits."""
-    return isinstance(dtype, T.DecimalType) and dtype.precision > 18
+    Also the names of these fields, one for each column; columns of a type share one.
 
+    Two passes narrow down where the middle ranks are. The first one sketches the
+    values of each column and takes a bracket around the sketch's median that
+    is three times as wide as its error. The second one counts the values below
+    the bracket, which is exact, and sketches those inside, for a bracket inside
+    the bracket. What is in there, about a ten-thousandth of the values unless
+    they repeat, is counted by value in a third pass and put in order, with exact counts
+    of what is below. So the result is exact whatever the sketches say. Were a
+    rank outside its bracket, of which the chance is far under 1e-12, the query would
+    fail rather than give another value.
 
-def _floored(scale: int) -> Level:
-    return lambda k: F.floor(k, F.lit(scale))
+    Brackets are of doubles, whose order is that of every numeric type; the values in the
+    last bracket keep their own type. The passes are the same for every type and size.
+    """
+    present = [F.when(is_present(df, n), qcol(n)).alias(f"v{i}") for i, n in enumerate(names)]
+    rows = df.select(present)
+    types = [data_type(df, name).simpleString() for name in names]
+    text, fields = _medians_sql(types)
+    # As one statement: a frame per step would take longer to build than to compute.
+    return df.sparkSession.sql(text, rows=rows), fields
+
+
+def _sketched_sql(
+    rows: str,
+    counts: Mapping[str, str],
+    sketched: Mapping[str, str],
+    constants: Sequence[str] = (),
+) -> str:
+    """One row: counts, sketches of what the expressions give, and columns that never vary.
 
+    Sketches of tasks are merged in groups and then once more, so the last
+    merge sees a fixed number of them, however many tasks there are. (A sketch of
+    nothing cannot be merged.)
+    """
+    size = SKETCH_SIZE
+    in_groups = [
+        *(f"{c} AS {n}" for n, c in counts.items()),
+        *(
+            f"IF(count({v}) > 0, kll_sketch_agg_double({v}, {size}), NULL) AS {n}"
+            for n, v in sketched.items()
+        ),
+        *(f"max({n}) AS {n}" for n in constants),
+    ]
+    merged = [
+        *(f"coalesce(sum({n}), 0) AS {n}" for n in counts),
+        *(f"kll_merge_agg_double({n}, {size}) AS {n}" for n in sketched),
+        *(f"max({n}) AS {n}" for n in constants),
+    ]
+    return (
+        f"SELECT {', '.join(merged)} FROM (SELECT {', '.join(in_groups)} FROM ({rows})"
+        f" GROUP BY spark_partition_id() % {SKETCH_GROUPS})"
+    )
 
-def _shifted(shift: int) -> Level:
-    return lambda k: F.shiftright(k, shift)
 
+def _medians_sql(types: Sequence[str]) -> tuple[str, list[str]]:
+    """The statement for columns v0, v1, ... of ``{rows}`` of these types, and the fields."""
+    n = len(types)
+    doubles = ", ".join(f"double(v{i}) AS d{i}" for i in range(n))
+    rows = f"SELECT *, {doubles} FROM {{rows}}" + (" WHERE v0 IS NOT NULL" if n == 1 else "")
+    first = _first_brackets_sql(rows, n)
+    second = _second_brackets_sql(f"SELECT *, ({first}) AS b FROM ({rows})", n)
+    return _middles_sql(f"SELECT *, ({second}) AS b FROM ({rows})", types)
 
-def _with_ordered_bits(rows: DataFrame, value: str, bits: str) -> DataFrame:
-    """Add the bits of a double as an integer that grows with it: exponent, then fraction.
 
-    Step by step, so that no expression is repeated inside another one.
-    """
-    size, power, scaled, rest = (f"{bits}_{n}" for n in ("size", "power", "scaled", "rest"))
-    unit = 1 << 52
-    # The logarithm may be off by one at powers of two.
-    near = F.greatest(F.floor(F.least(F.log2(size), F.lit(1023.0))).cast("int"), F.lit(-1022))
-    # Half or twice as much as it should be at most; never below the least exponent.
-    step = F.when(F.col(scaled) >= 2, 1).when((F.col(scaled) < 1) & (F.col(power) > -1022), -1)
-    step = F.coalesce(step, F.lit(0))
-    fraction = ((F.col(scaled) * F.pow(F.lit(2.0), -step.cast("double")) - 1) * float(unit)).cast("bigint")
-    whole = (F.col(power).cast("bigint") + step + 1023) * F.lit(unit) + fraction
-    positive = (
-        F.when(F.col(size) == 0, F.lit(0).cast("bigint"))
-        .when(F.col(size) == float("inf"), F.lit(2047 * unit))
-        .otherwise(whole)
+def _first_brackets_sql(rows: str, n: int) -> str:
+    """Lower and upper bound for each column, as an array."""
+    merged = _sketched_sql(
+        rows,
+        {f"n{i}": f"count(d{i})" for i in range(n)},
+        {f"s{i}": f"d{i}" for i in range(n)},
     )
-    return (
-        rows.withColumn(size, F.abs(F.col(value).cast("double")))
-        .withColumn(power, near)
-        .withColumn(scaled, F.col(size) * F.pow(F.lit(2.0), -F.col(power).cast("double")))
-        .withColumn(rest, positive)
-        .withColumn(bits, F.when(F.col(value) < 0, -F.col(rest)).otherwise(F.col(rest)))
-        .drop(size, power, scaled, rest)
+    bounds = ", ".join(
+        f"IF(n{i} > 0, kll_sketch_get_quantile_double(s{i}, double('{rank}')), NULL)"
+        for i in range(n)
+        for rank in (0.5 - MARGIN, 0.5 + MARGIN)
     )
+    return f"SELECT array({bounds}) FROM ({merged})"
 
 
-def _with_ordered(rows: DataFrame, value: str, dtype: T.DataType, name: str = "k") -> DataFrame:
-    """Add a 64-bit integer that grows with the value; a wide decimal as it is."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return _with_ordered_bits(rows, value, name)
-    ordered = F.col(value)
-    if isinstance(dtype, T.DecimalType) and not _is_wide(dtype):
-        ordered = (ordered * F.lit(Decimal(10) ** dtype.scale)).cast("bigint")
-    elif not _is_wide(dtype):
-        ordered = ordered.cast("bigint")
-    return rows.withColumn(name, ordered)
-
-
-def _narrowed(
-    keyed: DataFrame,
-    parent: Level | None,
-    level: Level,
-    state: Column | None,
-    kept: str,
-    last: bool,
-) -> Column:
-    """Where the two middle ranks are, as a scalar array.
-
-    For each of them the part of the values that holds it and how many values are
-    below that part; then the number of values; all of type ``kept``. In the last
-    round the parts are single values, and the array is the two of them.
-
-    (An array and not a struct: the optimizer would copy the subquery for every
-    field of a struct, in every round.)
-    """
-    k, s = F.col("k"), F.col("s")
-    counts = [F.count(F.lit(1)).alias("c"), F.min("v").alias("value")]
-    if state is None:
-        rows = keyed.select("v", F.lit(0).alias("parent"), level(k).alias("at"))
-        found = rows.groupBy("parent", "at").agg(*counts).coalesce(1)
-        found = found.select(
-            "*", F.lit(0).alias("under"), F.sum("c").over(Window.partitionBy()).alias("n")
-        )
-    else:
-        above = parent(k).cast(kept)
-        inside = (above == s[0]) | (above == s[2])
-        # Numbers, so that the counts stay in a hash table; an array would not.
-        rows = keyed.select("v", "k", state.alias("s")).select(
-            "v",
-            F.when(inside, above).alias("parent"),
-            F.when(inside, level(k)).alias("at"),
-            F.when(above == s[0], s[1]).otherwise(s[3]).cast("bigint").alias("under"),
-            s[4].cast("bigint").alias("n"),
-        )
-        found = rows.groupBy("parent", "at").agg(
-            *counts, F.max("under").alias("under"), F.max("n").alias("n")
-        )
-    # Two times 65,536 counts at most from here on, so one task is enough.
-    upto = F.col("under") + F.sum("c").over(Window.partitionBy("parent").orderBy("at"))
-    parts = found.coalesce(1).select(F.col("at").cast(kept).alias("part"), "value", "c", "n", upto.alias("upto"))
-    parts = parts.withColumn("below", F.col("upto") - F.col("c"))
-
-    def holder(rank: str, name: str) -> Column:
-        # Values outside both parts are counted under a null key.
-        holds = F.expr(f"part IS NOT NULL AND below <= {rank} AND {rank} < upto")
-        return F.max(F.when(holds, F.col(name)))
-
-    ranks = "(n - 1) div 2", "n div 2"
-    if last:
-        return parts.agg(F.array(*(holder(r, "value") for r in ranks))).scalar()
-    cells = [holder(r, name).cast(kept) for r in ranks for name in ("part", "below")]
-    return parts.agg(F.array(*cells, F.max("n").cast(kept))).scalar()
-
-
-def medians_of(df: DataFrame, names: list[str]) -> DataFrame:
-    """(at, median) for the numeric columns at these places of ``names``, exact, as doubles.
-
-    The rounds of ``selected_median``, all columns in one pass per round: values
-    become pairs of column number and 64-bit integer, and the state between
-    rounds has a row per column. Decimals that need more than 64 bits are ranked
-    as doubles.
-    """
-    present = [F.when(is_present(df, n), qcol(n)).alias(f"v{at}") for at, n in enumerate(names)]
-    rows, cells = df.select(present), []
-    for at, name in enumerate(names):
-        dtype = data_type(df, name)
-        if _is_wide(dtype):
-            rows, dtype = rows.withColumn(f"v{at}", F.col(f"v{at}").cast("double")), T.DoubleType()
-        rows = _with_ordered(rows, f"v{at}", dtype, f"k{at}")
-        value = F.col(f"v{at}").cast("double").alias("value")
-        cells.append(F.struct(F.lit(at).alias("at"), F.col(f"k{at}").alias("key"), value))
-    pairs = rows.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("key IS NOT NULL")
-    state = None
-    for shift in range(64 - ROUND_BITS, -1, -ROUND_BITS):
-        state = _narrowed_together(pairs, state, shift)
-    return state.select("at", ((F.col("low_value") + F.col("high_value")) / 2).alias("median"))
-
-
-_BELOW = ("low_part", "low_below", "high_part", "high_below", "n")
-
-
-def _narrowed_together(pairs: DataFrame, state: DataFrame | None, shift: int) -> DataFrame:
-    part = F.shiftright("key", shift).alias("part")
-    if state is None:
-        rows, told = pairs.select("at", F.lit(0).alias("parent"), part, "value"), ()
-    else:
-        parent = F.shiftright("key", shift + ROUND_BITS)
-        # A row per column of the frame, whatever its rows.
-        kept = pairs.join(F.broadcast(state.select("at", *_BELOW)), "at").where(
-            (parent == F.col("low_part")) | (parent == F.col("high_part"))
-        )
-        told = _BELOW
-        rows = kept.select("at", parent.alias("parent"), part, "value", *told)
-    found = rows.groupBy("at", "parent", "part", *told).agg(
-        F.count(F.lit(1)).alias("c"), F.min("value").alias("value")
+def _second_brackets_sql(rows: str, n: int) -> str:
+    """For each column, in an array: the lower bound of the first bracket, both bounds of the
+    second one, how many values are below the first, and how many there are."""
+    bounds = ", ".join(
+        f"d{i}, b[{2 * i}] AS low{i}, b[{2 * i + 1}] AS high{i}" for i in range(n)
     )
-    # Two times 65,536 counts per column at most, which stay together from here on.
-    found = found.repartition("at")
-    upto = F.sum("c").over(Window.partitionBy("at", "parent").orderBy("part"))
-    if state is None:
-        found = found.withColumn("n", F.sum("c").over(Window.partitionBy("at")))
-    else:
-        is_low = F.col("parent") == F.col("low_part")
-        upto = F.when(is_low, F.col("low_below")).otherwise(F.col("high_below")) + upto
-    parts = found.select("at", "part", "value", "c", "n", upto.alias("upto")).withColumn(
-        "below", F.col("upto") - F.col("c")
+    counts, sketched = {}, {}
+    for i in range(n):
+        inside = f"IF(d{i} >= low{i} AND d{i} <= high{i}, d{i}, NULL)"
+        counts[f"n{i}"] = f"count(d{i})"
+        counts[f"u{i}"] = f"count_if(d{i} < low{i})"
+        counts[f"c{i}"] = f"count({inside})"
+        sketched[f"s{i}"] = inside
+    lows = [f"low{i}" for i in range(n)]
+    merged = _sketched_sql(f"SELECT {bounds} FROM ({rows})", counts, sketched, lows)
+    # As one literal: an array of so many would be looked at in every rule of the optimizer.
+    grid = f"CAST(split('{' '.join(str(g / GRID) for g in range(GRID + 1))}', ' ') AS array<double>)"
+    quantiles = ", ".join(
+        f"CASE WHEN n{i} = 0 THEN NULL"
+        f" WHEN (n{i} - 1) div 2 < u{i} OR n{i} div 2 >= u{i} + c{i}"
+        f" THEN CAST(raise_error('{MISSED}') AS array<double>)"
+        f" ELSE kll_sketch_get_quantile_double(s{i}, {grid}) END AS q{i}"
+        for i in range(n)
     )
-    cells = [
-        F.max(F.when(F.expr(f"below <= {rank} AND {rank} < upto"), F.col(name))).alias(f"{end}_{name}")
-        for end, rank in (("low", "(n - 1) div 2"), ("high", "n div 2"))
-        for name in ("part", "below", "value")
-    ]
-    return parts.groupBy("at").agg(*cells, F.max("n").alias("n"))
+    # Places in the grid that are surely not above, and not below, the two middle ranks.
+    cells = ", ".join(
+        f"low{i},"
+        f" q{i}[int(greatest(floor((((n{i} - 1) div 2 - u{i}) / c{i} - {MARGIN}D) * {GRID}), 0))],"
+        f" q{i}[int(least(ceil(((n{i} div 2 - u{i} + 1) / c{i} + {MARGIN}D) * {GRID}), {GRID}))],"
+        f" double(u{i}), double(n{i})"
+        for i in range(n)
+    )
+    return f"SELECT array({cells}) FROM (SELECT *, {quantiles} FROM ({merged}))"
+
+
+def _middles_sql(rows: str, types: Sequence[str]) -> tuple[str, list[str]]:
+    distinct = list(dict.fromkeys(types))
+    fields = [f"t{distinct.index(t)}" for t in types]
+    used = [f"t{k}" for k in range(len(distinct))]
+    cells, wanted = [], []
+    for i, own in enumerate(types):
+        first, low, high, under, total = (f"b[{5 * i + k}]" for k in range(5))
+        values = ", ".join(
+            f"'t{k}', " + (f"IF(d{i} < {low}, NULL, v{i})" if t == own else f"CAST(NULL AS {t})")
+            for k, t in enumerate(distinct)
+        )
+        wanted.append(f"(d{i} >= {first} AND d{i} <= {high})")
+        entry = f"'at', {i}, 'below', d{i} < {low}, 'under', {under}, 'n', {total}, {values}"
+        cells.append(f"IF({wanted[-1]}, named_struct({entry}), NULL)")
+    keys = ", ".join(["at", "below", "under", "n", *used])
+    # Few rows have a value in a bracket. One column's are put in order by one task
+    # anyway, which may as well count them.
+    entries = f"SELECT explode(array({', '.join(cells)})) AS p FROM ({rows}) WHERE {' OR '.join(wanted)}"
+    counted = f"SELECT {keys}, count(1) AS c FROM (SELECT p.* FROM ({entries}) WHERE p IS NOT NULL) GROUP BY {keys}"
+    hint = "/*+ COALESCE(1) */ " if len(types) == 1 else ""
+    order = f"PARTITION BY at ORDER BY below DESC, {', '.join(used)} ROWS UNBOUNDED PRECEDING"
+    placed = f"SELECT *, under + sum(c) OVER ({order}) AS upto FROM (SELECT {hint}* FROM ({counted}))"
+    ranks = "floor((n - 1) / 2)", "floor(n / 2)"
+    holds = " OR ".join(f"(upto - c <= {r} AND {r} < upto)" for r in ranks)
+    means = ", ".join(f"avg(IF(holds, {f}, NULL)) AS {f}" for f in used)
+    middle = (
+        f"SELECT at, {means}, bool_or(holds) AS held FROM"
+        f" (SELECT *, NOT below AND ({holds}) AS holds FROM ({placed})) GROUP BY at"
+    )
+    told = f"IF(held, at, int(raise_error('{MISSED}'))) AS at"
+    return f"SELECT {told}, {', '.join(used)} FROM ({middle})", fields
+
+
+def medians_table(df: DataFrame, names: list[str]) -> DataFrame:
+    """(at, median) for the numeric columns at these places of ``names``, exact, as doubles."""
+    found, fields = median_rows(df, names)
+    values = [F.col(f).cast("double") for f in dict.fromkeys(fields)]
+    return found.select("at", F.coalesce(*values).alias("median"))
 
 
 def modes_of(df: DataFrame, names: list[str]) -> DataFrame:

@@ -53,26 +53,34 @@ def _fill_number(df: DataFrame, column: str, statistic: Column) -> DataFrame:
     return replace_column(df, column, value)
 
 
-def _takes_number(df: DataFrame, column: str) -> bool:
+def takes_number(df: DataFrame, column: str) -> bool:
     return has_column(df, column) and is_numeric(data_type(df, column))
 
 
 def fill_mean(df: DataFrame, column: str, stats: DataFrame | None = None) -> DataFrame:
     """Fill with the mean. Integer columns become double."""
-    if not _takes_number(df, column):
+    if not takes_number(df, column):
         return df
     return _fill_number(df, column, mean_of(df if stats is None else stats, column))
 
 
 def fill_median(
-    df: DataFrame, column: str, approx: bool = False, stats: DataFrame | None = None
+    df: DataFrame,
+    column: str,
+    approx: bool = False,
+    stats: DataFrame | None = None,
+    median: Column | None = None,
 ) -> DataFrame:
-    """Fill with the exact median, or with a sketch's estimate if ``approx``."""
-    if not _takes_number(df, column):
+    """Fill with the exact median, or with a sketch's estimate if ``approx``.
+
+    ``median`` gives it where it is known already, as with ``medians_of``.
+    """
+    if not takes_number(df, column):
         return df
     source = df if stats is None else stats
-    statistic = approximate_median_of(source, column) if approx else median_of(source, column)
-    return _fill_number(df, column, statistic)
+    if median is None:
+        median = approximate_median_of(source, column) if approx else median_of(source, column)
+    return _fill_number(df, column, median)
 
 
 def has_mode(df: DataFrame, column: str) -> bool:

@@ -22,13 +22,18 @@ def drop_missing(
     disjunction) of IS NOT NULL, which reaches the Parquet scan, unlike
     ``DataFrame.dropna``.
     """
+    return df.where(rows_present(df, columns, how))
+
+
+def rows_present(
+    df: DataFrame, columns: Sequence[str] | None = None, how: str = "any"
+) -> Column:
+    """The rows that ``drop_missing`` keeps."""
     if how not in ("any", "all"):
         raise ValueError(f"how must be 'any' or 'all', not {how!r}")
     chosen = [n for n in df.columns if columns is None or n in columns]
-    if not chosen:
-        return df
     join = and_ if how == "any" else or_
-    return df.where(reduce(join, [is_present(df, n) for n in chosen]))
+    return reduce(join, [is_present(df, n) for n in chosen]) if chosen else F.lit(True)
 
 
 def filter_equals(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -37,10 +42,14 @@ def filter_equals(df: DataFrame, column: str, value: str) -> DataFrame:
     The literal is cast, not the column, so the comparison is pushed down. A
     text that is no value of that type matches no row.
     """
+    return df.where(equals(df, column, value))
+
+
+def equals(df: DataFrame, column: str, value: str) -> Column:
+    """The rows that ``filter_equals`` keeps: all, if the column is absent."""
     if not has_column(df, column):
-        return df
-    literal = F.lit(value).try_cast(data_type(df, column))
-    return df.where(qcol(column) == literal)
+        return F.lit(True)
+    return qcol(column) == F.lit(value).try_cast(data_type(df, column))
 
 
 def parse_filter(text: str) -> tuple[str, str]:

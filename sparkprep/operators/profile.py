@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.columns import data_type, family, is_numeric, null_if_nan, qcol
-from sparkprep.functions.statistics import medians_of, modes_of
+from sparkprep.functions.statistics import medians_table, modes_of
 from sparkprep.operators.fill import default_fill_value, strategies_for
 from sparkprep.operators.filters import missing_count
 
@@ -84,7 +84,7 @@ def profile_columns(
         },
     )
     for names, label, dtype, find in (
-        (numeric, "median", "double", medians_of),
+        (numeric, "median", "double", medians_table),
         (plain, "mode", "string", modes_of),
     ):
         if not names:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep.functions.columns import qcol
 from sparkprep.operators.validate import Rule, clean_rows, error_rows
 from sparkprep.plans.steps import (
     DROP_COLUMN,
@@ -18,6 +20,8 @@ from sparkprep.plans.steps import (
     FillNulls,
     RemoveNulls,
     Step,
+    apply_fills,
+    medians_for,
     read_list,
     settle_column_drops,
     step_from_dict,
@@ -28,6 +32,8 @@ from sparkprep.sources.readers import DEFAULT_FORMAT
 from sparkprep.sources.sinks import delete_path, write_table
 
 APPLIED, SKIPPED = "applied", "skipped"
+# Names of what is taken for the report: a fill's value, and all medians of a run of fills.
+STATISTIC, MEDIANS = "statistic", "medians"
 
 REPORT_SCHEMA = (
     "seq bigint, step string, status string, reason string, initial_rows bigint, "
@@ -64,11 +70,21 @@ def stages(
     """
     laid, stats, filled = [], df, set()
     settled: list[Step] = []
+    done = 0
     for i, step in enumerate(steps):
-        if isinstance(step, FillNulls) and (stats is None or step.column in filled):
-            if checkpoint:
-                return laid, df, steps[i:]
-            stats, filled = df, set()
+        if i < done:
+            continue
+        if isinstance(step, FillNulls):
+            if stats is None or step.column in filled:
+                if checkpoint:
+                    return laid, df, steps[i:]
+                stats, filled = df, set()
+            run = _run_of_fills(steps[i:], filled)
+            laid += [Stage(s, df, stats) for s in run]
+            df = apply_fills(df, run, stats)
+            filled |= {s.column for s in run}
+            done = i + len(run)
+            continue
         if isinstance(step, RemoveNulls) and step.strategy == DROP_COLUMN:
             settled = settled or settle_column_drops(df, steps[i:])
             step = settled.pop(0)
@@ -77,9 +93,7 @@ def stages(
         source = df if stats is None else stats
         laid.append(Stage(step, df, source))
         after = step.apply(df, source)
-        if isinstance(step, FillNulls):
-            filled.add(step.column)
-        elif not step.keeps_values:
+        if not step.keeps_values:
             stats, filled = None, set()
         elif stats is not None:
             filled = _carried(df.columns, after.columns, filled, step)
@@ -88,6 +102,36 @@ def stages(
     return laid, df, ()
 
 
+def _run_of_fills(steps: Sequence[Step], filled: set[str]) -> list[FillNulls]:
+    """The fills that the steps begin with, up to one of a column that is filled by then."""
+    run: list[FillNulls] = []
+    for step in steps:
+        if not isinstance(step, FillNulls) or step.column in filled | {s.column for s in run}:
+            break
+        run.append(step)
+    return run
+
+
+def _by_run(laid: Sequence[Stage]) -> Iterator[list[Stage]]:
+    """Fills that were laid together, and all other stages by themselves."""
+    run: list[Stage] = []
+    for stage in laid:
+        together = run and all(isinstance(s.step, FillNulls) for s in (run[-1], stage))
+        if run and not (together and run[-1].frame is stage.frame):
+            yield run
+            run = []
+        run.append(stage)
+    if run:
+        yield run
+
+
+def _apply(df: DataFrame, run: Sequence[Stage]) -> DataFrame:
+    """A run of ``_by_run`` applied to a frame with the columns of the one it was laid on."""
+    if isinstance(run[0].step, FillNulls):
+        return apply_fills(df, [s.step for s in run], run[0].stats)
+    return run[0].step.apply(df, run[0].stats)
+
+
 def _carried(before: list[str], after: list[str], names: set[str], step: Step) -> set[str]:
     """The names under which columns go on after a rename or drop."""
     if len(before) == len(after):
@@ -111,9 +155,7 @@ def apply_steps(
     rows as in a batch.
     """
     if stats is not None:
-        for stage in stages(stats, steps)[0]:
-            df = stage.step.apply(df, stage.stats)
-        return df
+        return reduce(_apply, _by_run(stages(stats, steps)[0]), df)
     while True:
         _, df, steps = stages(df, steps, checkpoint)
         if not steps:
@@ -175,7 +217,9 @@ def run_steps(
     The report's counts are taken while the sink's job runs, wherever that is
     exact: an observation ahead of a shuffle may count a task twice if an
     executor is lost and the task is repeated. Counts ahead of a shuffle are
-    therefore taken by one separate aggregate job.
+    therefore taken by aggregates, in one job ahead of the sink's: one for all
+    steps between two shuffles, over rows that carry how many of the filters
+    they have passed.
     """
     records: list[StepRecord] = []
     written: list[str] = []
@@ -198,34 +242,58 @@ def _run_stages(
     laid: Sequence[Stage], last: DataFrame, sink: Callable[[DataFrame], None], done: int
 ) -> list[StepRecord]:
     spark = last.sparkSession
-    settled = [stage.step for stage in laid]
     frames = [stage.frame for stage in laid] + [last]
     taken_at = _where_counted(laid)
     wanted = _wanted(laid, frames, taken_at)
-    ahead_of_shuffle = [any(s.shuffles for s in settled[i:]) for i in range(len(frames))]
-
-    counted = [i for i, w in enumerate(wanted) if w and ahead_of_shuffle[i]]
-    found = _count_now(spark, {i: (frames[i], wanted[i]) for i in counted})
+    ahead = [any(s.step.shuffles for s in laid[i:]) for i in range(len(frames))]
+    found = _count_now(spark, laid, frames, {i: w for i, w in enumerate(wanted) if w and ahead[i]})
 
     observations: dict[int, Observation] = {}
-    observed = frames[0]
-    for i in range(len(frames)):
-        if wanted[i] and i not in found:
-            observations[i] = Observation(f"after step {i}")
-            cells = [c.alias(n) for n, c in wanted[i].items()]
-            observed = observed.observe(observations[i], *cells)
-        if i < len(settled):
-            observed = settled[i].apply(observed, laid[i].stats)
-    sink(observed)
-    lost = []
+
+    def observed(df: DataFrame, i: int) -> DataFrame:
+        if not wanted[i] or ahead[i]:
+            return df
+        observations[i] = Observation(f"after step {i}")
+        return df.observe(observations[i], *(c.alias(n) for n, c in wanted[i].aggregates().items()))
+
+    df, i = frames[0], 0
+    for run in _by_run(laid):
+        df = _apply(observed(df, i), run)
+        i += len(run)
+    sink(observed(df, i))
+    lost = {}
     for i, observation in observations.items():
         try:
             found[i] = observation.get
         except Py4JJavaError:
             # The optimizer saw that nothing gets this far and left it out.
-            lost.append(i)
-    found.update(_count_now(spark, {i: (frames[i], wanted[i]) for i in lost}))
-    return list(_records(laid, frames, taken_at, found, done))
+            lost[i] = wanted[i]
+    found.update(_count_now(spark, laid, frames, lost))
+    return list(_records(laid, frames, taken_at, wanted, found, done))
+
+
+@dataclass
+class Wanted:
+    """What to take of a frame: whether its rows, conditions to count, other
+    aggregates, scalars that go with them, and which field of the medians is whose."""
+
+    rows: bool = False
+    counts: dict[str, Column] = field(default_factory=dict)
+    others: dict[str, Column] = field(default_factory=dict)
+    scalars: dict[str, Column] = field(default_factory=dict)
+    medians: dict[int, str] = field(default_factory=dict)
+
+    def __bool__(self) -> bool:
+        return self.rows or bool(self.counts or self.others or self.scalars)
+
+    def aggregates(self) -> dict[str, Column]:
+        """All of it as aggregates over the frame."""
+        return {
+            **({"rows": F.count(F.lit(1))} if self.rows else {}),
+            **{n: F.count_if(c) for n, c in self.counts.items()},
+            **self.others,
+            **{n: F.first(c) for n, c in self.scalars.items()},
+        }
 
 
 def _where_counted(laid: Sequence[Stage]) -> list[int]:
@@ -235,46 +303,156 @@ def _where_counted(laid: Sequence[Stage]) -> list[int]:
     filling one column does not change what is missing in another.
     """
     at: list[int] = []
-    for i, stage in enumerate(laid):
-        joined = i > 0 and all(isinstance(s.step, FillNulls) for s in (laid[i - 1], stage))
-        at.append(at[-1] if joined and laid[i - 1].stats is stage.stats else i)
+    for run in _by_run(laid):
+        at += [len(at)] * len(run)
     return at
 
 
 def _wanted(
     laid: Sequence[Stage], frames: Sequence[DataFrame], taken_at: Sequence[int]
-) -> list[dict[str, Column]]:
-    """What to count ahead of each step, and after the last."""
-    wanted: list[dict[str, Column]] = [{} for _ in frames]
-    for i in range(len(frames)):
-        if i == 0 or laid[i - 1].step.changes_rows:
-            wanted[i]["rows"] = F.count(F.lit(1))
-    for i, stage in enumerate(laid):
-        if not stage.step.skip_reason(stage.frame):
-            frame = frames[taken_at[i]]
-            for name, metric in stage.step.metrics(frame, stage.stats).items():
-                wanted[taken_at[i]][f"{name}_{i}"] = metric
+) -> list[Wanted]:
+    """What to take ahead of each step, and after the last."""
+    wanted = [Wanted(i == 0 or laid[i - 1].step.changes_rows) for i in range(len(frames))]
+    i = 0
+    for run in _by_run(laid):
+        at, frame = wanted[taken_at[i]], run[0].frame
+        acting = [(i + k, s.step) for k, s in enumerate(run) if not s.step.skip_reason(frame)]
+        for k, step in acting:
+            at.counts |= {f"{n}_{k}": c for n, c in step.counts(frame).items()}
+            at.others |= {f"{n}_{k}": c for n, c in step.metrics(frame, run[0].stats).items()}
+        fills = [(k, step) for k, step in acting if isinstance(step, FillNulls)]
+        if fills:
+            scalars, medians = _statistics(fills, run[0].stats)
+            at.scalars |= scalars
+            at.medians |= medians
+        i += len(run)
     return wanted
 
 
+def _statistics(
+    fills: Sequence[tuple[int, FillNulls]], source: DataFrame
+) -> tuple[dict[str, Column], dict[int, str]]:
+    """What the fills fill in, as scalars. Medians are one scalar, with the field for each fill."""
+    medians, fields = medians_for([step for _, step in fills], source)
+    out = {} if medians is None else {MEDIANS: medians}
+    of = {}
+    for (k, step), name in zip(fills, fields, strict=True):
+        if name:
+            of[k] = name
+            continue
+        statistic = step.statistic(source)
+        if statistic is not None:
+            out[f"{STATISTIC}_{k}"] = statistic
+    return out, of
+
+
 def _count_now(
-    spark: SparkSession, wanted: Mapping[int, tuple[DataFrame, dict[str, Column]]]
+    spark: SparkSession,
+    laid: Sequence[Stage],
+    frames: Sequence[DataFrame],
+    wanted: Mapping[int, Wanted],
 ) -> dict[int, Mapping[str, object]]:
-    """Take the metrics of several frames in one job."""
+    """Take what is wanted of several frames in one job.
+
+    Frames between which rows are only filtered, filled and renamed are counted
+    together, by one aggregate over the first of them.
+    """
     if not wanted:
         return {}
     cells = []
-    for i, (frame, metrics) in wanted.items():
-        packed = F.struct(*[c.alias(n) for n, c in metrics.items()])
-        cells.append(frame.agg(packed).scalar().alias(f"at_{i}"))
-    row = spark.range(1).select(*cells).first()
-    return {i: row[f"at_{i}"].asDict() for i in wanted}
+    for first, last in _spans(laid, frames, sorted(wanted)):
+        row = _counts_of_span(laid, frames, wanted, first, last)
+        cells.append(row.select(F.struct(*row.columns)).scalar().alias(f"span_{first}"))
+    for i, w in wanted.items():
+        if w.others:
+            row = frames[i].agg(*(c.alias(n) for n, c in w.others.items()))
+            cells.append(row.select(F.struct(*row.columns)).scalar().alias(f"others_{i}"))
+        cells += [c.alias(f"scalar_{i}_{n}") for n, c in w.scalars.items()]
+    row = spark.range(1).select(*cells).first().asDict()
+    found: dict[int, dict[str, object]] = {i: {} for i in wanted}
+    for i, w in wanted.items():
+        if w.others:
+            found[i] |= row[f"others_{i}"].asDict()
+        found[i] |= {n: row[f"scalar_{i}_{n}"] for n in w.scalars}
+    for name, counts in row.items():
+        if name.startswith("span_"):
+            for cell, value in counts.asDict().items():
+                i, _, n = cell.partition("_")
+                found[int(i)][n] = value
+    return found
+
+
+def _spans(
+    laid: Sequence[Stage], frames: Sequence[DataFrame], wanted: Sequence[int]
+) -> Iterator[tuple[int, int]]:
+    """First and last number of the frames that can be counted together."""
+    first = last = wanted[0]
+    for i in wanted[1:]:
+        if not all(_can_be_marked(laid[k]) for k in range(last, i)):
+            yield first, last
+            first = i
+        last = i
+    yield first, last
+
+
+def _can_be_marked(stage: Stage) -> bool:
+    """Whether the step's filter is known, or it keeps all rows and no more is known to matter."""
+    step = stage.step
+    if isinstance(step, FillNulls) or step.keeps_values:
+        return True
+    return not step.shuffles and step.condition(stage.frame) is not None
+
+
+def _counts_of_span(
+    laid: Sequence[Stage],
+    frames: Sequence[DataFrame],
+    wanted: Mapping[int, Wanted],
+    first: int,
+    last: int,
+) -> DataFrame:
+    """One row: what is wanted of the frames from the first to the last.
+
+    Filters take no rows away here. Instead a row carries how many of them it has
+    passed, and what is counted along the way, which is summed at the end.
+    """
+    prefix = "_counted"
+    while any(n.lower().startswith(prefix) for f in frames[first : last + 1] for n in f.columns):
+        prefix += "_"
+    flag, passed, sums = f"{prefix}flag", 0, {}
+    marked = frames[first].select("*", F.lit(0).alias(flag))
+    i = first
+    while True:
+        here = F.col(flag) == passed
+        w = wanted.get(i)
+        if w:
+            kept = {**({"rows": F.lit(True)} if w.rows else {}), **w.counts}
+            cells = [(here & c).alias(f"{prefix}{i}_{n}") for n, c in kept.items()]
+            marked = marked.select("*", *cells)
+            sums |= {f"{i}_{n}": F.count_if(F.col(f"{prefix}{i}_{n}")) for n in kept}
+        if i == last:
+            return marked.agg(*(c.alias(n) for n, c in sums.items()))
+        run = next(_by_run(laid[i:last]))
+        step, frame = run[0].step, run[0].frame
+        own = [n for n in marked.columns if n.startswith(prefix)]
+        if isinstance(step, FillNulls):
+            marked = _apply(marked, run)
+        elif step.keeps_values:
+            after = step.apply(frame).columns
+            before = frame.columns if len(after) == len(frame.columns) else after
+            renamed = [qcol(old).alias(new) for old, new in zip(before, after, strict=True)]
+            marked = marked.select(*renamed, *own)
+        else:
+            on = F.when(here & step.condition(frame), passed + 1).otherwise(F.col(flag))
+            marked = marked.withColumn(flag, on)
+            passed += 1
+        i += len(run)
 
 
 def _records(
     laid: Sequence[Stage],
     frames: Sequence[DataFrame],
     taken_at: Sequence[int],
+    wanted: Sequence[Wanted],
     found: Mapping[int, Mapping[str, object]],
     done: int,
 ) -> Iterator[StepRecord]:
@@ -283,6 +461,9 @@ def _records(
         counts = found.get(taken_at[i], {})
         suffix = f"_{i}"
         metrics = {k.removesuffix(suffix): v for k, v in counts.items() if k.endswith(suffix)}
+        median = wanted[taken_at[i]].medians.get(i)
+        if median:
+            metrics[STATISTIC] = counts[MEDIANS][median]
         after = found.get(i + 1, {}).get("rows", rows)
         reason = stage.step.skip_reason(stage.frame) or stage.step.data_skip_reason(metrics)
         yield StepRecord(

@@ -11,6 +11,7 @@ import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,20 @@ from sparkprep.functions.naming import CONVENTIONS
 from sparkprep.functions.statistics import (
     approximate_median_of,
     mean_of,
+    median_field,
     median_of,
+    medians_of,
     mode_of,
 )
 from sparkprep.operators import fill as fills
 from sparkprep.operators.duplicates import remove_duplicates, remove_duplicates_within
-from sparkprep.operators.filters import drop_missing, filter_equals, missing_count, parse_filter
+from sparkprep.operators.filters import (
+    drop_missing,
+    equals,
+    filter_equals,
+    parse_filter,
+    rows_present,
+)
 from sparkprep.operators.projections import (
     ALL_COLUMNS,
     apply_convention,
@@ -110,8 +119,16 @@ class Step(ABC):
         """The step with everything decided that needs a look at the data."""
         return self
 
+    def condition(self, df: DataFrame) -> Column | None:
+        """Which rows stay, if that is all that the step does to them."""
+        return None
+
+    def counts(self, df: DataFrame) -> dict[str, Column]:
+        """Conditions on the rows of the step's input, to be counted for its report."""
+        return {}
+
     def metrics(self, df: DataFrame, stats: DataFrame | None = None) -> dict[str, Column]:
-        """Aggregates over the step's input that its report needs."""
+        """Other aggregates over the step's input that its report needs."""
         return {}
 
     def skip_reason(self, df: DataFrame) -> str | None:
@@ -157,11 +174,13 @@ class FillNulls(Step):
         if self.strategy not in fills.STRATEGIES:
             raise ValueError(f"unknown fill strategy {self.strategy!r}")
 
-    def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    def apply(
+        self, df: DataFrame, stats: DataFrame | None = None, median: Column | None = None
+    ) -> DataFrame:
         if self.strategy == fills.MEAN:
             return fills.fill_mean(df, self.column, stats=stats)
         if self.strategy == fills.MEDIAN:
-            return fills.fill_median(df, self.column, approx=self.approx, stats=stats)
+            return fills.fill_median(df, self.column, self.approx, stats, median)
         if self.strategy == fills.MODE:
             return fills.fill_mode(df, self.column, stats=stats)
         return fills.fill_value(
@@ -190,23 +209,29 @@ class FillNulls(Step):
             return NO_FILL_VALUE
         return None
 
-    def metrics(self, df: DataFrame, stats: DataFrame | None = None) -> dict[str, Column]:
-        found = {"missing": missing_count(df, self.column)}
-        statistic = self._statistic(df if stats is None else stats)
-        if statistic is not None:
-            found["statistic"] = F.first(statistic)
-        return found
+    def counts(self, df: DataFrame) -> dict[str, Column]:
+        return {"missing": is_missing(df, self.column)}
 
-    def _statistic(self, source: DataFrame) -> Column | None:
+    def statistic(self, source: DataFrame, median: Column | None = None) -> Column | None:
+        """What is filled in, as a scalar."""
         if self.strategy == fills.MEAN:
             return mean_of(source, self.column)
         if self.strategy == fills.MEDIAN:
+            if median is not None:
+                return median
             find = approximate_median_of if self.approx else median_of
             return find(source, self.column)
         if self.strategy == fills.MODE:
             return mode_of(source, self.column)
         return None
 
+    def takes_exact_median(self, df: DataFrame) -> bool:
+        return (
+            self.strategy == fills.MEDIAN
+            and not self.approx
+            and fills.takes_number(df, self.column)
+        )
+
     def data_skip_reason(self, found: Mapping[str, object]) -> str | None:
         if not found.get("missing"):
             return NO_NULL_VALUES.format(self.column)
@@ -222,6 +247,32 @@ class FillNulls(Step):
         return shown
 
 
+def medians_for(run: Sequence[FillNulls], source: DataFrame) -> tuple[Column | None, list[str | None]]:
+    """The medians that a run of fills needs, as one scalar, and the field of each fill's."""
+    names = list(dict.fromkeys(s.column for s in run if s.takes_exact_median(source)))
+    if not names:
+        return None, [None] * len(run)
+    fields = [
+        median_field(names.index(s.column)) if s.takes_exact_median(source) else None for s in run
+    ]
+    return medians_of(source, names), fields
+
+
+def apply_fills(df: DataFrame, run: Sequence[FillNulls], source: DataFrame) -> DataFrame:
+    """Apply fills that take their statistics from one frame, all medians in the same passes."""
+    medians, fields = medians_for(run, source)
+    if medians is None:
+        return reduce(lambda out, step: step.apply(out, source), run, df)
+    # One column beside the others, so that the plan has the passes once.
+    beside = "_medians"
+    while beside in {n.lower() for n in df.columns}:
+        beside += "_"
+    out = df.select("*", medians.alias(beside))
+    for step, name in zip(run, fields, strict=True):
+        out = step.apply(out, source, F.col(beside)[name] if name else None)
+    return out.drop(beside)
+
+
 @register_step
 @dataclass(frozen=True)
 class RemoveNulls(Step):
@@ -255,8 +306,14 @@ class RemoveNulls(Step):
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         if self.strategy == DROP_COLUMN:
             return drop_column_if_null(df, self.column_to_drop, stats)
-        checked = self.columns_to_check if self.strategy == DROP_ROWS_COL else None
-        return drop_missing(df, checked, self.how)
+        return drop_missing(df, self._checked, self.how)
+
+    @property
+    def _checked(self) -> tuple[str, ...] | None:
+        return self.columns_to_check if self.strategy == DROP_ROWS_COL else None
+
+    def condition(self, df: DataFrame) -> Column | None:
+        return rows_present(df, self._checked, self.how) if self.changes_rows else None
 
     def params(self) -> dict:
         return _set(
@@ -436,6 +493,9 @@ class FilterEquals(Step):
     def apply(self, df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         return filter_equals(df, self.column, self.value)
 
+    def condition(self, df: DataFrame) -> Column | None:
+        return equals(df, self.column, self.value)
+
     def params(self) -> dict:
         return {"column": self.column, "value": self.value}
 

@@ -18,6 +18,8 @@ from sparkprep.operators.profile import (
     schema_table,
     shape,
 )
+from sparkprep.plans.cleaning import apply_steps
+from sparkprep.plans.steps import FillNulls
 
 NAN = float("nan")
 
@@ -169,14 +171,53 @@ def test_median_fill_keeps_a_decimal_exact(spark):
     assert values(fill.fill_median(df, "v")) == [exact] * 4
 
 
+def scans(df):
+    """How often the plan, with its subqueries, reads files."""
+    execution = df._jdf.queryExecution()
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(execution, "simple").count("FileScan")
+
+
 @pytest.mark.parametrize("columns", [1, 3])
-def test_median_plans_grow_by_a_subquery_per_round(spark, columns):
+def test_medians_of_a_run_of_fills_share_their_passes(spark, columns):
     source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    df = source
-    for name in ("l_tax", "l_discount", "l_quantity")[:columns]:
-        df = fill.fill_median(df, name, stats=source)
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("FileScan") <= 1 + 4 * columns
+    run = [FillNulls(n, "fill_median") for n in ("l_tax", "l_discount", "l_linenumber")[:columns]]
+    assert scans(apply_steps(source, run)) == 4
+
+
+def test_medians_of_several_types_together(spark):
+    rows = [(i, i * 0.5, Decimal(i) / 8, float(-i), None if i else 7) for i in range(10)]
+    frame = spark.createDataFrame(rows * 3, "a int, b double, c decimal(30,3), d float, e bigint")
+    names = [*frame.columns, "a"]
+    found = spark.range(1).select(stats.medians_of(frame, names)).first()[0]
+    assert list(found) == [4.5, 2.25, Decimal("0.5625"), -4.5, 7.0, 4.5]
+    nothing = spark.range(1).select(stats.medians_of(frame.where("a < 0"), names)).first()[0]
+    assert nothing is None or list(nothing) == [None] * 6
+
+
+@pytest.mark.parametrize("n", [40_000, 40_001])
+def test_medians_that_need_both_brackets(spark, monkeypatch, n):
+    """Small sketches, whose brackets leave most values out."""
+    monkeypatch.setattr(stats, "SKETCH_SIZE", 64)
+    monkeypatch.setattr(stats, "MARGIN", 3 * 2.296 / 64**0.9021)
+    monkeypatch.setattr(stats, "GRID", 16)
+    rng = random.Random(n)
+    columns = [
+        [rng.uniform(-1, 1) for _ in range(n)],
+        [rng.expovariate(1) ** 9 for _ in range(n)],
+        [0.25 if rng.random() < 0.34 else rng.random() for _ in range(n)],
+        [float(rng.randrange(5)) for _ in range(n)],
+        [1.0 + i * 2.0**-40 for i in range(n - 1)] + [1e300],
+    ]
+    frame = spark.createDataFrame(list(zip(*columns, strict=True)), "a double, b double, c double, d double, e double")
+    found = spark.range(1).select(stats.medians_of(frame.repartition(7), frame.columns)).first()[0]
+    assert list(found) == pytest.approx([statistics.median(c) for c in columns], rel=1e-15)
+
+
+def test_a_rank_outside_its_bracket_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(stats, "MARGIN", -0.45)
+    with pytest.raises(Exception, match="outside"):
+        narrowed(spark, [float(i) for i in range(5000)])
 
 
 def test_approximate_median(spark):
@@ -221,8 +262,7 @@ def test_profile_tables(spark):
 def test_profile_takes_as_many_scans_for_any_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     for names in (["l_tax"], df.columns):
-        plan = profile_columns(df, names)._jdf.queryExecution().sparkPlan().toString()
-        assert plan.count("FileScan") == 6
+        assert scans(profile_columns(df, names)) == 5
 
 
 def test_profile_of_many_types(spark):

@@ -258,6 +258,61 @@ def test_many_fills_stay_one_flat_plan(spark):
     assert text.count("Join") == 0
 
 
+def explained(df):
+    execution = df._jdf.queryExecution()
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(execution, "simple")
+
+
+def test_a_plan_reads_its_source_a_few_times(spark):
+    from sparkprep.queries import QUERIES
+
+    # The source is two scans, and is read for the rows, three times for the median, once for the mode.
+    assert explained(QUERIES["clean_steps"](spark, FOLDER)).count("FileScan") == 10
+
+
+def test_counts_of_steps_between_shuffles_are_one_aggregate(spark):
+    df = fx.dup_events(spark, FOLDER)
+    plan = [
+        s.RemoveNulls("drop_rows_col", ("user_id",)),
+        s.FillNulls("event_type", "fill_mode"),
+        s.RenameColumns("to_uppercase", columns_to_transform="*"),
+        s.FilterEquals("EVENT_TYPE", "signup"),
+        s.FillNulls("VALUE", "fill_specific", 0),
+        s.DropColumns(("TS",)),
+        s.RemoveNulls("drop_rows_any", how="all"),
+        s.RemoveDuplicates(),
+        s.RemoveNulls("drop_rows_col", ("USER_ID",)),
+        s.RemoveDuplicates(),
+        s.FilterEquals("USER_ID", "3"),
+    ]
+    laid, last, _ = cleaning.stages(df, plan)
+    frames = [stage.frame for stage in laid] + [last]
+    assert list(cleaning._spans(laid, frames, range(8))) == [(0, 7)]
+    assert list(cleaning._spans(laid, frames, range(11))) == [(0, 7), (8, 9), (10, 10)]
+    records = cleaning.run_steps(df, plan).records
+    counts = [f.count() for f in frames]
+    assert [(r.initial_rows, r.final_rows) for r in records] == list(zip(counts, counts[1:]))
+    assert [r.initial_columns for r in records] == [len(f.columns) for f in frames[:-1]]
+    missing = laid[1].frame.where("event_type IS NULL").count()
+    assert records[1].details["filled"] == str(missing) and missing > 0
+    assert records[4].details["filled"] == str(laid[4].frame.where("VALUE IS NULL").count())
+
+
+def test_names_like_those_of_the_counts(spark):
+    df = spark.createDataFrame([(1, None), (None, 2.0), (3, 4.0)], "_countedflag int, _counted0_rows double")
+    plan = [s.FillNulls("_counted0_rows", "fill_median"), s.RemoveNulls("drop_rows_any"), s.RemoveDuplicates()]
+    records = cleaning.run_steps(df, plan).records
+    assert [(r.initial_rows, r.final_rows) for r in records] == [(3, 3), (3, 2), (2, 2)]
+    assert records[0].details["filled_value_actual"] == "3.0"
+
+
+def test_custom_steps_are_counted_by_themselves(spark):
+    df = spark.range(20).toDF("a")
+    plan = [s.Custom(lambda d: d.where("a < 10"), "less"), s.RemoveDuplicates(), s.FilterEquals("a", "3")]
+    records = cleaning.run_steps(df, plan).records
+    assert [(r.initial_rows, r.final_rows) for r in records] == [(20, 10), (10, 10), (10, 1)]
+
+
 def test_steps_run_no_job_while_being_applied(spark, small):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lazy", "lazy")
