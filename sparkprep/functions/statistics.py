@@ -26,6 +26,10 @@ SKETCH_GROUPS = 256
 MARGIN = 3 * 2.296 / SKETCH_SIZE**0.9021
 # Ranks at which the second sketch is asked for values.
 GRID = 512
+# Items that sketches of frequent items are asked to keep. They then have
+# room for a power of two of them, and their error is at most the share 3.5 over that.
+ITEMS = 3072
+ITEMS_ERROR = 3.5 / 4096
 MISSED = "a median is outside its bracket; run the query again"
 
 
@@ -41,11 +45,73 @@ def mean_of(df: DataFrame, name: str) -> Column:
 def mode_of(df: DataFrame, name: str) -> Column:
     """Most frequent value, the smallest one on a tie; null if there is none.
 
-    Counts are combined before the shuffle and the winner is a top-1, so a hot
-    value costs one row per task and no task holds all distinct values.
+    One pass finds what the mode can be, see ``_likely_modes_sql``, a second one counts
+    those values, or all if that is not known. Counts are combined before the
+    shuffle and the winner is a top-1, so no task holds all distinct values.
     """
-    counts = values_of(df, name).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), F.asc("v")).limit(1).select("v").scalar()
+    types = [data_type(df, name)]
+    likely = f"SELECT v0, ({_likely_modes_sql(types)}) AS k FROM {{rows}}"
+    counts = f"SELECT v0 AS v, count(1) AS n FROM ({likely}) WHERE {_may_win_sql(0, types[0])} GROUP BY v0"
+    text = f"SELECT v FROM ({counts}) ORDER BY n DESC, v LIMIT 1"
+    rows = values_of(df, name).withColumnRenamed("v", "v0")
+    return df.sparkSession.sql(text, rows=rows).scalar()
+
+
+def _hash_sql(at: int, dtype: T.DataType) -> str | None:
+    """A hash that equal values share, or None for types where that is not sure."""
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return None
+    if isinstance(dtype, T.StringType) and dtype != T.StringType():
+        return None
+    # Minus zero is zero.
+    floating = isinstance(dtype, (T.DoubleType, T.FloatType))
+    return f"xxhash64(v{at} + 0D)" if floating else f"xxhash64(v{at})"
+
+
+def _may_win_sql(at: int, dtype: T.DataType) -> str:
+    hashed = _hash_sql(at, dtype)
+    return f"(k.k{at} IS NULL OR array_contains(k.k{at}, {hashed}))" if hashed else "TRUE"
+
+
+def _likely_modes_sql(types: Sequence[T.DataType]) -> str:
+    """For columns v0, v1, ... of ``{rows}``: the hashes that the mode's may be, as a struct.
+
+    A field is null where every value may be the mode.
+
+    The items that sketches keep have hardly more memory than a hash each, whatever the
+    values are; sketches are merged as those of medians are. A sketch over n rows
+    says of an item how often it comes, too much by at most n times ITEMS_ERROR, and
+    tells of all items that come more than twice as often as that. So where the
+    first item comes more often than three times that, the mode is among those that
+    come nearly as often. (Two values of one hash only make that more than it need be.)
+    """
+    hashes = {i: _hash_sql(i, t) for i, t in enumerate(types)}
+    known = [i for i, h in hashes.items() if h]
+    in_groups = ["count(1) AS n"] + [
+        f"approx_top_k_accumulate(IF(v{i} IS NULL, NULL, {hashes[i]}), {ITEMS}) AS s{i}" for i in known
+    ]
+    merged = [f"coalesce(sum(n), 0) * {ITEMS_ERROR}D AS error"] + [
+        f"filter(approx_top_k_estimate(approx_top_k_combine(s{i}, {ITEMS}), {ITEMS}),"
+        f" x -> x.item IS NOT NULL) AS e{i}"
+        for i in known
+    ]
+    fields = []
+    for i in hashes:
+        near = f"filter(e{i}, x -> x.count >= e{i}[0].count - 2 * error)"
+        fields.append(
+            f"'k{i}', "
+            + (
+                f"IF(get(e{i}, 0).count > 3 * error, transform({near}, x -> x.item), NULL)"
+                if hashes[i]
+                else "CAST(NULL AS array<bigint>)"
+            )
+        )
+    grouped = (
+        f"SELECT {', '.join(in_groups)} FROM {{rows}} GROUP BY spark_partition_id() % {SKETCH_GROUPS}"
+    )
+    # One group if there are rows, and else none: sketches of no rows cannot be combined.
+    combined = f"SELECT {', '.join(merged)} FROM ({grouped}) GROUP BY n < 0"
+    return f"SELECT named_struct({', '.join(fields)}) FROM ({combined})"
 
 
 def any_missing(df: DataFrame, name: str) -> Column:
@@ -240,29 +306,31 @@ def medians_table(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def modes_of(df: DataFrame, names: list[str]) -> DataFrame:
-    """(at, mode) as text for the columns at these places of ``names``, in one pass.
+    """(at, mode) as text for the columns at these places of ``names``, in two passes.
 
-    All values are counted together, by column number and value, with a field for
-    each type that the columns have, so that ties go to the smallest value of
-    its own type.
+    All values that may be a mode are counted together, by column number and value,
+    with a field for each type that the columns have, so that ties go to the
+    smallest value of its own type.
     """
-    types = list(dict.fromkeys(data_type(df, n).simpleString() for n in names))
-    fields = [f"t{i}" for i in range(len(types))]
+    own = [data_type(df, n) for n in names]
+    types = list(dict.fromkeys(t.simpleString() for t in own))
+    fields = ", ".join(f"t{k}" for k in range(len(types)))
+    present = [F.when(is_present(df, n), qcol(n)).alias(f"v{i}") for i, n in enumerate(names)]
     cells = []
-    for at, name in enumerate(names):
-        own = data_type(df, name).simpleString()
-        present = F.when(is_present(df, name), qcol(name))
-        values = [
-            (present if own == t else F.lit(None).cast(t)).alias(f)
-            for f, t in zip(fields, types, strict=True)
-        ]
-        cells.append(
-            F.struct(F.lit(at).alias("at"), is_present(df, name).alias("there"), *values)
+    for i, dtype in enumerate(own):
+        values = ", ".join(
+            f"'t{k}', " + (f"v{i}" if dtype.simpleString() == t else f"CAST(NULL AS {t})")
+            for k, t in enumerate(types)
         )
-    rows = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("there")
-    counts = rows.groupBy("at", *fields).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("n"), *fields)).alias("b"))
-    return best.select("at", F.coalesce(*(F.col(f"b.{f}").cast("string") for f in fields)).alias("mode"))
+        counts = f"v{i} IS NOT NULL AND {_may_win_sql(i, dtype)}"
+        cells.append(f"IF({counts}, named_struct('at', {i}, {values}), NULL)")
+    rows = f"SELECT *, ({_likely_modes_sql(own)}) AS k FROM {{rows}}"
+    entries = f"SELECT p.* FROM (SELECT explode(array({', '.join(cells)})) AS p FROM ({rows})) WHERE p IS NOT NULL"
+    counts = f"SELECT at, {fields}, count(1) AS n FROM ({entries}) GROUP BY at, {fields}"
+    best = f"SELECT at, min(struct(-n AS n, {fields})) AS b FROM ({counts}) GROUP BY at"
+    shown = ", ".join(f"CAST(b.t{k} AS string)" for k in range(len(types)))
+    text = f"SELECT at, coalesce({shown}) AS mode FROM ({best})"
+    return df.sparkSession.sql(text, rows=df.select(present))
 
 
 def fitted(statistic: Column, dtype: T.DataType) -> Column:

@@ -66,7 +66,7 @@ def profile_columns(
     """(column, missing, mean, median, mode) per column, mode as text.
 
     Six passes over the frame, however many columns it has: counts and means
-    share one, all modes another, and all medians take one per round.
+    share one, all modes take two and all medians three.
     """
     chosen = [n for n in df.columns if columns is None or n in columns]
     numeric = [n for n in chosen if is_numeric(data_type(df, n))]

@@ -2,6 +2,8 @@
 
 import random
 import statistics
+from collections import Counter
+from datetime import date
 from decimal import Decimal
 
 import pytest
@@ -220,6 +222,64 @@ def test_a_rank_outside_its_bracket_is_an_error(spark, monkeypatch):
         narrowed(spark, [float(i) for i in range(5000)])
 
 
+def likely_modes(df):
+    """The hashes that the sketches leave for each column."""
+    types = [f.dataType for f in df.schema.fields]
+    rows = df.toDF(*(f"v{i}" for i in range(len(types))))
+    return df.sparkSession.sql(stats._likely_modes_sql(types), rows=rows).first()[0]
+
+
+def plain_mode(items):
+    counts = Counter(i for i in items if i is not None)
+    return min(counts, key=lambda v: (-counts[v], v)) if counts else None
+
+
+def test_modes_of_skewed_columns_are_proven(spark):
+    """Many distinct values, one or two of which are frequent: only these are counted."""
+    rng = random.Random(5)
+    n = 60_000
+    hot = [7 if rng.random() < 0.3 else rng.randrange(1 << 40) for _ in range(n)]
+    two = ["b" if rng.random() < 0.02 else "a" if rng.random() < 0.02 else f"x{rng.random()}" for _ in range(n)]
+    near = [rng.choice([0.0, -0.0, 1.5]) if rng.random() < 0.5 else rng.random() for _ in range(n)]
+    nulls = [None if rng.random() < 0.9 else rng.randrange(3) for _ in range(n)]
+    df = spark.createDataFrame(
+        list(zip(hot, two, near, nulls, strict=True)), "hot bigint, two string, near double, nulls int"
+    ).repartition(9)
+    found = likely_modes(df)
+    assert all(k and len(k) <= 4 for k in found)
+    modes = {r.at: r.mode for r in stats.modes_of(df, df.columns).collect()}
+    assert modes == {0: "7", 1: plain_mode(two), 2: "0.0", 3: str(plain_mode(nulls))}
+    for name, items in zip(df.columns, (hot, two, near, nulls), strict=True):
+        assert spark.range(1).select(stats.mode_of(df, name)).first()[0] == plain_mode(items)
+
+
+def test_modes_that_cannot_be_proven_are_counted_in_full(spark):
+    rng = random.Random(6)
+    even = [rng.randrange(20_000) for _ in range(40_000)]
+    unique = list(range(40_000))
+    df = spark.createDataFrame(
+        [(a, b, [a % 3]) for a, b in zip(even, unique, strict=True)], "even int, one bigint, some array<int>"
+    ).repartition(5)
+    assert list(likely_modes(df)) == [None] * 3
+    assert spark.sql(
+        f"SELECT ({stats._likely_modes_sql([T.LongType()])}) AS k", rows=df.where("one < 0").selectExpr("one AS v0")
+    ).first().k is None
+    modes = {r.at: r.mode for r in stats.modes_of(df, df.columns).collect()}
+    some = [a % 3 for a in even]
+    assert modes == {0: str(plain_mode(even)), 1: "0", 2: f"[{plain_mode(some)}]"}
+    assert spark.range(1).select(stats.mode_of(df, "even")).first()[0] == plain_mode(even)
+
+
+def test_modes_of_other_types(spark):
+    rows = [(i % 3 == 0, Decimal(i % 2), str(i % 4).encode(), date(2020, 1, 1 + i % 5), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a boolean, b decimal(30,2), c binary, d date, e float")
+    modes = {r.at: r.mode for r in stats.modes_of(df, df.columns).collect()}
+    assert modes == {0: "false", 1: "0.00", 2: "0", 3: "2020-01-01"}
+    nothing = df.where("a IS NULL")
+    assert stats.modes_of(nothing, df.columns).collect() == []
+    assert spark.range(1).select(stats.mode_of(nothing, "c")).first()[0] is None
+
+
 def test_approximate_median(spark):
     df = spark.range(0, 100_001, numPartitions=300).select(
         F.when(F.col("id") != 7, F.col("id")).alias("v")
@@ -262,7 +322,7 @@ def test_profile_tables(spark):
 def test_profile_takes_as_many_scans_for_any_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     for names in (["l_tax"], df.columns):
-        assert scans(profile_columns(df, names)) == 5
+        assert scans(profile_columns(df, names)) == 6
 
 
 def test_profile_of_many_types(spark):
