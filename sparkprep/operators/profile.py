@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.columns import data_type, family, is_numeric, null_if_nan, qcol
-from sparkprep.functions.statistics import medians_table, modes_of
+from sparkprep.functions.columns import (
+    data_type,
+    family,
+    is_missing,
+    is_numeric,
+    null_if_nan,
+    qcol,
+)
+from sparkprep.functions.statistics import SKETCH_GROUPS, SKETCH_SIZE, medians_table, modes_of
 from sparkprep.operators.fill import default_fill_value, strategies_for
 from sparkprep.operators.filters import missing_count
 
@@ -102,6 +109,78 @@ def profile_columns(
     )
 
 
+# --- profiles of parts, merged later ----------------------------------------
+
+# Items whose frequency a part's profile keeps; for the size of the other sketch and
+# the number of groups see ``statistics``.
+STATE_ITEMS = 384
+STATE_COLUMNS = ("rows", "missing", "n", "total", "quantiles", "items")
+
+
+def profile_state(df: DataFrame) -> DataFrame:
+    """(column, rows, missing, n, total, quantiles, items): what the profile of a part needs.
+
+    Rows and missing values; for numbers how many there are, their sum and a
+    sketch of their order; for all but nested columns a sketch of frequent values, as
+    text. One pass. States of parts are merged by ``merged_states`` in any order.
+    """
+    cells, rows = [], []
+    for i, name in enumerate(df.columns):
+        dtype = data_type(df, name)
+        value = null_if_nan(df, name)
+        number = value.cast("double") if is_numeric(dtype) else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if _nested(dtype) else value.cast("string")
+        cells += [number.alias(f"d{i}"), text.alias(f"t{i}"), is_missing(df, name).alias(f"m{i}")]
+        rows.append(
+            f"named_struct('column', c[{i}], 'rows', rows, 'missing', missing{i}, 'n', n{i},"
+            f" 'total', total{i}, 'quantiles', q{i}, 'items', i{i})"
+        )
+    sums = ", ".join(
+        f"count_if(m{i}) AS missing{i}, count(d{i}) AS n{i}, sum(d{i}) AS total{i},"
+        f" IF(count(d{i}) > 0, kll_sketch_agg_double(d{i}, {SKETCH_SIZE}), NULL) AS q{i},"
+        f" approx_top_k_accumulate(t{i}, {STATE_ITEMS}) AS i{i}"
+        for i in range(len(df.columns))
+    )
+    text = (
+        f"SELECT inline(array({', '.join(rows)})) FROM (SELECT count(1) AS rows, first(c) AS c, {sums}"
+        f" FROM {{rows}} GROUP BY spark_partition_id() % {SKETCH_GROUPS})"
+    )
+    named = F.lit(df.columns).alias("c")
+    return merged_states(df.sparkSession.sql(text, rows=df.select(*cells, named)))
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state per column from those of parts."""
+    return states.groupBy("column").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("missing").alias("missing"),
+        F.sum("n").alias("n"),
+        F.sum("total").alias("total"),
+        F.expr(f"IF(sum(n) > 0, kll_merge_agg_double(quantiles, {SKETCH_SIZE}), NULL)").alias("quantiles"),
+        F.expr(f"approx_top_k_combine(items, {STATE_ITEMS})").alias("items"),
+    )
+
+
+def profile_of_states(states: DataFrame, digits: int = 6) -> DataFrame:
+    """(column, rows, missing, mean, median, mode) from states of parts.
+
+    Rows, missing values and means are exact, but for the rounding of sums of doubles.
+    The median is off by at most 0.13 % of the ranks, and the mode is one of the most
+    frequent values: null where none of them is frequent enough to be told.
+    """
+    named = "filter(approx_top_k_estimate(items, 2), x -> x.item IS NOT NULL)"
+    return merged_states(states).select(
+        "column",
+        "rows",
+        "missing",
+        F.round(F.expr("try_divide(total, n)"), digits).alias("mean"),
+        F.round(
+            F.expr("IF(n > 0, kll_sketch_get_quantile_double(quantiles, double('0.5')), NULL)"), digits
+        ).alias("median"),
+        F.expr(f"get({named}, 0).item").alias("mode"),
+    )
+
+
 def _nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.MapType, T.ArrayType, T.StructType))
 

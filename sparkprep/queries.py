@@ -12,7 +12,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -290,6 +291,28 @@ def ingest_batches_alike(spark, folder):
 # --- streams --------------------------------------------------------------
 
 
+@query("ingest_after_failure", "SELECT event_id, user_id, event_type, value FROM events")
+def ingest_after_failure(spark, folder):
+    """A load that breaks off after its write, and a second run: each file is there once."""
+    source, ledger_path, output = (new_path(spark, n) for n in ("arriving", "ledger", "once"))
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    events.repartition(6).write.parquet(source)
+
+    def read(paths: list[str]) -> DataFrame:
+        return spark.read.schema(events.schema).parquet(*paths)
+
+    def broken(number: int) -> None:
+        if number == 1:
+            raise InterruptedError("lost after the rows were written")
+
+    once = partial(ledger.ingest_once, spark, source, ledger_path, read, output, "*.parquet")
+    try:
+        once(batch_files=2, written=broken)
+    except InterruptedError:
+        once(batch_files=4)
+    return spark.read.parquet(output).drop(ledger.BATCH)
+
+
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     return ingest.file_stream(spark, f"{folder}/events*.parquet", schema)
@@ -383,6 +406,30 @@ def ingest_stream_report(spark, folder):
     )
 
 
+@query(
+    "ingest_stream_profile",
+    WITH
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS missing, {mean} AS mean"
+        " FROM dirty_events"
+        for c, mean in (
+            ("event_id", "round(avg(event_id), 6)"),
+            ("user_id", "round(avg(user_id), 6)"),
+            ("event_type", "CAST(NULL AS DOUBLE)"),
+            ("value", "round(avg(value), 6)"),
+        )
+    ),
+)
+def ingest_stream_profile(spark, folder):
+    """The profile of a stream of several batches, merged from a state per batch."""
+    source, path = new_path(spark, "arriving"), new_path(spark, "profile")
+    dirty = fx.dirty_events(spark, folder).select("event_id", "user_id", "event_type", "value")
+    dirty.repartition(3).write.parquet(source)
+    stream = ingest.file_stream(spark, source, dirty.schema, files_per_batch=1)
+    ingest.profile_batches(stream, path, new_path(spark, "progress"))
+    return ingest.read_profile(spark, path).select("column", "rows", "missing", "mean")
+
+
 # --- sinks ----------------------------------------------------------------
 
 
@@ -1369,6 +1416,31 @@ def lineage_log(spark, folder):
     return log.select("seq", "details.initial_shape", "details.final_shape")
 
 
+@query(
+    "lineage_concurrent",
+    "SELECT count(*) AS entries, count(*) AS numbers, CAST(0 AS INTEGER) AS first,"
+    " CAST(count(*) - 1 AS INTEGER) AS last, count(DISTINCT n_name) AS names FROM nation",
+)
+def lineage_concurrent(spark, folder):
+    """Two writers of one run, each adding the nations that are its own, a few at a time."""
+    path = new_path(spark, "lineage")
+    names = [r.n_name for r in table(spark, folder, "nation").select("n_name").collect()]
+
+    def write(mine: list[str]) -> None:
+        for start in range(0, len(mine), 3):
+            lineage.append(spark, path, "shared", [(n, {}) for n in mine[start : start + 3]])
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, (names[::2], names[1::2])))
+    return lineage.read_run(spark, path, "shared").agg(
+        F.count("seq").alias("entries"),
+        F.countDistinct("seq").alias("numbers"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("last"),
+        F.countDistinct("name").alias("names"),
+    )
+
+
 @query(
     "lineage_edges",
     "SELECT * FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)"

@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -31,6 +32,7 @@ class Files:
     """The file system that a path is on."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        self._jvm = spark._jvm
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._system = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._read = spark._jvm.org.apache.commons.io.IOUtils.toString
@@ -56,6 +58,39 @@ class Files:
         stream.close()
         self.rename(draft, path)
 
+    def claim(self, path: str, text: str) -> bool:
+        """Make a file with this text if there is none of the name; whether it was made.
+
+        Of several that try at once, one makes it. (So it is where renaming to a
+        file that is there is refused, which object stores may not do.)
+        """
+        draft = f"{path}.{uuid.uuid4().hex}"
+        stream = self._system.create(self._path(draft), False)
+        stream.write(text.encode())
+        stream.close()
+        if self._system.getScheme() == "file":
+            # A rename would replace the file here; a link does not.
+            names = [self._path(p).toUri().getPath() for p in (path, draft)]
+            try:
+                self._jvm.java.nio.file.Files.createLink(*(self._jvm.java.io.File(n).toPath() for n in names))
+                made = True
+            except Py4JJavaError as error:
+                if "FileAlreadyExistsException" not in str(error.java_exception):
+                    raise
+                made = False
+        else:
+            try:
+                made = self._system.rename(self._path(draft), self._path(path))
+            except Py4JJavaError as error:
+                if "AlreadyExists" not in str(error.java_exception):
+                    raise
+                made = False
+        self.delete(draft)
+        return made
+
+    def make_folder(self, path: str) -> None:
+        self._system.mkdirs(self._path(path))
+
     def read(self, path: str) -> str:
         stream = self._system.open(self._path(path))
         text = self._read(stream, "UTF-8")

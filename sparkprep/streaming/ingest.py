@@ -9,19 +9,30 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkprep.operators.duplicates import remove_duplicates_within
+from sparkprep.operators.profile import (
+    STATE_COLUMNS,
+    merged_states,
+    profile_of_states,
+    profile_state,
+)
 from sparkprep.operators.validate import Rule, any_failure, validation_report
 from sparkprep.sources.readers import DEFAULT_FORMAT
+from sparkprep.sources.replace import replace_folder
 from sparkprep.sources.sinks import IS_ERROR
 
 __all__ = [
     "file_stream",
     "for_batches",
+    "compact_profile",
     "ingest",
     "ingest_split",
+    "profile_batches",
+    "read_profile",
     "remove_duplicates_within",
     "report_batches",
 ]
@@ -95,6 +106,37 @@ def report_batches(
     return for_batches(stream, write, checkpoint)
 
 
+def profile_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a profile of all that has arrived under ``path``, for ``read_profile``.
+
+    Each batch adds the state of its profile, a row per column, and a repeated
+    batch replaces its own; so the state grows with the batches and not the rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        state = profile_state(batch)
+        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return for_batches(stream, write, checkpoint)
+
+
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    """(column, rows, missing, mean, median, mode) of all batches so far, see ``profile_of_states``."""
+    return profile_of_states(spark.read.parquet(path).select("column", *STATE_COLUMNS))
+
+
+def compact_profile(spark: SparkSession, path: str) -> None:
+    """Merge the states of all batches but the last, which may yet be repeated."""
+    states = spark.read.parquet(path)
+    last = states.agg(F.max("batch_id")).first()[0]
+    earlier = states.where(F.col("batch_id") < last) if last is not None else states
+    number = earlier.agg(F.max("batch_id")).first()[0]
+    if number is not None:
+        merged = merged_states(earlier).withColumn("batch_id", F.lit(number))
+        kept = merged.unionByName(states.where(F.col("batch_id") == last))
+        replace_folder(kept, path, partition_by=["batch_id"])
+
+
 def for_batches(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
