@@ -73,6 +73,16 @@ def scan_csv_schema(spark, folder):
     )
 
 
+@query("scan_csv_folder", CSV_SQL + " UNION ALL " + CSV_SQL)
+def scan_csv_folder(spark, folder):
+    """Files whose headers are the same, quoted in some and not in others."""
+    events = table(spark, folder, "events").select(*CSV_COLUMNS)
+    path = _csv_events(spark, folder)
+    quoted = {**sinks.CSV_OPTIONS, "quoteAll": "true"}
+    events.write.mode("append").options(**quoted).csv(path)
+    return readers.read_csv(spark, path, schema=events.schema)
+
+
 @query(
     "scan_csv_headerless",
     'SELECT event_id AS "0", user_id AS "1", event_type AS "2", value AS "3", props AS "4"'

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,40 +40,59 @@ def read_csv(
     ``multi_line`` allows line breaks inside quotes; such files are not split.
 
     A row with more cells than columns is an error when it is read; one with
-    fewer has nulls. All files of a folder must have the same header, which is
-    looked up in one extra pass over the first lines if there are several.
+    fewer has nulls. All files of a folder must have the same header: the scan itself
+    compares each file's with that of the first, cell by cell (so quotes do not matter),
+    for the columns that are read.
+    (Only where cells of the header are empty, repeated or the same but for case, is it
+    compared as text, in one extra pass.)
     """
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(multi_line)}
-    if header:
-        _check_same_header(spark, path)
     first = spark.read.options(**options).csv(path, header=False).limit(1).first()
     if first is None:
         raise ValueError(f"no rows in {path}")
     names = distinct_header(list(first)) if header else [str(i) for i in range(len(first))]
-    if schema is not None:
-        if len(schema.fields) != len(names):
-            raise ValueError(
-                f"the schema has {len(schema.fields)} columns and the file has {len(names)}"
-            )
-        names = schema.names
-    check_names(names)
-    clash = len({n.lower() for n in names}) < len(names)
-    placed = [f"c{i}" for i in range(len(names))] if clash else names
-    more = "_more"
-    while more in {n.lower() for n in placed}:
-        more += "_"
-    text = T.StructType([T.StructField(n, T.StringType()) for n in [*placed, more]])
-    df = spark.read.schema(text).options(**options).csv(path, header=header)
-    # Cells beyond the last column end up in one more; no row may have any.
-    beyond = F.raise_error(F.lit(f"a row of {path} has more than {len(names)} cells"))
-    df = df.where(F.coalesce(F.when(qcol(more).isNotNull(), beyond.cast("boolean")), F.lit(True)))
-    df = df.drop(more)
+    # Whether the scan can look for these names in the files.
+    plain = header and names == list(first) and len({n.lower() for n in names}) == len(names)
+    if header and not plain:
+        _check_same_header(spark, path)
+    wanted = names if schema is None else schema.names
+    if len(wanted) != len(names):
+        raise ValueError(f"the schema has {len(wanted)} columns and the file has {len(names)}")
+    check_names(wanted)
+    placed = names if plain else [f"c{i}" for i in range(len(names))]
+    bad = "_bad"
+    while bad in {n.lower() for n in placed}:
+        bad += "_"
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*placed, bad]])
+    reader = spark.read.schema(text).options(**options, columnNameOfCorruptRecord=bad)
+    df = reader.option("enforceSchema", not plain).csv(path, header=header)
+    df = df.where(_no_cell_beyond(path, placed[0], bad, len(names), options)).drop(bad)
     if na:
         df = normalize_na(df)
     if schema is not None:
         return cast_to(df, schema)
-    df = infer_types(df) if infer else df
-    return df.toDF(*names) if clash else df
+    try:
+        df = infer_types(df) if infer else df
+    except Py4JJavaError as error:
+        if "CSV header does not conform" not in str(error.java_exception.getCause()):
+            raise
+        raise ValueError(f"files in {path} have different headers") from error
+    return df if placed == names else df.toDF(*names)
+
+
+def _no_cell_beyond(path: str, first: str, bad: str, n: int, options: Mapping[str, str]) -> Column:
+    """Always true; fails at a row with more than ``n`` cells.
+
+    Spark keeps the text of rows with more or fewer cells than there are columns;
+    read again with one column more, those with more have something in it.
+    """
+    more = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n + 1)])
+    again = {k: v for k, v in options.items() if k != "multiLine"}
+    cell = F.from_csv(qcol(bad), more.simpleString()[len("struct<") : -1].replace(":", " "), again)[f"c{n}"]
+    # (A column of the row itself has to be looked at along with its text.)
+    told = F.concat(F.lit(f"a row of {path} has more than {n} cells, from "), F.coalesce(qcol(first), F.lit("")))
+    beyond = F.raise_error(told).cast("boolean")
+    return F.coalesce(F.when(qcol(bad).isNotNull() & cell.isNotNull(), beyond), F.lit(True))
 
 
 def _first_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import types as T
 
 from sparkprep.operators.validate import NotNull
 from sparkprep.plans import job
@@ -84,6 +85,40 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path)).collect())) == [(1, 2), (3, 4)]
 
 
+def explained(df):
+    execution = df._jdf.queryExecution()
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(execution, "simple")
+
+
+def test_csv_headers_are_compared_in_the_scan(spark, tmp_path):
+    """Quoted or not; with a schema nothing is read ahead but the first row."""
+    write(tmp_path / "1.csv", "a,b c\n1,x\n")
+    write(tmp_path / "2.csv", '"a","b c"\n2,\n')
+    schema = T.StructType.fromDDL("n int, t string")
+    frame = readers.read_csv(spark, str(tmp_path), schema=schema)
+    assert explained(frame).count("FileScan csv") == 1
+    assert sorted(map(tuple, frame.collect())) == [(1, "x"), (2, None)]
+    assert frame.select("t").count() == 2 and frame.select("t").where("t = 'x'").count() == 1
+    write(tmp_path / "3.csv", "a,c\n3,y\n")
+    frame = readers.read_csv(spark, str(tmp_path), schema=schema)
+    for read in (frame, frame.select("t")):
+        with pytest.raises(Exception, match="header"):
+            read.collect()
+    # What is read is right in all files.
+    assert sorted(r.n for r in frame.select("n").collect()) == [1, 2, 3]
+    write(tmp_path / "3.csv", "a,b c,d\n3,y,z\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path), schema=schema).collect()
+
+
+def test_csv_with_odd_headers_in_several_files(spark, tmp_path):
+    for name in ("1", "2"):
+        write(tmp_path / f"{name}.csv", f"B,b,,B\n{name},x,3,4\n")
+    frame = readers.read_csv(spark, str(tmp_path))
+    assert frame.columns == ["B", "b", "Unnamed: 2", "B.1"]
+    assert sorted(map(tuple, frame.collect())) == [(1, "x", 3, 4), (2, "x", 3, 4)]
+
+
 def test_csv_line_breaks_round_trip(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = [(1, 'a\n"b",\r\nc'), (2, None), (3, " x ")]
