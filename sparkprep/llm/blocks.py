@@ -31,9 +31,12 @@ from sparkprep.session import new_path
 
 BLOCK_BYTES = 8 * 1024**2
 BLOCKS = "block bigint, ids binary, flags binary, lengths binary, text binary"
+# What ``flags`` holds of a document: whether it is flagged, whether it has no id.
+FLAGGED, NULL_ID = 1, 2
 # target: a range of keys, or -1 for what a block keeps for its next pass.
 MESSAGES = "target bigint, block bigint, kind string, data binary"
 KEPT = -1
+# Where documents without an id are in the order of ids: last, with the largest id.
 NO_ID = np.iinfo(np.int64).max
 
 # --- arrays as bytes ------------------------------------------------------
@@ -82,10 +85,11 @@ def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Some documents: ids (NO_ID for null), a flag each, and texts as bytes, end to end."""
+    """Some documents: ids (NO_ID for null), whether that is so, a flag each, and texts as bytes, end to end."""
 
     number: int
     ids: np.ndarray
+    nulls: np.ndarray
     flags: np.ndarray
     lengths: np.ndarray
     text: bytes
@@ -101,7 +105,8 @@ class Block:
             start = end
 
     def shown_ids(self) -> list[str | None]:
-        return [None if i == NO_ID else str(i) for i in self.ids.tolist()]
+        pairs = zip(self.ids.tolist(), self.nulls.tolist(), strict=True)
+        return [None if null else str(i) for i, null in pairs]
 
 
 @dataclass
@@ -132,7 +137,7 @@ def write_blocks(
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, made = TaskContext.get().partitionId() << 32, 0
         ids: list[int] = []
-        flags: list[bool] = []
+        flags: list[int] = []
         texts: list[bytes] = []
         held = 0
         for batch in batches:
@@ -142,7 +147,7 @@ def write_blocks(
                     yield _block_row(first + made, ids, flags, texts)
                     ids, flags, texts, held, made = [], [], [], 0, made + 1
                 ids.append(NO_ID if name is None else int(name))
-                flags.append(flagged)
+                flags.append(FLAGGED * bool(flagged) + NULL_ID * (name is None))
                 texts.append(data)
                 held += len(data)
         if ids:
@@ -167,14 +172,14 @@ def write_blocks(
 
 
 def _block_row(
-    number: int, ids: list[int], flags: list[bool], texts: list[bytes]
+    number: int, ids: list[int], flags: list[int], texts: list[bytes]
 ) -> pd.DataFrame:
     lengths = np.array([len(t) for t in texts], np.uint64)
     return pd.DataFrame(
         {
             "block": [number],
             "ids": [np.array(ids, np.int64).tobytes()],
-            "flags": [np.array(flags, bool).tobytes()],
+            "flags": [np.array(flags, np.uint8).tobytes()],
             "lengths": [pack(lengths)],
             "text": [b"".join(texts)],
         }
@@ -182,8 +187,9 @@ def _block_row(
 
 
 def _block(row) -> Block:
-    ids, flags = np.frombuffer(row.ids, np.int64), np.frombuffer(row.flags, bool)
-    return Block(int(row.block), ids, flags, unpack(row.lengths).astype(np.int64), row.text)
+    ids, flags = np.frombuffer(row.ids, np.int64), np.frombuffer(row.flags, np.uint8)
+    nulls, flagged = (flags & NULL_ID) != 0, (flags & FLAGGED) != 0
+    return Block(int(row.block), ids, nulls, flagged, unpack(row.lengths).astype(np.int64), row.text)
 
 
 # --- exchanges ------------------------------------------------------------
@@ -390,7 +396,7 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ordered_ids(ids: np.ndarray) -> np.ndarray:
-    """Ids as unsigned numbers in the same order; null (NO_ID) is last."""
+    """Ids as unsigned numbers in the same order; null is last, beside the largest id."""
     return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 

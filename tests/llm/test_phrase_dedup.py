@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkprep.llm import phrase_dedup
+from sparkprep.llm import lm_scoring, phrase_dedup, suffix_dedup
 
 
 def words(text):
@@ -70,3 +71,19 @@ def test_supplied_table(docs, texts):
 
 def test_empty_table(docs):
     assert phrase_dedup.remove_repeats(docs([])).collect() == []
+
+
+def test_largest_and_smallest_ids_and_none(spark, docs):
+    """Three operators over blocks: no id comes back as another, or as none."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**63 - 1, passage), (-(2**63), "a b c"), (None, "d e f"), (None, passage), (0, passage)]
+    ids = sorted((r[0] is None, r[0] or 0) for r in rows)
+    found = {
+        "words": phrase_dedup.remove_repeats(docs(rows)),
+        "bytes": suffix_dedup.remove_repeats(docs(rows)),
+        "score": lm_scoring.score(docs(rows), F.col("doc_id") == 0),
+    }
+    for frame in found.values():
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in frame.collect()) == ids
+    kept = {(r.doc_id, r.kept_text) for r in found["words"].collect()}
+    assert kept == {(2**63 - 1, ""), (-(2**63), "a b c"), (None, "d e f"), (None, ""), (0, passage)}
