@@ -545,6 +545,20 @@ class Branches:
     def cleaned(self, name: str, steps: Sequence[Step]) -> DataFrame:
         return apply_steps(self.branch(name), steps)
 
+    def repaired(self, steps: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
+        """The clean rows with those error rows that the steps repair, and those that stay errors.
+
+        The steps are applied to the error rows alone, which then meet the rules once
+        more. Statistics of fills come from the source, as error rows may lack what is
+        asked for. The steps may not change the columns. Types widen as the fills need
+        it. No row is lost but those that the steps themselves remove.
+        """
+        clean = self.branch("clean")
+        mended = apply_steps(self.branch("error"), steps, stats=self.source)
+        if mended.columns != self.source.columns:
+            raise ValueError("steps that repair rows cannot change the columns")
+        return clean.unionByName(clean_rows(mended, self.rules)), error_rows(mended, self.rules)
+
 
 # --- table to table -------------------------------------------------------
 

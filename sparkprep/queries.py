@@ -1347,6 +1347,70 @@ def clean_error_branch(spark, folder):
     return branches.cleaned("error", plan)
 
 
+@query(
+    "repaired_union",
+    WITH
+    + "SELECT event_id, user_id, CASE WHEN value IS NULL OR event_type IS NULL"
+    " THEN coalesce(nullif(event_type, ''), 'UNKNOWN') ELSE event_type END AS event_type,"
+    " round(coalesce(value, m), 6) AS value, FALSE AS is_error FROM dirty_events"
+    " CROSS JOIN (SELECT avg(value) AS m FROM dirty_events WHERE event_id % 3 <> 0)"
+    " WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, user_id, CASE WHEN value IS NULL OR event_type IS NULL"
+    " THEN coalesce(nullif(event_type, ''), 'UNKNOWN') ELSE event_type END, round(value, 6), value IS NULL"
+    " FROM dirty_events WHERE event_id % 3 = 0",
+)
+def repaired_union(spark, folder):
+    """Error rows that are repaired join the clean ones, the others stay errors.
+
+    Types are filled in all of them, values in two thirds.
+    """
+    dirty = fx.dirty_events(spark, folder).select("event_id", "user_id", "event_type", "value")
+    fill_type = steps.FillNulls("event_type", "fill_specific", "UNKNOWN")
+    fill_value = steps.FillNulls("value", "fill_mean")
+    parts = [
+        cleaning.Branches(dirty.where(rows), RULES).repaired(plan)
+        for rows, plan in (
+            ("event_id % 3 <> 0", [fill_type, fill_value]),
+            ("event_id % 3 = 0", [fill_type]),
+        )
+    ]
+    both = reduce(DataFrame.unionByName, (_both_sides(*part) for part in parts))
+    return both.withColumn("value", F.round("value", 6))
+
+
+SKIPPING = (
+    steps.FillNulls("absent", "fill_mean"),
+    steps.FillNulls("event_type", "fill_median"),
+    steps.FillNulls("event_id", "fill_mode"),
+    steps.FillNulls("user_id", "fill_specific"),
+    steps.RemoveNulls("drop_rows_col", ("absent",)),
+    steps.RemoveNulls("drop_column", column_to_drop="event_id"),
+    steps.RenameColumns("specific_rename", "absent", "other"),
+    steps.FillNulls("value", "fill_mean"),
+    steps.RemoveNulls("drop_rows_col", ("user_id",)),
+)
+
+
+@query(
+    "step_report_reasons",
+    WITH + "SELECT CAST(seq AS BIGINT) AS seq, status, reason, CASE WHEN seq = 9 THEN k ELSE a END AS final_rows,"
+    " CASE WHEN seq = 8 THEN m END AS filled FROM (VALUES"
+    " (1, 'skipped', 'Column ''absent'' not found.'),"
+    " (2, 'skipped', 'Cannot fill median for non-numeric column ''event_type''.'),"
+    " (3, 'skipped', 'Column ''event_id'' has no null values.'),"
+    " (4, 'skipped', 'Fill value not provided for specific fill strategy.'),"
+    " (5, 'skipped', 'No valid columns for drop_rows_col.'),"
+    " (6, 'skipped', 'Column ''event_id'' has no nulls.'),"
+    " (7, 'skipped', 'Column ''absent'' not found for specific rename.'),"
+    " (8, 'applied', NULL), (9, 'applied', NULL)) AS t(seq, status, reason)"
+    " CROSS JOIN (SELECT count(*) AS a, count(user_id) AS k, CAST(count(*) - count(value) AS VARCHAR) AS m"
+    " FROM dirty_events)",
+)
+def step_report_reasons(spark, folder):
+    """Steps that have nothing to do, each for its reason, among two that have."""
+    report = cleaning.run_steps(fx.dirty_events(spark, folder), SKIPPING).to_frame(spark)
+    return report.select("seq", "status", "reason", "final_rows", F.col("details")["filled"].alias("filled"))
+
+
 @query(
     "suite_from_dict",
     WITH + "SELECT 'not_null(value)' AS rule, count(*) - count(value) AS unexpected_count"

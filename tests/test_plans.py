@@ -504,3 +504,16 @@ def test_ranges_follow_the_rows_and_not_their_spacing(spark, spacing):
     for i in range(1000):
         before = (i - 1) * spacing if i else None
         assert (found[i * spacing].previous, found[i * spacing].position) == (before, i + 1)
+
+
+def test_repaired_rows_join_the_clean_ones(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (None, None), (3, "")], "n int, t string")
+    branches = cleaning.Branches(df, (NotNull("n"), NotNull("t")))
+    good, bad = branches.repaired([s.FillNulls("t", "fill_specific", "x")])
+    assert sorted(map(tuple, good.collect())) == [(1, "a"), (2, "x"), (3, "")]
+    assert sorted(map(tuple, bad.collect()), key=str) == [(None, "b"), (None, "x")]
+    good, bad = branches.repaired([s.FillNulls("n", "fill_mean"), s.RemoveNulls("drop_rows_any")])
+    assert sorted(map(tuple, good.collect())) == [(1.0, "a"), (2.0, "b"), (3.0, "")]
+    assert bad.count() == 0
+    with pytest.raises(ValueError, match="columns"):
+        branches.repaired([s.DropColumns(("t",))])
