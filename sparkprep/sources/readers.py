@@ -162,16 +162,36 @@ def read_json(
 ) -> DataFrame:
     """Read an array of records, or with ``lines`` one record per line.
 
-    Without ``lines`` the files themselves say which it is, by their first
-    character; that is one more pass over the first block of each file. An array
-    is parsed by one task per file; large inputs should be lines, which are
-    split. A single record spread over lines has to be asked for by
-    ``lines=False``.
+    Without ``lines`` the first file says which it is, by its first characters.
+    That the others are alike is seen by the scan for records per line: a line that
+    is no record is an error then (ahead of the scan if there is no schema). For
+    arrays it takes a pass over the files, each of which one task parses anyway;
+    large inputs should be lines, which are split. A single record spread over lines
+    has to be asked for by ``lines=False``.
     """
-    if lines is None:
-        lines = _has_records_per_line(spark, path)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path, multiLine=not lines)
+    if lines is not None:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.json(path, multiLine=not lines)
+    if not _has_records_per_line(spark, path):
+        return read_json(spark, path, schema, lines=False)
+    bad = "_no_record"
+    reader = spark.read.option("columnNameOfCorruptRecord", bad)
+    if schema is None:
+        df = reader.json(path)
+        if bad in df.columns:
+            raise ValueError(NEITHER.format(path))
+        return df
+    if bad in schema.names:
+        raise ValueError(f"a column is called {bad}")
+    df = reader.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())])).json(path)
+    # (A column of the record itself has to be looked at along with its text.)
+    first = F.coalesce(qcol(schema.names[0]).isNull(), F.lit(True)).cast("string")
+    told = F.raise_error(F.concat(F.lit(f"{NEITHER.format(path)}: "), qcol(bad), F.lit(" "), first))
+    fine = F.coalesce(F.when(qcol(bad).isNotNull(), told.cast("boolean")), F.lit(True))
+    return df.where(fine).drop(bad)
+
+
+NEITHER = "{} is neither all arrays nor all records per line; say which with 'lines'"
 
 
 def _has_records_per_line(spark: SparkSession, path: str) -> bool:
@@ -182,11 +202,14 @@ def _has_records_per_line(spark: SparkSession, path: str) -> bool:
         .when(line.startswith("{") & whole, "lines")
         .otherwise("neither")
     )
-    forms = {r.form for r in _first_lines(spark, path).select(form.alias("form")).distinct().collect()}
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    first = lines.limit(1).select(form.alias("form")).first()
+    forms = {first.form} if first else {"lines"}
+    if forms == {"array"}:
+        found = _first_lines(spark, path).select(form.alias("form")).distinct().collect()
+        forms = {r.form for r in found}
     if len(forms) > 1 or "neither" in forms:
-        raise ValueError(
-            f"{path} is neither all arrays nor all records per line; say which with 'lines'"
-        )
+        raise ValueError(NEITHER.format(path))
     return forms != {"array"}
 
 

@@ -16,6 +16,11 @@ def write(path, text):
     return str(path)
 
 
+def explained(df):
+    execution = df._jdf.queryExecution()
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(execution, "simple")
+
+
 def test_job_does_not_overwrite_its_source(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(100).write.parquet(source)
@@ -68,6 +73,24 @@ def test_json_forms(spark, tmp_path):
             readers.read_file(spark, path, {"format": "JSON"})
 
 
+def test_json_forms_with_a_schema(spark, tmp_path):
+    schema = T.StructType.fromDDL("a int, b string")
+    first = write(tmp_path / "1.json", "\n" + "\n".join(f'{{"a": {i}}}' for i in range(50)))
+    write(tmp_path / "2.json", '{"a": 1, "b": "x", "c": 2}\n\n{"b": null}\n')
+    frame = readers.read_json(spark, str(tmp_path), schema)
+    # Nothing is read ahead but the first line.
+    assert explained(frame).count("FileScan") == 1
+    assert frame.count() == 52 and frame.where("b = 'x'").count() == 1 and frame.columns == ["a", "b"]
+    assert readers.read_json(spark, first, schema).count() == 50
+    (tmp_path / "sub").mkdir()
+    write(tmp_path / "sub" / "1.json", "\n".join(f'{{"a": {i}}}' for i in range(500)))
+    write(tmp_path / "sub" / "2.json", '[\n{"a": 1},\n{"a": 2}]')
+    # Whichever file is first.
+    with pytest.raises(Exception, match="lines"):
+        readers.read_json(spark, str(tmp_path / "sub"), schema).count()
+    assert readers.read_json(spark, str(write(tmp_path / "sub" / "3.json", "")), schema).count() == 0
+
+
 def test_csv_rows_of_a_wrong_width(spark, tmp_path):
     short = write(tmp_path / "short.csv", "a,b\n1\n2,3\n")
     wide = write(tmp_path / "wide.csv", "a,b\n1,2\n3,4,5\n")
@@ -85,11 +108,6 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path)).collect())) == [(1, 2), (3, 4)]
 
 
-def explained(df):
-    execution = df._jdf.queryExecution()
-    return df.sparkSession._jvm.PythonSQLUtils.explainString(execution, "simple")
-
-
 def test_csv_headers_are_compared_in_the_scan(spark, tmp_path):
     """Quoted or not; with a schema nothing is read ahead but the first row."""
     write(tmp_path / "1.csv", "a,b c\n1,x\n")
