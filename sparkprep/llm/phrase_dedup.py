@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -20,14 +21,15 @@ from sparkprep.llm.blocks import (
     each_block,
     exchange,
     keep,
-    least_per_key,
     names,
     ordered_ids,
+    pack,
     pack_sorted,
     per_key,
     runs_of,
     send,
     some_smaller,
+    unpack,
     unpack_sorted,
     write_blocks,
 )
@@ -41,22 +43,31 @@ KEPT_TEXTS = (
 )
 
 
+class Numbers(dict[bytes, int]):
+    """A number for each word, given when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Words:
     """The words of a block's documents, numbered from 1, with a 0 behind each document."""
 
     def __init__(self, block: Block) -> None:
-        numbers: dict[bytes, int] = {b"": 0}
-        parts = []
+        vocabulary = Numbers({b"": 0})
+        numbers: list[int] = []
+        ends = []
         for text in block.texts():
-            parts.append([numbers.setdefault(w, len(numbers)) for w in text.split()])
-            parts[-1].append(0)
-        self.vocabulary = list(numbers)
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.numbers = np.fromiter((n for p in parts for n in p), np.int64, int(self.sizes.sum()))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
+            numbers.extend(map(vocabulary.__getitem__, text.split()))
+            numbers.append(0)
+            ends.append(len(numbers))
+        self.ends = np.array(ends, np.int64)
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.numbers = np.array(numbers, np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
         self.hashes = hashes[self.numbers]
-        self.document = np.repeat(np.arange(len(parts)), self.sizes)
+        self.document = np.repeat(np.arange(len(ends)), self.sizes)
 
     def fits(self, length: int) -> np.ndarray:
         """Whether a run of ``length`` words starts here, for every place with room behind it."""
@@ -147,21 +158,24 @@ def remove_repeats(
         total = len(words.numbers)
         near = covered(np.maximum(found - reach + 1, 0), reach, total)
         starts = np.flatnonzero(near[: max(0, total - window + 1)] & words.fits(window))
+        keys, which = np.unique(names(words.hashes, window)[starts], return_inverse=True)
+        owners = ordered_ids(block.ids)[words.document[starts]]
+        least = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, which, owners)
+        # The pass that follows needs no more of the words than where they are.
         yield keep("starts", pack_sorted(starts))
-        keys, least, _ = _windows(words, block, starts, window)
+        yield keep("which", pack(which.astype(np.uint64)))
+        yield keep("later", pack((owners > least[which]).astype(np.uint64)))
         yield from send("window", keys, least, ranges)
 
     def earlier(kind: str, keys: np.ndarray, values: np.ndarray, begins: np.ndarray):
         return some_smaller(values, begins), None
 
     def cut(block: Block, mail: Mail) -> Iterator[pd.DataFrame]:
-        words = Words(block)
         starts = unpack_sorted(mail.kept("starts")).astype(np.int64)
-        _, least, which = _windows(words, block, starts, window)
-        owners = ordered_ids(block.ids)[words.document[starts]]
-        goes = (mail.answers("window")[which] > 0) | (owners > least[which])
-        gone = covered(starts[goes], window, len(words.numbers))
-        yield pd.DataFrame(_kept(block, words, gone))
+        which = unpack(mail.kept("which")).astype(np.int64)
+        goes = (mail.answers("window")[which] > 0) | (unpack(mail.kept("later")) > 0)
+        yield pd.DataFrame(_kept(block, starts[goes], window))
 
     first = exchange(blocks, None, tell_phrases, count)
     second = exchange(blocks, first, tell_windows, earlier)
@@ -169,26 +183,18 @@ def remove_repeats(
     return kept.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def _windows(words: Words, block: Block, starts: np.ndarray, window: int):
-    keys = names(words.hashes, window)[starts]
-    return least_per_key(keys, ordered_ids(block.ids)[words.document[starts]])
-
-
-def _kept(block: Block, words: Words, gone: np.ndarray) -> dict[str, list]:
-    first, last = runs_of(gone)
-    begins = words.ends - words.sizes
-    owner = words.document[first]
-    spans: list[list[dict[str, int]]] = [[] for _ in words.sizes]
-    for d, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):
-        spans[d].append({"start": int(a - begins[d]), "end": int(b - begins[d])})
-    texts = []
-    vocabulary = words.vocabulary
-    for a, b in zip(begins.tolist(), words.ends.tolist(), strict=True):
-        stays = words.numbers[a : b - 1][~gone[a : b - 1]]
-        texts.append(b" ".join([vocabulary[n] for n in stays.tolist()]).decode("utf-8"))
-    return {
-        "doc_id": block.shown_ids(),
-        "n_words": words.sizes - 1,
-        "removed": spans,
-        "kept_text": texts,
-    }
+def _kept(block: Block, starts: np.ndarray, window: int) -> dict[str, list]:
+    """What is left without the windows that start at these places, a 0 behind each document."""
+    sizes, spans, texts = [], [], []
+    begin, at = 0, 0
+    for text in block.texts():
+        words = text.split()
+        upto = at + int(np.searchsorted(starts[at:], begin + len(words)))
+        gone = covered(starts[at:upto] - begin, window, len(words))
+        first, last = runs_of(gone)
+        spans.append([{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        stay = compress(words, (~gone).tolist()) if upto > at else words
+        texts.append(b" ".join(stay).decode())
+        sizes.append(len(words))
+        begin, at = begin + len(words) + 1, upto
+    return {"doc_id": block.shown_ids(), "n_words": sizes, "removed": spans, "kept_text": texts}
