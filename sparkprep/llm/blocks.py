@@ -344,6 +344,14 @@ def _nothing(schema: str) -> pd.DataFrame:
 # --- runs in arrays -------------------------------------------------------
 
 
+class Numbers(dict[bytes, int]):
+    """A number for each word, given when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def names(items: np.ndarray, length: int, size: int = 1) -> np.ndarray:
     """One number for each run of ``length`` places, equal for equal runs.
 

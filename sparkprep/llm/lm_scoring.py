@@ -14,6 +14,7 @@ from sparkprep.llm.blocks import (
     Block,
     Mail,
     Message,
+    Numbers,
     each_block,
     exchange,
     paired,
@@ -48,26 +49,34 @@ class Grams:
     """
 
     def __init__(self, block: Block, order: int) -> None:
-        numbers: dict[bytes, int] = {END: 0}
-        parts, sizes = [], []
+        numbers = Numbers({END: 0})
+        tokens: list[int] = []
+        ends = []
         for text in block.texts():
-            words = text.lower().split()
-            parts.append([numbers.setdefault(w, len(numbers)) for w in words])
-            parts[-1].append(0)
-            sizes.append(len(words) + 1)
-        self.tokens = np.fromiter((t for p in parts for t in p), np.int64, sum(sizes))
-        self.sizes = np.array(sizes, np.int64)
+            tokens.extend(map(numbers.__getitem__, text.lower().split()))
+            tokens.append(0)
+            ends.append(len(tokens))
+        self.tokens = np.array(tokens, np.int64)
+        self.sizes = np.diff(np.array(ends, np.int64), prepend=0)
         starts = np.cumsum(self.sizes) - self.sizes
         since = np.arange(len(self.tokens)) - np.repeat(starts, self.sizes)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
         self.keys: list[np.ndarray] = []
         self.which: list[np.ndarray] = []
         self.first: list[np.ndarray] = []
+        # Words are numbered already; only longer runs have to be sorted.
+        keys, which = np.unique(hashes, return_inverse=True)
+        which = which[self.tokens]
+        used, first = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        used[which] = True
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        self.keys.append(keys[used])
+        self.first.append(first[used])
+        self.which.append((np.cumsum(used) - 1)[which])
         mine = hashes[self.tokens]
         run = mine
-        for level in range(order):
-            if level:
-                run = np.concatenate((run[:1], paired(run[:-1], mine[1:])))
+        for level in range(1, order):
+            run = np.concatenate((run[:1], paired(run[:-1], mine[1:])))
             there = np.flatnonzero(since >= level)
             keys, first, which = np.unique(run[there], return_index=True, return_inverse=True)
             full = np.full(len(run), -1, np.int64)

@@ -16,6 +16,7 @@ from sparkprep.llm.blocks import (
     Block,
     Mail,
     Message,
+    Numbers,
     anchors,
     covered,
     each_block,
@@ -43,14 +44,6 @@ KEPT_TEXTS = (
 )
 
 
-class Numbers(dict[bytes, int]):
-    """A number for each word, given when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 class Words:
     """The words of a block's documents, numbered from 1, with a 0 behind each document."""
 
