@@ -15,6 +15,7 @@ moving the text again.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,9 +31,9 @@ from sparkprep.llm.shared import saved
 from sparkprep.session import new_path
 
 BLOCK_BYTES = 8 * 1024**2
-BLOCKS = "block bigint, ids binary, flags binary, lengths binary, text binary"
-# What ``flags`` holds of a document: whether it is flagged, whether it has no id.
-FLAGGED, NULL_ID = 1, 2
+BLOCKS = "block bigint, ids binary, flags binary, lengths binary, text binary, labels binary"
+# What ``flags`` holds of a document: whether it is flagged, has no id, has no label.
+FLAGGED, NULL_ID, NULL_LABEL = 1, 2, 4
 # target: a range of keys, or -1 for what a block keeps for its next pass.
 MESSAGES = "target bigint, block bigint, kind string, data binary"
 KEPT = -1
@@ -51,6 +52,15 @@ def pack(values: np.ndarray) -> bytes:
     return bytes([planes]) + len(values).to_bytes(8, "little") + table.T.tobytes()
 
 
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    """The arrays that were packed one after the other."""
+    out = []
+    while data:
+        out.append(unpack(data))
+        data = data[9 + data[0] * len(out[-1]) :]
+    return out
+
+
 def unpack(data: bytes) -> np.ndarray:
     planes, n = data[0], int.from_bytes(data[1:9], "little")
     table = np.zeros((n, 8), np.uint8)
@@ -85,7 +95,7 @@ def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Some documents: ids (NO_ID for null), whether that is so, a flag each, and texts as bytes, end to end."""
+    """Some documents: ids (NO_ID for null), whether that is so, a flag each, texts as bytes, end to end, and labels."""
 
     number: int
     ids: np.ndarray
@@ -93,6 +103,7 @@ class Block:
     flags: np.ndarray
     lengths: np.ndarray
     text: bytes
+    labels: list[str | None]
 
     @property
     def ends(self) -> np.ndarray:
@@ -127,10 +138,11 @@ def write_blocks(
     text_column: str,
     flag: Column | None = None,
     block_bytes: int = BLOCK_BYTES,
+    label: Column | None = None,
 ) -> Blocks:
     """All documents in blocks of about ``block_bytes``; a longer text is one block.
 
-    A null text counts as empty. Blocks are what a task reads in its order; as
+    A block carries ``label``, a text, of each document with it. A null text counts as empty. Blocks are what a task reads in its order; as
     they are written once, later passes see the same ones whatever is lost.
     """
 
@@ -139,24 +151,28 @@ def write_blocks(
         ids: list[int] = []
         flags: list[int] = []
         texts: list[bytes] = []
+        labels: list[str] = []
         held = 0
         for batch in batches:
-            for name, flagged, text in zip(*(batch[c] for c in batch), strict=True):
+            for name, flagged, text, tag in zip(*(batch[c] for c in batch), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if ids and held + len(data) > block_bytes:
-                    yield _block_row(first + made, ids, flags, texts)
-                    ids, flags, texts, held, made = [], [], [], 0, made + 1
+                    yield _block_row(first + made, ids, flags, texts, labels)
+                    ids, flags, texts, labels, held, made = [], [], [], [], 0, made + 1
                 ids.append(NO_ID if name is None else int(name))
-                flags.append(FLAGGED * bool(flagged) + NULL_ID * (name is None))
+                marks = FLAGGED * bool(flagged) + NULL_ID * (name is None)
+                flags.append(marks + NULL_LABEL * (tag is None))
                 texts.append(data)
+                labels.append(tag or "")
                 held += len(data)
         if ids:
-            yield _block_row(first + made, ids, flags, texts)
+            yield _block_row(first + made, ids, flags, texts, labels)
 
     rows = docs.select(
         qcol(id_column).cast("bigint").cast("string").alias("doc_id"),
         F.coalesce(flag if flag is not None else F.lit(False), F.lit(False)).alias("flag"),
         qcol(text_column).cast("string").alias("text"),
+        (label if label is not None else F.lit(None)).cast("string").alias("label"),
     ).mapInPandas(gather, BLOCKS)
     spark = docs.sparkSession
     # A bucketed table in the shared folder; the catalog forgets it at once, the
@@ -172,7 +188,7 @@ def write_blocks(
 
 
 def _block_row(
-    number: int, ids: list[int], flags: list[int], texts: list[bytes]
+    number: int, ids: list[int], flags: list[int], texts: list[bytes], labels: list[str]
 ) -> pd.DataFrame:
     lengths = np.array([len(t) for t in texts], np.uint64)
     return pd.DataFrame(
@@ -182,6 +198,7 @@ def _block_row(
             "flags": [np.array(flags, np.uint8).tobytes()],
             "lengths": [pack(lengths)],
             "text": [b"".join(texts)],
+            "labels": [json.dumps(labels).encode() if any(labels) else b""],
         }
     )
 
@@ -189,7 +206,10 @@ def _block_row(
 def _block(row) -> Block:
     ids, flags = np.frombuffer(row.ids, np.int64), np.frombuffer(row.flags, np.uint8)
     nulls, flagged = (flags & NULL_ID) != 0, (flags & FLAGGED) != 0
-    return Block(int(row.block), ids, nulls, flagged, unpack(row.lengths).astype(np.int64), row.text)
+    shown = json.loads(row.labels) if row.labels else [""] * len(ids)
+    labels = [None if f & NULL_LABEL else t for f, t in zip(flags.tolist(), shown, strict=True)]
+    lengths = unpack(row.lengths).astype(np.int64)
+    return Block(int(row.block), ids, nulls, flagged, lengths, row.text, labels)
 
 
 # --- exchanges ------------------------------------------------------------
@@ -212,20 +232,27 @@ class Mail:
         parts = sorted((target, data) for (k, target), data in self.data.items() if k == kind)
         return np.concatenate([np.zeros(0, np.uint64), *(unpack(data) for _, data in parts)])
 
+    def columns(self, kind: str, n: int) -> list[np.ndarray]:
+        """The ``n`` values per key sent, an array for each."""
+        parts = sorted((target, data) for (k, target), data in self.data.items() if k == kind)
+        found = [unpack_all(data) for _, data in parts]
+        return [np.concatenate([np.zeros(0, np.uint64), *(f[i] for f in found)]) for i in range(n)]
+
 
 Message = tuple[int, str, bytes]
 
 
 def send(
-    kind: str, keys: np.ndarray, values: np.ndarray | None, ranges: int
+    kind: str, keys: np.ndarray, values: np.ndarray | list[np.ndarray] | None, ranges: int
 ) -> Iterator[Message]:
-    """Messages for sorted, distinct keys with a value each, cut at the key ranges."""
+    """Messages for sorted, distinct keys with a value (or some) each, cut at the key ranges."""
+    columns = [] if values is None else values if isinstance(values, list) else [values]
     cuts = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
     edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
     for target, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
             data = pack_sorted(keys[a:b])
-            body = b"" if values is None else pack(values[a:b])
+            body = b"".join(pack(v[a:b]) for v in columns)
             yield target, kind, len(data).to_bytes(8, "little") + data + body
 
 
@@ -234,12 +261,12 @@ def keep(kind: str, data: bytes) -> Message:
 
 
 Work = Callable[[Block, Mail], Iterator[Message]]
-# What a range does with all that blocks sent to it: kind, keys (sorted), values,
-# and where each distinct key begins. Gives an answer for each entry, and the
-# sums that are to be told of the range, if any.
-Merge = Callable[
-    [str, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, tuple[int, ...] | None]
-]
+# What a range does with all that blocks sent to it: kind, keys (sorted), values
+# (a list of arrays if several were sent), and where each distinct key begins. Gives
+# an answer (or a list of arrays) for each entry, and the sums that are to be told
+# of the range, if any.
+Values = np.ndarray | list[np.ndarray]
+Merge = Callable[[str, np.ndarray, Values, np.ndarray], tuple[Values, tuple[int, ...] | None]]
 TOLD = -2
 
 
@@ -274,23 +301,25 @@ def exchange(blocks: Blocks, mail: DataFrame | None, work: Work, merge: Merge) -
                 size = int.from_bytes(data[:8], "little")
                 keys.append(unpack_sorted(data[8 : 8 + size]))
                 values.append(
-                    unpack(data[8 + size :])
-                    if len(data) > 8 + size
-                    else np.zeros(len(keys[-1]), np.uint64)
+                    unpack_all(data[8 + size :]) or [np.zeros(len(keys[-1]), np.uint64)]
                 )
             sizes = [len(k) for k in keys]
-            every, each = np.concatenate(keys), np.concatenate(values)
+            every, each = np.concatenate(keys), list(map(np.concatenate, zip(*values, strict=True)))
             del keys, values
-            order = np.argsort(every, kind="stable")
+            order = np.argsort(every)
             every = every[order]
             begins = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            found = np.empty(len(every), np.uint64)
-            found[order], sums = merge(kind, every, each[order], begins)
+            each = [column[order] for column in each]
+            merged, sums = merge(kind, every, each if len(each) > 1 else each[0], begins)
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            found = [column[back] for column in (merged if isinstance(merged, list) else [merged])]
+            del merged, each
             if sums is not None:
                 out.append((TOLD, KEPT, kind, ",".join(map(str, sums)).encode()))
             edges = np.cumsum([0, *sizes])
             for at, block in enumerate(part["block"]):
-                data = pack(found[edges[at] : edges[at + 1]])
+                data = b"".join(pack(column[edges[at] : edges[at + 1]]) for column in found)
                 out.append((key[0], block, kind, data))
         return pd.DataFrame(out, columns=["target", "block", "kind", "data"])
 
@@ -338,7 +367,7 @@ def each_block(
 
 
 def _nothing(schema: str) -> pd.DataFrame:
-    return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+    return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
 
 # --- runs in arrays -------------------------------------------------------

@@ -12,13 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import qcol
-from sparkprep.llm.blocks import paired
+from sparkprep.llm.blocks import (
+    MESSAGES,
+    NULL_ID,
+    Block,
+    Blocks,
+    Mail,
+    Message,
+    each_block,
+    exchange,
+    paired,
+    per_key,
+    send,
+    told,
+    write_blocks,
+)
+from sparkprep.llm.grams import Grams
 from sparkprep.llm.shared import crc_of_id, saved
 
 ORDER = 3
-# Bytes of trusted text that are learned from, all languages together. The model
-# goes to every task, so this bounds it: about one n-gram per four bytes.
-SAMPLE_BYTES = 12 * 1024**2
 # One of so many trusted documents is not learned from, but sets the thresholds.
 HELD_BACK = 4
 QUANTILE = 0.99
@@ -179,9 +191,13 @@ def sample(docs: DataFrame, most: int) -> DataFrame:
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ of a level from how many n-grams have a count of 1 to 4."""
+    """D1, D2 and D3+ of a level."""
     rows = counts.where("a <= 4").groupBy("a").agg(F.count(F.lit(1)).alias("t")).collect()
-    t = {r.a: r.t for r in rows}
+    return _discounts_of({r.a: r.t for r in rows})
+
+
+def _discounts_of(t: dict[int, int]) -> tuple[float, float, float]:
+    """D1, D2 and D3+ from how many n-grams have a count of 1 to 4."""
     y = t[1] / (t[1] + 2 * t.get(2, 0)) if t.get(1) else 0.5
 
     def discount(a: int) -> float:
@@ -340,43 +356,19 @@ class Model:
         return tokens.sizes - 1, np.add.reduceat(logs, starts)
 
 
-def classify(
-    docs: DataFrame,
-    trusted: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    lang_column: str = "lang",
-    order: int = ORDER,
-    quantile: float = QUANTILE,
-    sample_bytes: int = SAMPLE_BYTES,
+def _learned_by_sample(
+    rows: DataFrame, good: DataFrame, order: int, sample_bytes: int
 ) -> DataFrame:
-    """(doc_id, lang, trusted, n_tokens, log10_prob, perplexity, threshold, kept) for every document.
-
-    ``trusted`` holds the ids of trusted documents (its first column). Of three
-    quarters of them a random ``sample_bytes`` of text, dealt to the languages by
-    ``shares``, trains the model; this is the only bound, and it bounds what goes
-    to every task. Every document is scored by its whole text: words are
-    lower-cased (A-Z) and cut at white space, the end of a text counts as a word.
-
-    A document is kept if its perplexity is at most the threshold of its
-    language: the ``quantile`` of the perplexities of all trusted documents held
-    back from learning. A language without such documents has the threshold over
-    all of them; without any, all is kept. Null languages are a language of their
-    own; null and empty texts have one token, the end; rows that repeat stay.
-    """
-    id_, text = qcol(id_column).cast("bigint"), qcol(text_column).cast("string")
-    lang = qcol(lang_column).cast("string")
-    good = trusted.select(qcol(trusted.columns[0]).cast("bigint").alias("good")).distinct()
-    rows = docs.select(id_.alias("doc_id"), text.alias("text"), lang.alias("lang"))
+    """(doc_id, lang, trusted, n_tokens, log10_prob) under a model of ``sample_bytes`` of text."""
     # The text stays behind: its size is all the sample needs.
-    sizes = docs.select(id_.alias("id"), lang.alias("lang"), F.octet_length(text).alias("size"))
+    sizes = rows.select(F.col("doc_id").alias("id"), "lang", F.octet_length("text").alias("size"))
     known = sizes.join(good, F.col("id") == F.col("good"), "left_semi")
     chosen = saved(sample(known, sample_bytes), "chosen")
     its = F.col("doc_id").eqNullSafe(F.col("chosen")) & rows["lang"].eqNullSafe(chosen["lang"])
     # Rows that share id and language share what is taken of them.
     most = F.floor(F.octet_length("text") * F.col("take") / F.col("size"))
     learned = rows.join(chosen, its).select("text", most.alias("most")).where("most > 0")
-    shared = docs.sparkSession.sparkContext.broadcast(shards(model(learned, order)))
+    shared = rows.sparkSession.sparkContext.broadcast(shards(model(learned, order)))
 
     @F.pandas_udf("n_tokens bigint, log10_prob double")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -393,12 +385,199 @@ def classify(
     scored = rows.select("doc_id", "lang", judge("text").alias("found")).select(
         "doc_id", "lang", "found.n_tokens", "found.log10_prob"
     )
-    surprise = -F.col("log10_prob") / F.col("n_tokens")
-    scored = scored.withColumn("perplexity", F.pow(F.lit(10.0), surprise))
-    marked = scored.join(good, F.col("doc_id") == F.col("good"), "left").select(
-        *scored.columns, F.col("good").isNotNull().alias("trusted")
+    return scored.join(good, F.col("doc_id") == F.col("good"), "left").select(
+        "doc_id", "lang", F.col("good").isNotNull().alias("trusted"), "n_tokens", "log10_prob"
+    )
+
+
+# --- the model of all trusted text, counts joined by range ----------------
+
+_SCORES = "doc_id string, lang string, trusted boolean, n_tokens bigint, log10_prob double"
+# Per n-gram as a history: the sum of the counts of what follows it, and how many
+# of these are 1, 2 and more.
+_FOLLOWED = 4
+
+
+def _marks(blocks: Blocks, good: DataFrame) -> DataFrame:
+    """Mail that tells each block which of its documents are trusted, and learned from.
+
+    Only ids are joined. The number of a document is its place twice, and one more
+    if it is learned from.
+    """
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                named = (np.frombuffer(row.flags, np.uint8) & NULL_ID) == 0
+                ids = np.frombuffer(row.ids, np.int64)[named]
+                number = np.full(len(ids), row.block, np.int64)
+                yield pd.DataFrame({"block": number, "place": np.flatnonzero(named), "id": ids})
+
+    ids = blocks.rows.select("block", "ids", "flags").mapInPandas(
+        places, "block bigint, place bigint, id bigint"
     )
-    marked = saved(marked, "perplexities")
+    learn = (crc_of_id(F.col("good")) % HELD_BACK != 0).cast("bigint")
+    found = ids.join(good.select("good", learn.alias("learn")), F.col("id") == F.col("good"))
+    number = F.col("place") * 2 + F.col("learn")
+    lists = found.groupBy("block").agg(F.array_join(F.collect_list(number.cast("string")), ",").alias("all"))
+    rows = lists.selectExpr("0L AS target", "block", "'trusted' AS kind", "encode(all, 'utf-8') AS data")
+    return saved(rows.selectExpr(*(c.split()[0] for c in MESSAGES.split(", "))), "trusted")
+
+
+def _trusted(block: Block, mail: Mail) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents of a block are trusted, and which are learned from."""
+    out = np.zeros((2, len(block.ids)), bool)
+    data = mail.data.get(("trusted", 0), b"")
+    numbers = np.array(data.split(b",") if data else [], np.int64)
+    out[0, numbers // 2] = True
+    out[1, numbers[numbers % 2 == 1] // 2] = True
+    return out[0], out[1]
+
+
+def _given(grams: Grams, learned: np.ndarray, mail: Mail, level: int, order: int) -> list[np.ndarray]:
+    """What a block adds to the counts of its n-grams of a level, and to them as histories.
+
+    ``learned`` marks places. One block owns each longer n-gram that was learned:
+    it counts it for the n-gram that it ends with and the one that it begins with.
+    """
+    if level == order - 1:
+        return [grams.counts(level, learned & (grams.since >= max(level, 1)))]
+    n = len(grams.keys[level])
+    longer = mail.answers(f"{level + 1}")
+    own = np.flatnonzero(longer & np.uint64(1))
+    a = (longer[own] >> np.uint64(1)).astype(np.int64)
+    ends = grams.first[level + 1][own]
+    counts = np.bincount(grams.which[level][ends], minlength=n)
+    if level > 0:
+        counts += grams.counts(level, learned & (grams.since == level))
+    history = grams.which[level][ends - 1]
+    total = np.bincount(history, a, n).astype(np.int64)
+    return [counts, total, *(np.bincount(history[np.minimum(a, 3) == k], minlength=n) for k in (1, 2, 3))]
+
+
+def _summed(
+    kind: str, keys: np.ndarray, values: np.ndarray | list[np.ndarray], begins: np.ndarray
+) -> tuple[list[np.ndarray], tuple[int, ...]]:
+    """Sums per n-gram; that of the counts twice, and one more for the block that owns it.
+
+    Told: how many counts are 1, 2, 3, 4, above 0, and their sum.
+    """
+    values = values if isinstance(values, list) else [values]
+    sums = [np.add.reduceat(v, begins) for v in values]
+    out = [per_key(s, begins, len(keys)) for s in sums]
+    out[0] = out[0] << np.uint64(1)
+    out[0][begins] |= sums[0] > 0
+    sizes = [int((sums[0] == k).sum()) for k in (1, 2, 3, 4)]
+    return out, (*sizes, int((sums[0] > 0).sum()), int(sums[0].sum()))
+
+
+def _learned_by_all(docs: DataFrame, good: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, trusted, n_tokens, log10_prob) under the model of all that is learned from.
+
+    From the longest n-grams to single words, one exchange each: the blocks send
+    what they add to the counts of the n-grams that they have, by ranges of the
+    key, and get back the sums of just those. The discounts of a level, from six
+    sums, are all of the model that the driver or all tasks see.
+    """
+    blocks = write_blocks(docs, "doc_id", "text", label=F.col("lang"))
+    marks, ranges = _marks(blocks, good), blocks.ranges
+
+    def grams_of(block: Block) -> Grams:
+        return Grams(block.texts(), order, _END, _BEGIN)
+
+    def teller(level: int):
+        def tell(block: Block, mail: Mail) -> Iterator[Message]:
+            grams = grams_of(block)
+            learned = np.repeat(_trusted(block, mail)[1], grams.sizes)
+            given = _given(grams, learned, mail, level, order)
+            yield from send(f"{level}", grams.keys[level], given, ranges)
+
+        return tell
+
+    mail, every = marks, marks
+    taken: list[np.ndarray] = []
+    for level in reversed(range(order)):
+        answers = exchange(blocks, mail, teller(level), _summed)
+        *t, words, total = told(answers, f"{level}", 6)
+        taken.insert(0, np.array([0.0, *_discounts_of(dict(enumerate(t, 1)))]))
+        answers = answers.where(F.col("target") >= 0)
+        mail, every = marks.unionByName(answers), every.unionByName(answers)
+    # Of the empty history: what follows it once, twice and more often are the words.
+    root = np.array([t[0], t[1], words - t[0] - t[1]])
+
+    def judge(block: Block, mail: Mail) -> Iterator[pd.DataFrame]:
+        grams = grams_of(block)
+        chance = np.full(len(grams.tokens), 1 / (words + 1))
+        for level in range(order):
+            at = np.flatnonzero(grams.which[level] >= 0)
+            a = (mail.answers(f"{level}") >> np.uint64(1)).astype(np.float64)
+            a -= taken[level][np.minimum(a, 3).astype(np.int64)]
+            if level == 0:
+                sums, left = np.full(len(at), float(total)), np.full(len(at), root @ taken[0][1:])
+            else:
+                # The history of a place is what ends at the place before it.
+                before = grams.which[level - 1][at - 1]
+                _, sums, *followers = mail.columns(f"{level - 1}", 1 + _FOLLOWED)
+                left = sum(n * d for n, d in zip(followers, taken[level][1:], strict=True))
+                sums, left = sums.astype(np.float64)[before], left[before]
+            inside = sums > 0
+            at, sums, left = at[inside], sums[inside], left[inside]
+            chance[at] = (a[grams.which[level][at]] + left * chance[at]) / sums
+        if not words:
+            chance = np.ones(len(chance))
+        chance[grams.since == 0] = 1
+        yield pd.DataFrame(
+            {
+                "doc_id": block.shown_ids(),
+                "lang": block.labels,
+                "trusted": _trusted(block, mail)[0],
+                "n_tokens": grams.sizes - 1,
+                "log10_prob": np.add.reduceat(np.log10(chance), grams.starts),
+            }
+        )
+
+    scored = each_block(blocks, every, judge, _SCORES)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def classify(
+    docs: DataFrame,
+    trusted: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lang_column: str = "lang",
+    order: int = ORDER,
+    quantile: float = QUANTILE,
+    sample_bytes: int | None = None,
+) -> DataFrame:
+    """(doc_id, lang, trusted, n_tokens, log10_prob, perplexity, threshold, kept) for every document.
+
+    ``trusted`` holds the ids of trusted documents (its first column). All text of
+    three quarters of them trains the model, and every document is scored by its
+    whole text: words are lower-cased (A-Z) and cut at white space, the end of a
+    text counts as a word. The model stays in ranges of the n-grams' hashes; blocks
+    of documents get the counts of just the n-grams that they have.
+
+    If ``sample_bytes`` is given, only so many bytes of trusted text, chosen at
+    random and dealt to the languages by ``shares``, are learned from, and that
+    model goes to every task whole.
+
+    A document is kept if its perplexity is at most the threshold of its
+    language: the ``quantile`` of the perplexities of all trusted documents held
+    back from learning. A language without such documents has the threshold over
+    all of them; without any, all is kept. Null languages are a language of their
+    own; null and empty texts have one token, the end; rows that repeat stay.
+    """
+    id_, text = qcol(id_column).cast("bigint"), qcol(text_column).cast("string")
+    lang = qcol(lang_column).cast("string")
+    good = trusted.select(qcol(trusted.columns[0]).cast("bigint").alias("good")).distinct()
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), lang.alias("lang"))
+    if sample_bytes is None:
+        scored = _learned_by_all(rows, good, order)
+    else:
+        scored = _learned_by_sample(rows, good, order, sample_bytes)
+    surprise = -F.col("log10_prob") / F.col("n_tokens")
+    marked = saved(scored.withColumn("perplexity", F.pow(F.lit(10.0), surprise)), "perplexities")
     held = marked.where(F.col("trusted") & (crc_of_id(F.col("doc_id")) % HELD_BACK == 0))
     at = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = held.groupBy(F.col("lang").alias("its")).agg(at.alias("own"))

@@ -162,3 +162,39 @@ def test_clean_documents_of_the_supplied_table_are_kept(spark):
     counts = found.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
     kept = {r.quality: r.kept for r in counts.collect()}
     assert kept[1] > 0.95 and kept[0] < 0.5
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_all_trusted_text_is_learned_from(spark, odd, texts, order):
+    rows = odd + [(20 + i, t) for i, t in texts[:60]]
+    trusted = [i for i in range(80) if i % 3]
+    frame = spark.createDataFrame(
+        [(i, t, "ab"[n % 2] if n % 5 else None, 1, 0.0, 0.0) for n, (i, t) in enumerate(rows)], SCHEMA
+    ).repartition(3)
+    ids = spark.createDataFrame([(i,) for i in [*trusted, *trusted, None]], "good bigint")
+    found = quality.classify(frame, ids, order=order).collect()
+    learned = [
+        t for i, t in rows if i in trusted and zlib.crc32(str(i).encode()) % quality.HELD_BACK
+    ]
+    plain = Plain([t.replace("\t", " ") if t else t for t in learned], order)
+    wanted = []
+    for n, (i, t) in enumerate(rows):
+        t = t.replace("\t", " ") if t else t
+        lang = "ab"[n % 2] if n % 5 else None
+        wanted.append((i, lang, i in trusted, len(clean(t)) - 1, plain.score(t)))
+    wanted.sort(key=str)
+    got = sorted((tuple(r)[:5] for r in found), key=str)
+    assert [r[:4] for r in got] == [r[:4] for r in wanted]
+    for a, b in zip(got, wanted, strict=True):
+        assert a[4] == pytest.approx(b[4])
+
+
+def test_no_trusted_text_is_left_out_for_its_size(spark):
+    rows = [(i, f"word{i} " * 80_000, "a", 1, 0.0, 0.0) for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = quality.classify(frame, frame.select("doc_id")).collect()
+    learned = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % quality.HELD_BACK]
+    assert sum(len(rows[r.doc_id][1]) for r in learned) > 12 * 1024**2
+    # A text that was learned from surprises by its first words only.
+    assert all(r.perplexity < 1.01 for r in learned)
+    assert all(r.perplexity > 1.01 for r in found if r not in learned)
