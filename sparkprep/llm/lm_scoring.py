@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +13,14 @@ from sparkprep.llm.blocks import (
     Block,
     Mail,
     Message,
-    Numbers,
     each_block,
     exchange,
-    paired,
     per_key,
     send,
     told,
     write_blocks,
 )
+from sparkprep.llm.grams import Grams
 
 ORDER = 2
 # Taken off every count of a word; what that leaves is the unknown word's.
@@ -40,57 +38,6 @@ SCORES = (
 )
 
 
-class Grams:
-    """The n-grams of a block's documents, level by level.
-
-    ``tokens`` are word numbers with an end after each document; level k lists
-    the distinct k-grams: their keys, and for each place of the block in which
-    one ends which it is (-1 where the document is too short).
-    """
-
-    def __init__(self, block: Block, order: int) -> None:
-        numbers = Numbers({END: 0})
-        tokens: list[int] = []
-        ends = []
-        for text in block.texts():
-            tokens.extend(map(numbers.__getitem__, text.lower().split()))
-            tokens.append(0)
-            ends.append(len(tokens))
-        self.tokens = np.array(tokens, np.int64)
-        self.sizes = np.diff(np.array(ends, np.int64), prepend=0)
-        starts = np.cumsum(self.sizes) - self.sizes
-        since = np.arange(len(self.tokens)) - np.repeat(starts, self.sizes)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        self.keys: list[np.ndarray] = []
-        self.which: list[np.ndarray] = []
-        self.first: list[np.ndarray] = []
-        # Words are numbered already; only longer runs have to be sorted.
-        keys, which = np.unique(hashes, return_inverse=True)
-        which = which[self.tokens]
-        used, first = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        used[which] = True
-        first[which[::-1]] = np.arange(len(which))[::-1]
-        self.keys.append(keys[used])
-        self.first.append(first[used])
-        self.which.append((np.cumsum(used) - 1)[which])
-        mine = hashes[self.tokens]
-        run = mine
-        for level in range(1, order):
-            run = np.concatenate((run[:1], paired(run[:-1], mine[1:])))
-            there = np.flatnonzero(since >= level)
-            keys, first, which = np.unique(run[there], return_index=True, return_inverse=True)
-            full = np.full(len(run), -1, np.int64)
-            full[there] = which
-            self.keys.append(keys)
-            self.first.append(there[first])
-            self.which.append(full)
-
-    def counts(self, level: int, learned: np.ndarray) -> np.ndarray:
-        """How often each k-gram is in the documents to learn from."""
-        at = np.repeat(learned, self.sizes) & (self.which[level] >= 0)
-        return np.bincount(self.which[level][at], minlength=len(self.keys[level]))
-
-
 class Automaton:
     """The part of the model that a block's documents can reach.
 
@@ -104,29 +51,32 @@ class Automaton:
     A word w after history h has probability (c(hw) + m p(w)) / (c(h) + m), p
     being that after the shorter history: smoothing that adds up to 1 over all
     known words and the unknown one.
+
+    Arcs are numbered by level and n-gram, which stand for their state and word:
+    an n-gram that was seen is an arc of its history's state.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int) -> None:
         order = len(counts)
-        self.words = len(grams.keys[0])
         own = grams.first[0]
         unknown = DISCOUNT * distinct / total if total else 1.0
         known = counts[0] > 0
-        chance = np.full(self.words, unknown)
+        chance = np.full(len(own), unknown)
         chance[known] = (counts[0][known] - DISCOUNT) / total
         # State of each k-gram as a history, by level; a history never seen is
         # its longest suffix that was. The end is followed by nothing.
         known = known & (grams.tokens[own] != 0)
-        made = 1 + np.cumsum(known) - 1
-        states = [np.where(known, made, 0)]
-        fails = [np.zeros(1 + int(known.sum()), np.int64)]
-        spare = [np.zeros(1)]
-        spare.append(np.log10(CONCENTRATION / (counts[0][known] + CONCENTRATION)))
-        self.arc: dict[int, int] = {}
-        words = grams.tokens[own]
-        weights, targets = [np.log10(chance)], [states[0] if order > 1 else np.zeros_like(words)]
-        self.arc.update(zip(words.tolist(), range(self.words), strict=True))
-        arcs, number = self.words, 1 + int(known.sum())
+        states = [np.where(known, np.cumsum(known), 0)]
+        number = 1 + int(known.sum())
+        depths = [np.zeros(1, np.int64), np.ones(number - 1, np.int64)]
+        fails = [np.zeros(number, np.int64)]
+        spare = [np.zeros(1), np.log10(CONCENTRATION / (counts[0][known] + CONCENTRATION))]
+        # Arcs by level and n-gram: whether there is one, its weight, and the state to
+        # which reading the n-gram leads, by its arc or after failures. One of the
+        # full length leads where its suffix does.
+        self.arc = [np.ones(len(own), bool)]
+        self.weight = [np.log10(chance)]
+        self.target = [states[0] if order > 1 else np.zeros_like(states[0])]
         for level in range(1, order):
             ends = grams.first[level]
             seen = counts[level] > 0
@@ -134,41 +84,48 @@ class Automaton:
             suffix = grams.which[level - 1][ends]
             past = counts[level - 1][context]
             chance = (counts[level] + CONCENTRATION * chance[suffix]) / (past + CONCENTRATION)
-            words = grams.tokens[ends]
             if level < order - 1:
-                longer = seen & (words != 0)
+                longer = seen & (grams.tokens[ends] != 0)
                 state = np.where(longer, number + np.cumsum(longer) - 1, states[-1][suffix])
                 fails.append(states[-1][suffix][longer])
                 spare.append(np.log10(CONCENTRATION / (counts[level][longer] + CONCENTRATION)))
+                depths.append(np.full(int(longer.sum()), level + 1))
                 number += int(longer.sum())
-            else:
-                state = states[-1][suffix]
-            keys = states[level - 1][context][seen] * self.words + words[seen]
-            self.arc.update(
-                zip(keys.tolist(), range(arcs, arcs + len(keys)), strict=True)
-            )
-            weights.append(np.log10(chance[seen]))
-            targets.append(state[seen])
-            arcs += len(keys)
-            states.append(state)
-        self.weight = np.concatenate(weights).tolist()
-        self.target = np.concatenate(targets).tolist()
-        self.fail = np.concatenate(fails).tolist()
-        self.spare = np.concatenate(spare).tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """Log10 probability of one document, read once from left to right."""
-        arc, weight, target = self.arc, self.weight, self.target
-        state, total, words = 0, 0.0, self.words
-        for token in tokens:
-            at = arc.get(state * words + token)
-            while at is None:
-                total += self.spare[state]
-                state = self.fail[state]
-                at = arc.get(state * words + token)
-            total += weight[at]
-            state = target[at]
-        return total
+                self.target.append(state)
+                states.append(state)
+            self.arc.append(seen)
+            self.weight.append(np.log10(chance))
+        self.fail = np.concatenate(fails)
+        self.spare = np.concatenate(spare)
+        self.depth = np.concatenate(depths)
+
+    def score(self, grams: Grams) -> np.ndarray:
+        """Log10 probability of each document, all places read at once.
+
+        The state before a place is known beforehand, as the longest n-gram that
+        ends there leads to it. Places that have no arc from their state fail together.
+        """
+        state = np.zeros(len(grams.tokens), np.int64)
+        for level, target in enumerate(self.target):
+            at = np.flatnonzero(grams.which[level][:-1] >= 0)
+            state[at + 1] = target[grams.which[level][at]]
+        # Nothing goes on from one document to the next.
+        state[grams.starts] = 0
+        total = np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            depth = self.depth[state[left]]
+            failed = np.zeros(len(left), bool)
+            for level, arc in enumerate(self.arc):
+                mine = np.flatnonzero(depth == level)
+                gram = grams.which[level][left[mine]]
+                found = arc[gram]
+                total[left[mine[found]]] += self.weight[level][gram[found]]
+                failed[mine[~found]] = True
+            left = left[failed]
+            total[left] += self.spare[state[left]]
+            state[left] = self.fail[state[left]]
+        return np.add.reduceat(total, grams.starts)
 
 
 def score(
@@ -197,9 +154,10 @@ def score(
     ranges = blocks.ranges
 
     def tell(block: Block, mail: Mail) -> Iterator[Message]:
-        grams = Grams(block, order)
+        grams = Grams(block.texts(), order, END)
+        learned = np.repeat(block.flags, grams.sizes)
         for level in range(order):
-            counts = grams.counts(level, block.flags)
+            counts = grams.counts(level, learned)
             yield from send(f"{level}", grams.keys[level], counts, ranges)
 
     def add(kind: str, keys: np.ndarray, values: np.ndarray, begins: np.ndarray):
@@ -211,25 +169,20 @@ def score(
     distinct, total = told(answers, "0", 2)
 
     def judge(block: Block, mail: Mail) -> Iterator[pd.DataFrame]:
-        grams = Grams(block, order)
+        grams = Grams(block.texts(), order, END)
         counts = [mail.answers(f"{k}").astype(np.int64) for k in range(order)]
         found = counts[0][grams.which[0]]
         base = np.log10((found + BASE_ADDED) / (total + BASE_ADDED * (distinct + 1)))
         automaton = Automaton(grams, counts, total, distinct)
-        starts = np.cumsum(grams.sizes) - grams.sizes
-        tokens = grams.tokens
         yield pd.DataFrame(
             {
                 "doc_id": block.shown_ids(),
                 "learned": block.flags,
                 "n_tokens": grams.sizes,
-                "n_known": np.add.reduceat((found > 0).astype(np.int64), starts),
+                "n_known": np.add.reduceat((found > 0).astype(np.int64), grams.starts),
                 "train_tokens": total,
-                "base_score": np.add.reduceat(base, starts),
-                "score": [
-                    automaton.score(tokens[a : a + n].tolist())
-                    for a, n in zip(starts.tolist(), grams.sizes.tolist(), strict=True)
-                ],
+                "base_score": np.add.reduceat(base, grams.starts),
+                "score": automaton.score(grams),
             }
         )
 

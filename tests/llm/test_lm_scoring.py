@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep.llm import lm_scoring
+from sparkprep.llm.grams import Grams
 from sparkprep.llm.lm_scoring import BASE_ADDED, CONCENTRATION, DISCOUNT
 
 END = "</s>"
@@ -81,3 +82,14 @@ def test_empty_table_and_nothing_to_learn(docs):
     assert lm_scoring.score(docs([]), F.lit(True)).collect() == []
     (row,) = lm_scoring.score(docs([(1, "a b")]), F.lit(None).cast("boolean")).collect()
     assert tuple(row) == (1, False, 3, 0, 0, 0.0, 0.0)
+
+
+def test_all_places_of_a_block_are_read_at_once(texts):
+    # Python per word would take a loop over the tokens; a text twice scores the same.
+    found = []
+    for times in (1, 2):
+        grams = Grams([t.encode() for _, t in texts[:20] * times], 3, lm_scoring.END)
+        counts = [grams.counts(k, grams.tokens >= 0) // times for k in range(3)]
+        automaton = lm_scoring.Automaton(grams, counts, len(grams.tokens) // times, len(grams.keys[0]))
+        found.append(automaton.score(grams).tolist())
+    assert len(found[0]) == 20 and found[1] == pytest.approx(found[0] * 2)
