@@ -90,9 +90,19 @@ class Encoder:
         self.merges = self.tokenizer.model
         self.small = self._pieces("AbC") == self._pieces("abc")
         marks = [m for m in MARKS if len(self._pieces(f"a{m}")) == 2 and self._pieces(f"a{m}") == [*self._pieces("a"), *self._pieces(m)]]
-        self.gap = re.compile(f"(?<=[a-z])(?=[{re.escape(''.join(marks))}])".encode()) if marks else None
+        # The mark is looked for first, as that is the faster search.
+        self.gap = re.compile(f"[{re.escape(''.join(marks))}](?<=[a-z].)".encode()) if marks else None
         self.letters = self._letters()
         self.plain = re.compile(f"[{''.join(map(chr, self.letters))}]+") if self.letters else None
+        # Whether small letters of ASCII go to the merges as they are, and the marks
+        # that are pieces of their own behind every letter.
+        self.same = all(self.letters.get(i) == chr(i) for i in range(ord("a"), ord("z") + 1))
+        ends = {m: self._pieces(m) for m in marks}
+        self.marks = {
+            m
+            for m, pieces in ends.items()
+            if all(self._pieces(chr(i) + m) == [piece, *pieces] for i, piece in self.letters.items())
+        }
 
     def _pieces(self, text: str) -> list[str]:
         if self.tokenizer.normalizer:
@@ -109,8 +119,12 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain and self.plain.fullmatch(text):
+        if self.same and word.isalpha() and word.islower():
+            ids = [t.id for t in self.merges.tokenize(text)]
+        elif self.plain and self.plain.fullmatch(text):
             ids = [t.id for t in self.merges.tokenize(text.translate(self.letters))]
+        elif text[-1:] in self.marks and self.plain.fullmatch(text, 0, len(text) - 1):
+            return self.known[word[:-1]] + self.known[word[-1:]]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.dtype.char, ids).tobytes()
@@ -127,7 +141,7 @@ class Encoder:
             ids = self.tokenizer.encode(data.decode(), add_special_tokens=False).ids
             return array(self.dtype.char, ids).tobytes()
         words = small if self.small else data
-        words = (self.gap.sub(b" ", words) if self.gap else words).split()
+        words = (self.gap.sub(rb" \g<0>", words) if self.gap else words).split()
         return b"".join(map(self.known.__getitem__, words))
 
 

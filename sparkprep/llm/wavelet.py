@@ -15,6 +15,8 @@ import numpy as np
 
 BLOCK = 512
 _WORDS = BLOCK // 64
+# Numbers that are dealt at once, so that their places stay in the cache.
+_HAND = 1 << 15
 
 
 @dataclass
@@ -69,6 +71,34 @@ class Plane:
         return block * BLOCK + inside
 
 
+def _dealt(run: np.ndarray, bits: np.ndarray, zeros: int) -> np.ndarray:
+    """The numbers with a 0 and then those with a 1, each in their order."""
+    out = np.empty_like(run)
+    low, high = 0, zeros
+    for start in range(0, len(run), _HAND):
+        part, ones = run[start : start + _HAND], bits[start : start + _HAND]
+        for chosen, at in ((np.compress(~ones, part), low), (np.compress(ones, part), high)):
+            out[at : at + len(chosen)] = chosen
+        high += int(np.count_nonzero(ones))
+        low = start + len(part) - (high - zeros)
+    return out
+
+
+def _undealt(run: np.ndarray, bits: np.ndarray, zeros: int, digit: np.unsignedinteger) -> np.ndarray:
+    """The numbers as they were before they were dealt, those with a 1 with the digit."""
+    out = np.empty_like(run)
+    low, high = 0, zeros
+    for start in range(0, len(run), _HAND):
+        part, ones = out[start : start + _HAND], bits[start : start + _HAND]
+        there = np.flatnonzero(ones)
+        part[there] = run[high : high + len(there)] | digit
+        high += len(there)
+        following = start + len(part) - (high - zeros)
+        part[np.flatnonzero(~ones)] = run[low:following]
+        low = following
+    return out
+
+
 @dataclass
 class WaveletMatrix:
     """Numbers below 2 to the number of planes."""
@@ -82,7 +112,7 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             bits = (run & run.dtype.type(1 << level)) != 0
             planes.append(Plane.of(bits))
-            run = np.concatenate((np.compress(~bits, run), np.compress(bits, run)))
+            run = _dealt(run, bits, planes[-1].zeros)
         return cls(len(numbers), planes)
 
     def all(self) -> np.ndarray:
@@ -90,10 +120,7 @@ class WaveletMatrix:
         dtype = np.uint16 if len(self.planes) <= 16 else np.uint32
         run = np.zeros(self.n, dtype)
         for level, plane in enumerate(reversed(self.planes)):
-            bits, before = plane.bits(self.n), np.empty_like(run)
-            before[np.flatnonzero(~bits)] = run[: plane.zeros]
-            before[np.flatnonzero(bits)] = run[plane.zeros :] | dtype(1 << level)
-            run = before
+            run = _undealt(run, plane.bits(self.n), plane.zeros, dtype(1 << level))
         return run
 
     def access(self, places: np.ndarray) -> np.ndarray:

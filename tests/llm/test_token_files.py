@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkprep.llm import queries, token_files
+from sparkprep.llm import queries, token_files, wavelet
 from sparkprep.llm.token_files import Encoder
 from sparkprep.llm.wavelet import WaveletMatrix
 from sparkprep.session import new_path
@@ -161,3 +161,24 @@ def test_counting_and_finding_without_decoding(spark, encoder, texts, docs):
     assert places == {(d, p) for d, run in ids.items() for p, i in enumerate(run) if i == common}
 
 
+
+
+def test_words_with_a_mark_reuse_the_word(encoder):
+    calls = []
+    fresh = Encoder(FILE)
+    known = fresh.tokenizer.encode
+    fresh.tokenizer = type("Counted", (), {"encode": lambda self, t, **k: calls.append(t) or known(t, **k)})()
+    for text in ("caffé, éreié. Éß; ñañ) maß?", "plain words, and marks."):
+        assert np.frombuffer(fresh.encode(text), fresh.dtype).tolist() == whole(encoder, text)
+    # Only the marks themselves are left to the whole tokenizer.
+    assert set(calls) <= set(token_files.MARKS)
+
+
+def test_deals_over_many_hands():
+    numbers = np.random.default_rng(3).integers(0, 49_408, 3 * wavelet._HAND + 17).astype(np.uint16)
+    matrix = WaveletMatrix.of(numbers, 16)
+    assert (matrix.all() == numbers).all()
+    places = np.arange(0, len(numbers), 997)
+    assert (matrix.access(places) == numbers[places]).all()
+    for few in (numbers[:0], numbers[:1], numbers[: wavelet._HAND]):
+        assert (WaveletMatrix.of(few, 16).all() == few).all()
