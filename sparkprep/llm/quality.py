@@ -488,7 +488,8 @@ def _learned_by_all(docs: DataFrame, good: DataFrame, order: int) -> DataFrame:
     def teller(level: int):
         def tell(block: Block, mail: Mail) -> Iterator[Message]:
             grams = grams_of(block)
-            learned = np.repeat(_trusted(block, mail)[1], grams.sizes)
+            # Null and empty texts teach nothing, not even that a text may be empty.
+            learned = np.repeat(_trusted(block, mail)[1] & (block.lengths > 0), grams.sizes)
             given = _given(grams, learned, mail, level, order)
             yield from send(f"{level}", grams.keys[level], given, ranges)
 

@@ -174,9 +174,9 @@ def test_all_trusted_text_is_learned_from(spark, odd, texts, order):
     ids = spark.createDataFrame([(i,) for i in [*trusted, *trusted, None]], "good bigint")
     found = quality.classify(frame, ids, order=order).collect()
     learned = [
-        t for i, t in rows if i in trusted and zlib.crc32(str(i).encode()) % quality.HELD_BACK
+        t for i, t in rows if t and i in trusted and zlib.crc32(str(i).encode()) % quality.HELD_BACK
     ]
-    plain = Plain([t.replace("\t", " ") if t else t for t in learned], order)
+    plain = Plain([t.replace("\t", " ") for t in learned], order)
     wanted = []
     for n, (i, t) in enumerate(rows):
         t = t.replace("\t", " ") if t else t
