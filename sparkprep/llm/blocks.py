@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.columns import qcol
 from sparkprep.llm.shared import saved
-from sparkprep.session import new_path
+from sparkprep.session import new_path, shuffles_removed
 
 BLOCK_BYTES = 8 * 1024**2
 BLOCKS = "block bigint, ids binary, flags binary, lengths binary, text binary, labels binary"
@@ -54,13 +55,30 @@ def pack(values: np.ndarray) -> bytes:
 
 def unpack_all(data: bytes) -> list[np.ndarray]:
     """The arrays that were packed one after the other."""
-    out = []
+    data, out = memoryview(expanded(data)), []
     while data:
         out.append(unpack(data))
         data = data[9 + data[0] * len(out[-1]) :]
     return out
 
 
+# What squeezed arrays begin with; packed ones begin with 0 to 8, the number of planes.
+SQUEEZED = b"\xff"
+
+
+def squeezed(data: bytes) -> bytes:
+    """Packed arrays in less space: most planes of small numbers are nearly all zero."""
+    return SQUEEZED + len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expanded(data: bytes) -> bytes:
+    """Squeezed arrays as they were; others are left as they are."""
+    if data[:1] != SQUEEZED:
+        return data
+    size = int.from_bytes(data[1:9], "little")
+    return pa.decompress(memoryview(data)[9:], size, codec="zstd", asbytes=True)
+
+
 def unpack(data: bytes) -> np.ndarray:
     planes, n = data[0], int.from_bytes(data[1:9], "little")
     table = np.zeros((n, 8), np.uint8)
@@ -80,9 +98,12 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """Unsigned numbers scattered over all 64 bits, one to one."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    values = values ^ (values >> np.uint64(30))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(27)
+    values *= np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(31)
+    return values
 
 
 def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -90,6 +111,54 @@ def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
+def pack_sparse(columns: list[np.ndarray]) -> bytes:
+    """Columns of which many rows are all zero: which are not, and these."""
+    some = np.logical_or.reduce([column != 0 for column in columns])
+    bits = np.packbits(some)
+    return b"".join(map(pack, (np.array([len(some)]), bits, *(c[some] for c in columns))))
+
+
+def unpack_sparse(data: bytes) -> list[np.ndarray]:
+    n, bits, *found = unpack_all(data)
+    some = np.unpackbits(bits.astype(np.uint8), count=int(n[0])).astype(bool)
+    out = [np.zeros(len(some), np.uint64) for _ in found]
+    for column, values in zip(out, found, strict=True):
+        column[some] = values
+    return out
+
+
+def ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of unsigned numbers in their order, and the numbers in that order.
+
+    Numbers are sorted much faster than places, so the place of each takes its lowest
+    bits. The few that differ in those bits only are put in order afterwards.
+    """
+    n = len(values)
+    if n < 2:
+        return np.arange(n), values.copy()
+    least = values.min()
+    spare = 64 - int(values.max() - least).bit_length()
+    low = np.uint64((1 << (n - 1).bit_length()) - 1)
+    both = values - least
+    if 0 < spare < 64:
+        both <<= np.uint64(spare)
+    both &= ~low
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & low).view(np.int64)
+    ranked = values[order]
+    wrong = np.flatnonzero(ranked[1:] < ranked[:-1])
+    if len(wrong) > 1000:
+        order = np.argsort(values)
+        return order, values[order]
+    for i in wrong.tolist():
+        a = int(np.searchsorted(both, both[i] & ~low))
+        b = int(np.searchsorted(both, both[i] | low, "right"))
+        order[a:b] = order[a:b][np.argsort(ranked[a:b], kind="stable")]
+        ranked[a:b] = values[order[a:b]]
+    return order, ranked
+
+
 # --- blocks ---------------------------------------------------------------
 
 
@@ -139,10 +208,12 @@ def write_blocks(
     flag: Column | None = None,
     block_bytes: int = BLOCK_BYTES,
     label: Column | None = None,
+    held_as: Callable[[list[bytes]], bytes] = b"".join,
 ) -> Blocks:
     """All documents in blocks of about ``block_bytes``; a longer text is one block.
 
-    A block carries ``label``, a text, of each document with it. A null text counts as empty. Blocks are what a task reads in its order; as
+    A block carries ``label``, a text, of each document with it, and its texts as
+    ``held_as`` has them. A null text counts as empty. Blocks are what a task reads in its order; as
     they are written once, later passes see the same ones whatever is lost.
     """
 
@@ -157,7 +228,7 @@ def write_blocks(
             for name, flagged, text, tag in zip(*(batch[c] for c in batch), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if ids and held + len(data) > block_bytes:
-                    yield _block_row(first + made, ids, flags, texts, labels)
+                    yield _block_row(first + made, ids, flags, texts, labels, held_as)
                     ids, flags, texts, labels, held, made = [], [], [], [], 0, made + 1
                 ids.append(NO_ID if name is None else int(name))
                 marks = FLAGGED * bool(flagged) + NULL_ID * (name is None)
@@ -166,7 +237,7 @@ def write_blocks(
                 labels.append(tag or "")
                 held += len(data)
         if ids:
-            yield _block_row(first + made, ids, flags, texts, labels)
+            yield _block_row(first + made, ids, flags, texts, labels, held_as)
 
     rows = docs.select(
         qcol(id_column).cast("bigint").cast("string").alias("doc_id"),
@@ -188,7 +259,12 @@ def write_blocks(
 
 
 def _block_row(
-    number: int, ids: list[int], flags: list[int], texts: list[bytes], labels: list[str]
+    number: int,
+    ids: list[int],
+    flags: list[int],
+    texts: list[bytes],
+    labels: list[str],
+    held_as: Callable[[list[bytes]], bytes],
 ) -> pd.DataFrame:
     lengths = np.array([len(t) for t in texts], np.uint64)
     return pd.DataFrame(
@@ -197,7 +273,7 @@ def _block_row(
             "ids": [np.array(ids, np.int64).tobytes()],
             "flags": [np.array(flags, np.uint8).tobytes()],
             "lengths": [pack(lengths)],
-            "text": [b"".join(texts)],
+            "text": [held_as(texts)],
             "labels": [json.dumps(labels).encode() if any(labels) else b""],
         }
     )
@@ -230,12 +306,13 @@ class Mail:
     def answers(self, kind: str) -> np.ndarray:
         """One value per key sent, in the order of the keys."""
         parts = sorted((target, data) for (k, target), data in self.data.items() if k == kind)
-        return np.concatenate([np.zeros(0, np.uint64), *(unpack(data) for _, data in parts)])
+        return np.concatenate([np.zeros(0, np.uint64), *(unpack(expanded(data)) for _, data in parts)])
 
-    def columns(self, kind: str, n: int) -> list[np.ndarray]:
-        """The ``n`` values per key sent, an array for each."""
+    def rest(self, kind: str, n: int) -> list[np.ndarray]:
+        """Of a tight pass, the ``n`` values per key sent that came with the first, an array for each."""
+        kind += REST
         parts = sorted((target, data) for (k, target), data in self.data.items() if k == kind)
-        found = [unpack_all(data) for _, data in parts]
+        found = [unpack_sparse(data) for _, data in parts]
         return [np.concatenate([np.zeros(0, np.uint64), *(f[i] for f in found)]) for i in range(n)]
 
 
@@ -268,6 +345,8 @@ Work = Callable[[Block, Mail], Iterator[Message]]
 Values = np.ndarray | list[np.ndarray]
 Merge = Callable[[str, np.ndarray, Values, np.ndarray], tuple[Values, tuple[int, ...] | None]]
 TOLD = -2
+# Ends the kind of the answers of a tight pass after the first.
+REST = "+"
 
 
 def per_key(values: np.ndarray, begins: np.ndarray, total: int) -> np.ndarray:
@@ -283,13 +362,17 @@ def told(answers: DataFrame, kind: str, n: int) -> list[int]:
     return [value or 0 for value in row]
 
 
-def exchange(blocks: Blocks, mail: DataFrame | None, work: Work, merge: Merge) -> DataFrame:
+def exchange(
+    blocks: Blocks, mail: DataFrame | None, work: Work, merge: Merge, tight: bool = False
+) -> DataFrame:
     """One pass: every block's messages, merged by range; the answers, written.
 
     What a block keeps passes through with the answers, so the next pass finds
-    both under the block's number.
+    both under the block's number. A ``tight`` pass spares disk: messages and answers
+    are squeezed, what was shuffled is removed as soon as the answers are written, and
+    of several answers to a key all but the first come as another kind (see ``Mail.rest``).
     """
-    sent = each_block(blocks, mail, _framed(work), MESSAGES)
+    sent = each_block(blocks, mail, _framed(work, tight), MESSAGES)
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] == KEPT:
@@ -297,7 +380,7 @@ def exchange(blocks: Blocks, mail: DataFrame | None, work: Work, merge: Merge) -
         out = []
         for kind, part in rows.groupby("kind", sort=False):
             keys, values = [], []
-            for data in part["data"]:
+            for data in map(expanded, part["data"]) if tight else part["data"]:
                 size = int.from_bytes(data[:8], "little")
                 keys.append(unpack_sorted(data[8 : 8 + size]))
                 values.append(
@@ -306,8 +389,7 @@ def exchange(blocks: Blocks, mail: DataFrame | None, work: Work, merge: Merge) -
             sizes = [len(k) for k in keys]
             every, each = np.concatenate(keys), list(map(np.concatenate, zip(*values, strict=True)))
             del keys, values
-            order = np.argsort(every)
-            every = every[order]
+            order, every = ordered(every)
             begins = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
             each = [column[order] for column in each]
             merged, sums = merge(kind, every, each if len(each) > 1 else each[0], begins)
@@ -319,19 +401,29 @@ def exchange(blocks: Blocks, mail: DataFrame | None, work: Work, merge: Merge) -
                 out.append((TOLD, KEPT, kind, ",".join(map(str, sums)).encode()))
             edges = np.cumsum([0, *sizes])
             for at, block in enumerate(part["block"]):
-                data = b"".join(pack(column[edges[at] : edges[at + 1]]) for column in found)
-                out.append((key[0], block, kind, data))
+                columns = [column[edges[at] : edges[at + 1]] for column in found]
+                if not tight:
+                    out.append((key[0], block, kind, b"".join(map(pack, columns))))
+                    continue
+                out.append((key[0], block, kind, squeezed(pack(columns[0]))))
+                if len(columns) > 1:
+                    out.append((key[0], block, kind + REST, squeezed(pack_sparse(columns[1:]))))
         return pd.DataFrame(out, columns=["target", "block", "kind", "data"])
 
     # What is kept has no range; a part of the block's number spreads it.
     spread = F.when(F.col("target") == KEPT, F.col("block")).otherwise(F.lit(KEPT))
     answers = sent.groupBy("target", spread.alias("spread")).applyInPandas(answer, MESSAGES)
-    return saved(answers, "answers")
+    if not tight:
+        return saved(answers, "answers")
+    with shuffles_removed(blocks.rows.sparkSession):
+        return saved(answers, "answers")
 
 
-def _framed(work: Work):
+def _framed(work: Work, tight: bool):
     def run(block: Block, mail: Mail) -> Iterator[pd.DataFrame]:
         for target, kind, data in work(block, mail):
+            if tight and target != KEPT:
+                data = squeezed(data)
             yield pd.DataFrame(
                 {"target": [target], "block": [block.number], "kind": [kind], "data": [data]}
             )

@@ -1,11 +1,13 @@
 import math
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkprep.llm import quality
+from sparkprep.llm import blocks, grams, quality
 
 SCHEMA = "doc_id bigint, text string, lang string, good bigint, own double, threshold double"
 
@@ -198,3 +200,74 @@ def test_no_trusted_text_is_left_out_for_its_size(spark):
     # A text that was learned from surprises by its first words only.
     assert all(r.perplexity < 1.01 for r in learned)
     assert all(r.perplexity > 1.01 for r in found if r not in learned)
+
+
+def shuffled_bytes(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        total += files.next().length()
+    return total
+
+
+def test_parts_of_the_keys_give_the_same_and_leave_no_shuffle_files(spark, texts, monkeypatch):
+    rows = [(i, t, "ab"[i % 2], 1, 0.0, 0.0) for i, t in texts[:60]]
+    rows += [(100 + i, f"one{i % 7}  two{i} " * 5000, "a", 1, 0.0, 0.0) for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    ids = frame.select("doc_id").where("doc_id % 3 > 0")
+    # Several blocks, so several ranges, in parts that are not equal.
+    monkeypatch.setattr(quality, "_BLOCK_BYTES", 400_000)
+    before = shuffled_bytes(spark)
+    found = quality.classify(frame, ids)
+    deadline = time.monotonic() + 10
+    while (left := shuffled_bytes(spark) - before) > 200_000 and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert left < 200_000
+    learned = [r[1] for r in rows if r[0] % 3 and zlib.crc32(str(r[0]).encode()) % quality.HELD_BACK]
+    plain = Plain([" ".join(t.split()) for t in learned if t], 3)
+    wanted = {r[0]: plain.score(" ".join((r[1] or "").split())) for r in rows}
+    got = {r.doc_id: r.log10_prob for r in found.collect()}
+    assert got == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 3, 7, 1000])
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_parts_are_whole_ranges_and_all_keys(ranges, level):
+    parts = quality._parts(ranges, level, 3)
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]]
+    assert parts[0][0] == 0 and parts[-1][1] == 1 << 64
+    assert all(a in {(r << 64) // ranges for r in range(ranges)} for a, _ in parts)
+
+
+def test_blocks_hold_the_words_of_their_texts(odd):
+    many = [(t or "").encode() for _, t in odd] + [b"", b" ", b"  A\x0bB\x1cc\x85\xc3\x89\n", b"\xed\xa0\x80 q"]
+    for some in (many, many[:1], [b""], []):
+        tokens, sizes, words = grams.unpack_words(grams.pack_words(some), b" >", b" <")
+        wanted, lengths, names = grams.numbered(some, b" >", b" <")
+        assert sizes.tolist() == lengths.tolist()
+        assert [words[i] for i in tokens.tolist()] == [names[i] for i in wanted.tolist()]
+    once = b" ".join(b"word%d" % (i % 500) for i in range(20_000))
+    assert len(blocks.squeezed(grams.pack_words([once] * 5))) < len(once) / 4
+
+
+def test_sparse_columns_come_back():
+    columns = [np.array([0, 3, 0, 0, 900, 0, 0, 0, 1]), np.array([0, 0, 0, 7, 0, 0, 0, 0, 2])]
+    data = blocks.squeezed(blocks.pack_sparse(columns))
+    assert [c.tolist() for c in blocks.unpack_sparse(data)] == [c.tolist() for c in columns]
+    assert blocks.unpack_sparse(blocks.pack_sparse([np.zeros(0, int)]))[0].tolist() == []
+
+
+def test_numbers_in_order_with_their_places():
+    rng = np.random.default_rng(5)
+    top = np.iinfo(np.uint64).max
+    few = rng.integers(0, 50, 1000).astype(np.uint64)
+    near = (rng.integers(0, 200, 5000).astype(np.uint64) << np.uint64(56)) + rng.integers(0, 3, 5000).astype(np.uint64)
+    wide = rng.integers(0, top, 70_000, np.uint64, endpoint=True)
+    some = wide.copy()
+    some[:40] = some[40:80] + np.uint64(1)
+    ends = np.array([top, 0, top, 1], np.uint64)
+    for values in (few, near, wide, some, ends, few[:1], few[:0], np.full(9, top, np.uint64)):
+        order, ranked = blocks.ordered(values)
+        assert ranked.tolist() == sorted(values.tolist())
+        assert values[order].tolist() == ranked.tolist()
+        assert sorted(order.tolist()) == list(range(len(values)))
